@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the corpus contracts: space and U+0009 to U+000D.
@@ -85,12 +85,16 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; one in the warehouse where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a durable checkpoint, so that a lost executor costs no recomputation of what went before."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
 
 
