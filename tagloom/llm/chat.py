@@ -41,6 +41,10 @@ TURNS = "array<struct<role:string,text:string>>"
 ESCAPES = (("\\", "\\0"), ("<", "\\1"), (">", "\\2"))
 
 
+def _there(name: str):
+    return lambda x: x[name].isNotNull()
+
+
 def _paths(schema: StructType, known: set[str]) -> list[tuple[str, Column]]:
     """The paths of schema that mappings know, each with the test that a record has a value there."""
     out = []
@@ -50,7 +54,7 @@ def _paths(schema: StructType, known: set[str]) -> list[tuple[str, Column]]:
         if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
             for g in f.dataType.elementType.fields:
                 if (path := f"{f.name}[].{g.name}") in known:
-                    out.append((path, F.coalesce(F.exists(F.col(f.name), lambda x, n=g.name: x[n].isNotNull()), F.lit(False))))
+                    out.append((path, F.coalesce(F.exists(F.col(f.name), _there(g.name)), F.lit(False))))
         elif isinstance(f.dataType, StructType):
             for g in f.dataType.fields:
                 if (path := f"{f.name}.{g.name}") in known:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the corpus contracts: space and U+0009 to U+000D.
@@ -85,6 +85,11 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; one in the warehouse where that is unset."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"

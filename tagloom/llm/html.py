@@ -132,10 +132,16 @@ TABLE = [
     # pages without a marked article: long blocks with few links, and short ones between such
     (60, 0.0, 4, 1.0, 80, 0.0, 0, 0, 0, 1), (120, 0.05, 60, 0.0, 3, 1.0, 0, 0, 0, 1), (18, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (5, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1),
     (25, 0.0, 20, 0.0, 4, 0.0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1), (20, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 1), (12, 0.0, 0, 0.0, 14, 0.0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (1, 1.0, 1, 1.0, 80, 0.0, 0, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (9, 0.9, 2, 1.0, 150, 0.0, 0, 0, 0, 0), (2, 1.0, 90, 0.0, 40, 0.0, 0, 0, 0, 0), (2, 0.6, 9, 0.0, 100, 0.0, 0, 0, 0, 0),
     (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (30, 0.9, 5, 1.0, 40, 0.0, 0, 0, 0, 0), (4, 1.0, 90, 0.0, 3, 1.0, 0, 0, 0, 0), (15, 0.8, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (4, 0.5, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
 ]
 
 
+# Lengths and links of a block and its neighbours say nothing where the page marks its parts: all of these, within and without.
+TABLE += [(w, k, p, q, n, r, a, b, 1, int(a and not b)) for w, k in ((1, 0.0), (8, 0.0), (40, 0.3), (200, 0.0), (5, 1.0)) for p, q in ((0, 0.0), (6, 1.0), (90, 0.0)) for n, r in ((0, 0.0), (6, 1.0), (90, 0.0)) for a, b in ((1, 0), (0, 0))]
+TABLE += [(w, k, p, q, n, r, a, 1, e, 0) for w, k in ((1, 0.0), (8, 1.0), (150, 0.0)) for p, q in ((0, 0.0), (90, 0.0)) for n, r in ((6, 1.0), (90, 0.0)) for a, e in ((1, 1), (0, 1), (0, 0))]
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | float:
     """A decision tree by Gini impurity: (feature, threshold, tree for at most it, tree for above), or the share of 1s."""
     if depth == 0 or y.min() == y.max():
@@ -197,4 +203,5 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     at = names.index(html_col)
     schema = StructType([f for f in pages.schema.fields if f.name != html_col]).add("text", StringType())
-    return pages.withColumn(html_col, F.col(html_col).cast("string")).mapInArrow(_extract(at, names), schema)
+    plain = pages.toDF(*[f"c{i}" for i in range(len(names))])  # a name with a dot would be taken for a field
+    return plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string")).mapInArrow(_extract(at, names), schema)

@@ -84,7 +84,7 @@ def rules() -> list[Rule]:
     for label, keyword, name, versions in FAMILIES:
         for v in versions:
             major, minor = v.split(".")
-            number = f"{major}(?: {minor})?" if minor == "0" else f"{major} {minor}"
+            number = rf"{major}(?: {minor})?(?! \d)" if minor == "0" else f"{major} {minor}"
             late = r"(?: or (?:any )?later(?: version)?| or \(at your option\) any later version| at your option any later version)"
             out.append(_rule(0, f"{label}-{v}", "spdx", rf"spdx license identifier {label} {major} {minor}(?: only| or later)?", 1.0))
             out.append(_rule(1, f"{label}-{v}-or-later", keyword, rf"(?:{name})(?: {label})? (?:version |v|v ){number}{late}", 0.95))

@@ -52,4 +52,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = both.withColumn("__kept", F.when(F.col("__runs").isNotNull(), keep)).withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)))
     out = out.withColumn("__removed", F.when(F.col("__kept").isNotNull(), F.col("__lines") - F.size("__kept")).otherwise(0))
     out = out.withColumn(text_col, F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, "__lines", "__removed")
+    return out.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns], "__lines", "__removed")

@@ -89,13 +89,15 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, per_salt: int = 200) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, per_salt: int = 200, tile_shingles: int = 300_000) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per document; links are pairs with 100 * |A & B| >= percent * |A | B|.
 
     Equal sets fall into one class first (a partial aggregate, so exact copies never meet in one task). Class
     representatives go to banded buckets; each bucket links all members with one centre. Sets are confirmed in full.
-    Buckets whose members are still in several components get another centre, and after that every pair of members
-    from different components, so no link that shares a bucket is lost, whatever the centres were. A link with
+    Buckets whose members are still in several components get another centre. What is in several components even then
+    is compared in full, in tiles of about tile_shingles shingles that return a spanning set of the links between
+    components, never pairs; so no link that shares a bucket is lost, whatever the centres were. That work grows with
+    the square of a group of documents that resemble each other but are not linked; nothing caps it. A link with
     similarity s shares no bucket with probability (1 - s**rows)**bands: 5e-7 at 0.85, 5e-5 at 0.8.
 
     Null or empty text: n_shingles 0, linked with nothing. Rows that repeat an id: each row is returned and they are
@@ -130,21 +132,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 own = own.withColumn("c", F.col("rep"))
             if stage == "rest":
-                # Pairs across components only: the larger side of each is a bucket's rest, not its main component.
-                size = own.groupBy("key", "c").agg(F.count("*").alias("size"))
-                main = size.groupBy("key").agg(F.max(F.struct("size", "c"))["c"].alias("main"))
-                rest = own.join(main, "key")
-                pairs = rest.where("c != main").select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-                pairs = pairs.join(own, "key").where("c != d and rep != a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"), "n", "m")
-            else:
-                order = F.col("rep") if stage == "first" else F.xxhash64("rep")
-                centre = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("s"))
-                centre = centre.select("key", F.col("s.rep").alias("a"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
-                pairs = own.join(centre, "key").where("c != d and rep != a").select("a", F.col("rep").alias("b"), "n", "m")
+                own = cut(own.select("key", "rep", "n", "c"))
+                if not own.limit(1).count():
+                    break
+                good = cut(_across(own, spark.table(table), percent, tile_shingles))
+                found = good if found is None else found.unionAll(good)
+                label = components(found).select(F.col("id").alias("rep"), "component")
+                break
+            order = F.col("rep") if stage == "first" else F.xxhash64("rep")
+            centre = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("s"))
+            centre = centre.select("key", F.col("s.rep").alias("a"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
+            pairs = own.join(centre, "key").where("c != d and rep != a").select("a", F.col("rep").alias("b"), "n", "m")
             pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).groupBy("a", "b").agg(F.min("n").alias("n"))
             pairs = cut(pairs.select("a", "b"))
             if not pairs.limit(1).count():
-                break
+                continue
             good = cut(_confirmed(pairs, spark.table(table), percent, per_salt))
             found = good if found is None else found.unionAll(good)
             label = components(found).select(F.col("id").alias("rep"), "component")
@@ -157,6 +159,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _spanning(percent: int):
+    """Of a tile pair's links between components, as many as join the same components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "c", "n"))
+        own, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        lists = table.column("shingles").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        value, seen, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        row, col = row[shared[seen]], place[seen[shared[seen]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = np.zeros((len(left), len(right)), np.float32)
+        at_left, at_right = np.full(len(rep), -1), np.full(len(rep), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        step = 4096
+        for k in range(0, int(shared.sum()), step):
+            a, b = np.searchsorted(col, [k, k + step])
+            x, y = np.zeros((len(left), step), np.float32), np.zeros((step, len(right)), np.float32)
+            r, c = row[a:b], col[a:b] - k
+            x[at_left[r[at_left[r] >= 0]], c[at_left[r] >= 0]] = 1
+            y[c[at_right[r] >= 0], at_right[r[at_right[r] >= 0]]] = 1
+            both += x @ y
+        union = n[left][:, None] + n[right][None, :] - both
+        a, b = np.nonzero((100 * both.astype(np.float64) >= percent * union.astype(np.float64)) & (comp[left][:, None] != comp[right][None, :]))
+        a, b = left[a], right[b]
+        up: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        out = []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = sorted((top(int(comp[x])), top(int(comp[y]))))
+            if p != q:
+                up[q] = p
+                out.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
+    """Links (a, b) that join all components of bucket mates; own has (key, rep, n, c) of the buckets with several.
+
+    Buckets that share members are one cluster. A cluster of few shingles is one tile. Else tiles hold documents of a
+    class of set sizes, and only equal and neighbouring classes meet: others can't be similar enough.
+    """
+    first = own.groupBy("key").agg(F.min("rep").alias("b"))
+    cluster = components(own.join(first, "key").select(F.col("rep").alias("a"), "b"))
+    rows = own.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+    rows = cut(rows.join(cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"))
+    size = rows.groupBy("cluster").agg(F.sum("n").alias("all"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    rows = rows.join(size.select("cluster", "all"), "cluster")
+    rows = rows.withColumn("g", F.when(F.col("all") <= tile_shingles, F.lit(0)).otherwise(F.floor(F.log("n") / np.log(100 / percent)).cast("int")))
+    tiles = rows.groupBy("cluster", "g").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles"))
+    rows = rows.join(tiles, ["cluster", "g"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    partner = tiles.select("cluster", F.col("g").alias("h"), F.col("tiles").alias("others"))
+    rows = rows.withColumn("h", F.explode(F.array(F.col("g") - 1, "g", F.col("g") + 1))).join(partner, ["cluster", "h"])
+    rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    mine, other = F.format_string("%06d/%06d", "g", "t"), F.format_string("%06d/%06d", "h", "u")
+    rows = rows.select("cluster", "rep", "n", "c", mine.alias("tile"), F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
+    whole = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "rep", "n", "c", "tile", "i", "j", "shingles")
+    return whole.groupBy("cluster", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -> DataFrame:
     """The pairs whose full sets are similar enough; a centre of many pairs is dealt out with a copy of its set per per_salt pairs."""
     many = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / per_salt).cast("int"))

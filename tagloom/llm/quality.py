@@ -114,7 +114,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.scale))  # 2**bits floats
     bits, spare = model.bits, docs.schema
-    names = [c for c in docs.columns]
+    names = docs.columns
     if {"score", "predicted"} & set(names):
         raise ValueError("docs has a column named score or predicted")
     at = names.index(text_col)
@@ -130,7 +130,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    return docs.mapInArrow(run, StructType([*spare.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name with a dot would be taken for a field
+    return plain.mapInArrow(run, StructType([*spare.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = 6000) -> DataFrame:

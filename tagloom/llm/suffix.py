@@ -21,7 +21,7 @@ _CODES = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 def _smaller(values: np.ndarray, step: int) -> np.ndarray:
     """For each place the nearest one before (step -1) or after it (step 1) with a smaller value; -1 if there is none.
 
-    All places jump at once: between a place and its candidate all values are larger, and so it is for the candidate.
+    All places jump at once: between a place and its candidate no value is smaller, and so it is for the candidate.
     """
     n = len(values)
     if step > 0:
@@ -30,7 +30,7 @@ def _smaller(values: np.ndarray, step: int) -> np.ndarray:
     to = np.arange(n, dtype=np.int64) - 1
     active = np.arange(1, n)
     while len(active):
-        active = active[values[to[active]] > values[active]]
+        active = active[values[to[active]] >= values[active]]
         to[active] = to[to[active]]
         active = active[to[active] >= 0]
     return to
