@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import cut
+
 
 def _key(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]))
@@ -71,6 +73,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^ \x09-\x0D]+")), F.lit(0)).cast("bigint")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), words.alias("n_tokens")).where("n_tokens > 0")
+    base = cut(base)  # ids and counts only: texts are read and counted once
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     sizes = base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     weights = source_weights(sizes.select("source", "tokens"), budget_ratio, entropy_share, max_repeats)
