@@ -26,8 +26,8 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("w"))
     ahead = doc.orderBy("before").rangeBetween(0, min_words - 1)
     back = doc.orderBy("upto").rangeBetween(1 - min_words, 0)
-    cols = [F.struct(F.min("h").over(w).alias("mark"), F.xxhash64(F.collect_list("h").over(w), F.lit(i)).alias("run"), F.min("p").over(w).alias("a"), F.max("p").over(w).alias("b"), F.sum("w").over(w).alias("words")) for i, w in enumerate((ahead, back))]
-    seen = lines.select("id", "th", cols[0].alias("fore"), cols[1].alias("aft")).select("id", "th", F.explode(F.array("fore", "aft")).alias("x")).where(F.col("x.words") >= min_words).select("id", "th", "x.mark", "x.run", "x.a", "x.b")
+    cols = [F.struct(F.min("h").over(w).bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), F.xxhash64(F.collect_list("h").over(w)).alias("run"), F.min("p").over(w).alias("a"), F.max("p").over(w).alias("b"), F.sum("w").over(w).alias("words")) for w in (ahead, back)]
+    seen = lines.select("id", "th", cols[0].alias("fore"), cols[1].alias("aft")).select("id", "th", F.explode(F.array_distinct(F.array("fore", "aft"))).alias("x")).where(F.col("x.words") >= min_words).select("id", "th", "x.mark", "x.run", "x.a", "x.b")
     first = seen.groupBy("mark", "run").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.max(F.struct("id", "th", "a")).alias("last")).where("first < last").select("mark", "run", "first")
     later = seen.join(first, ["mark", "run"]).where(F.struct("id", "th", "a") > F.col("first")).select("id", "th", "a", "b")
     far = F.max("b").over(doc.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
