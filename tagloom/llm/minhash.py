@@ -89,14 +89,14 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, per_salt: int = 200, tile_shingles: int = 300_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 25, rows: int = 5, per_salt: int = 200, tile_shingles: int = 300_000, tile_rows: int = 1500) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per document; links are pairs with 100 * |A & B| >= percent * |A | B|.
 
     Equal sets fall into one class first (a partial aggregate, so exact copies never meet in one task). Class
     representatives go to banded buckets; each bucket links all members with one centre. Sets are confirmed in full.
-    Buckets whose members are still in several components get another centre. What is in several components even then
-    is compared in full, in tiles of about tile_shingles shingles that return a spanning set of the links between
-    components, never pairs; so no link that shares a bucket is lost, whatever the centres were. That work grows with
+    Buckets whose members are still in several components are compared in full, in tiles of about tile_shingles
+    shingles and tile_rows documents that return a spanning set of the links between components, never pairs; so no
+    link that shares a bucket is lost, whatever the centres were. That work grows with
     the square of a group of documents that resemble each other but are not linked; nothing caps it. A link with
     similarity s shares no bucket with probability (1 - s**rows)**bands: 5e-7 at 0.85, 5e-5 at 0.8.
 
@@ -121,39 +121,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     sets = text.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>")
     sets.repartition(parts, "id").write.bucketBy(parts, "id").format("parquet").saveAsTable(table)
-    found = None
-    label = None
     try:
-        for stage in ("first", "second", "rest"):
-            own = buckets if label is None else buckets.join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-            if label is not None:
-                mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-                own = own.join(mixed, "key")
-            else:
-                own = own.withColumn("c", F.col("rep"))
-            if stage == "rest":
-                own = cut(own.select("key", "rep", "n", "c"))
-                if not own.limit(1).count():
-                    break
-                good = cut(_across(own, spark.table(table), percent, tile_shingles))
-                found = good if found is None else found.unionAll(good)
-                label = components(found).select(F.col("id").alias("rep"), "component")
-                break
-            order = F.col("rep") if stage == "first" else F.xxhash64("rep")
-            centre = own.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("s"))
-            centre = centre.select("key", F.col("s.rep").alias("a"), F.col("s.n").alias("m"), F.col("s.c").alias("d"))
-            pairs = own.join(centre, "key").where("c != d and rep != a").select("a", F.col("rep").alias("b"), "n", "m")
-            pairs = pairs.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).groupBy("a", "b").agg(F.min("n").alias("n"))
-            pairs = cut(pairs.select("a", "b"))
-            if not pairs.limit(1).count():
-                continue
-            good = cut(_confirmed(pairs, spark.table(table), percent, per_salt))
-            found = good if found is None else found.unionAll(good)
+        centre = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s")).select("key", F.col("s.rep").alias("a"), F.col("s.n").alias("m"))
+        star = buckets.join(centre, "key").where("rep != a").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        star = cut(star.select("a", F.col("rep").alias("b")).distinct())
+        found = cut(_confirmed(star, spark.table(table), percent, per_salt))
+        label = components(found).select(F.col("id").alias("rep"), "component")
+        own = buckets.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
+        own = cut(own.join(mixed, "key"))
+        if not own.isEmpty():
+            found = found.unionAll(cut(_across(own, spark.table(table), percent, tile_shingles, tile_rows)))
             label = components(found).select(F.col("id").alias("rep"), "component")
     finally:
         spark.sql(f"drop table if exists {table}")
     of = classes.select("h1", "h2", "rep")
-    of = of.join(label, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c")) if label is not None else of.withColumnRenamed("rep", "c")
+    of = of.join(label, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     out = sig.select("id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("h1")).alias("h1"), "h2").join(of, ["h1", "h2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -208,7 +191,7 @@ def _spanning(percent: int):
     return run
 
 
-def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int) -> DataFrame:
+def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int, tile_rows: int) -> DataFrame:
     """Links (a, b) that join all components of bucket mates; own has (key, rep, n, c) of the buckets with several.
 
     Buckets that share members are one cluster. A cluster of few shingles is one tile. Else tiles hold documents of a
@@ -218,10 +201,11 @@ def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int) -
     cluster = components(own.join(first, "key").select(F.col("rep").alias("a"), "b"))
     rows = own.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
     rows = cut(rows.join(cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"))
-    size = rows.groupBy("cluster").agg(F.sum("n").alias("all"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    load = F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int")
+    size = rows.groupBy("cluster").agg(load.alias("all"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     rows = rows.join(size.select("cluster", "all"), "cluster")
-    rows = rows.withColumn("g", F.when(F.col("all") <= tile_shingles, F.lit(0)).otherwise(F.floor(F.log("n") / np.log(100 / percent)).cast("int")))
-    tiles = rows.groupBy("cluster", "g").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles"))
+    rows = rows.withColumn("g", F.when(F.col("all") <= 1, F.lit(0)).otherwise(F.floor(F.log("n") / np.log(100 / percent)).cast("int")))
+    tiles = rows.groupBy("cluster", "g").agg(load.alias("tiles"))
     rows = rows.join(tiles, ["cluster", "g"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     partner = tiles.select("cluster", F.col("g").alias("h"), F.col("tiles").alias("others"))
     rows = rows.withColumn("h", F.explode(F.array(F.col("g") - 1, "g", F.col("g") + 1))).join(partner, ["cluster", "h"])
