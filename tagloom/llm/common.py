@@ -58,9 +58,10 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
     """Rows lo..hi of a string column with their UTF-8 bytes and offsets, about limit bytes at a time; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    buffers, kind = column.buffers(), np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(buffers[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):

@@ -122,7 +122,7 @@ def _runs(ids: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return ids[first], lo[first], (far - base)[last]
 
 
-def _anchored(length: int, gram: int, most: int = 1_000_000):
+def _anchored(length: int, gram: int, most: int = 250_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -168,7 +168,7 @@ def _segments(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("part", pa.binary()), ("span", pa.int32())])
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             seen: dict[bytes, tuple[int, int]] = {}
             rows: list[tuple] = []
             for i, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -223,7 +223,7 @@ def _factors(length: int, block: int = 1 << 20):
             held.clear()
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # ids and short strings
                 if size >= block and row[0] != held[-1][0]:
                     yield from flush()
                     size = 0
@@ -236,7 +236,7 @@ def _factors(length: int, block: int = 1 << 20):
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
         out = []
         for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
