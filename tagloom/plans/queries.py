@@ -499,6 +499,6 @@ def _(spark, d):
 @register("midi_duration", "with e as (select 'u' || user_id as file_id, event_type as track, event_id as seq, (epoch_ms(ts) - epoch_ms(timestamp '2024-01-01'))::bigint // 1000 as tick, case when event_id % 50 = 0 then 300000 + (event_id * 1000) % 400000 end as tempo from events), m as (select file_id, track, tick, tempo, seq from e where tempo is not null union all select file_id, track, 0, 500000, -1 from e group by 1, 2), x as (select m.*, z.fin, lead(m.tick) over (partition by m.file_id, m.track order by m.tick, m.seq) as nxt from m join (select file_id, track, max(tick) as fin from e group by 1, 2) z on m.file_id = z.file_id and m.track = z.track), s as (select file_id, track, sum((least(coalesce(nxt, fin), fin) - tick) * tempo / 480 / 1e6) as secs from x group by 1, 2) select file_id, round(max(secs), 6) as length_secs from s group by 1")
 def _(spark, d):
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    tick = F.floor((F.unix_millis("ts") - F.unix_millis(start)) / 1000).cast("bigint")
+    tick = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(start)) / 1000).cast("bigint")
     rows = _table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_id"), F.col("event_type").alias("track"), F.col("event_id").alias("seq"), tick.alias("tick"), F.when(F.col("event_id") % 50 == 0, 300000 + (F.col("event_id") * 1000) % 400000).alias("tempo"), F.lit(480).alias("division"))
     return midi.durations(rows).select("file_id", F.round("length_secs", 6).alias("length_secs"))
