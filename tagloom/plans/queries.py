@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions import scalars as S
-from tagloom.operators import convert, detect, diff, midi, replaygain, views
+from tagloom.operators import artwork, convert, detect, diff, midi, render, replaygain, views
 from tagloom.operators import items as I
 from tagloom.plans import dims
 from tagloom.plans.samples import items, items_sql
@@ -502,3 +502,27 @@ def _(spark, d):
     tick = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(start)) / 1000).cast("bigint")
     rows = _table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file_id"), F.col("event_type").alias("track"), F.col("event_id").alias("seq"), tick.alias("tick"), F.when(F.col("event_id") % 50 == 0, 300000 + (F.col("event_id") * 1000) % 400000).alias("tempo"), F.lit(480).alias("division"))
     return midi.durations(rows).select("file_id", F.round("length_secs", 6).alias("length_secs"))
+
+
+# ---- texts and pictures ----------------------------------------------------------------------------------------------
+
+_LINE = "case status when 'changed' then '~' when 'left_only' then '-' when 'right_only' then '+' else '=' end || ' ' || lpad(key, w, ' ') || ': ' || case status when 'changed' then l || ' → ' || r else coalesce(l, r) end || chr(10)"
+_QUOTED = "'[' || array_to_string(list_transform({}, lambda v: '\"' || replace(v, chr(9), '\\t') || '\"'), ', ') || ']'"
+
+
+def _pretty_sql() -> str:
+    side = lambda x: f"(select file_id, key, flatten(list(vals order by o)) as vals from {x} group by file_id, key)"
+    rows = f"(select coalesce(a.file_id, b.file_id) as file_id, coalesce(a.key, b.key) as key, case when a.vals is null then 'right_only' when b.vals is null then 'left_only' when a.vals = b.vals then 'unchanged' else 'changed' end as status, {_QUOTED.format('a.vals')} as l, {_QUOTED.format('b.vals')} as r from {side(_LEFT)} a full join {side(_RIGHT)} b on a.file_id = b.file_id and a.key = b.key)"
+    return f"select file_id, string_agg({_LINE}, '' order by case status when 'changed' then 0 when 'left_only' then 1 when 'right_only' then 2 else 3 end, key) as text from (select *, (max(strlen(key)) over (partition by file_id))::int as w from {rows}) group by file_id"
+
+
+@register("diff_pretty", _pretty_sql())
+def _(spark, d):
+    return render.pretty(diff.diff(*_perturbed(spark, d), diff.Options(include_unchanged=True)), full=True)
+
+
+@register("image_types", "select n_nationkey, case n_nationkey % 5 when 0 then 'image/png' when 1 then 'image/jpeg' when 2 then 'image/gif' when 3 then 'image/webp' else '' end as mime, ['Other', 'File icon', 'Other file icon', 'Front cover'][n_nationkey % 4 + 1] as name from nation")
+def _(spark, d):
+    k = F.col("n_nationkey")
+    data = F.unhex(F.when(k % 5 == 0, "89504E470D0A1A0A00").when(k % 5 == 1, "FFD8FFE000").when(k % 5 == 2, "474946383961").when(k % 5 == 3, "524946460000000057454250").otherwise("00"))
+    return _table(spark, d, "nation").select("n_nationkey", F.coalesce(artwork.image_type(data), F.lit("")).alias("mime"), artwork.type_name(k % 4).alias("name"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import base64
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import convert, diff
+from tagloom.operators import artwork, convert, diff, render
 from tagloom.sources import audio, snapshot
 from tagloom.sources.parsers import ape, base, flac, id3, ogg, vorbis
+from tagloom.streaming import ingest
 from tests.audio_bytes import APE_ITEMS, COMMENTS, FILES, ITEMS, mp3
 
 
@@ -122,3 +124,30 @@ def test_snapshots(spark, folder):
     got = snapshot.read(odd).withColumn("raw_tags", F.to_json("raw_tags")).collect()
     assert [r["error"] for r in got] == ["not a snapshot", "not a snapshot", None, "too many entries"]
     assert got[2]["snapshot"]["stream_info"]["length_secs"] is None and got[2]["raw_tags"] == '{"a":[1]}'
+
+
+def test_pictures(spark, folder):
+    rows = audio.read_audio(spark, folder, "a.m4a")
+    assert [(r.mime_type, r.picture_type, bytes(r.data)) for r in artwork.covers(rows).collect()] == [("image/jpeg", 3, b"\xff\xd8\xff\xe0")]
+    items = spark.createDataFrame([("f", 0, "TITLE", ["t"])], "file_id string, ordinal int, key string, values array<string>")
+    new = spark.createDataFrame([("f", "image/png", 3, "dé", bytearray(b"\x89PNG"))], "file_id string, mime_type string, picture_type int, description string, data binary")
+    added = {r.key: r["values"] for r in artwork.add_pictures(items, new).collect()}
+    block = vorbis.picture(base64.b64decode(added["metadata_block_picture"][0]))
+    assert (block["mime_type"], block["description"], base64.b64decode(block["data"])) == ("image/png", "dé", b"\x89PNG")
+    assert artwork.clear_pictures(artwork.add_pictures(items, new)).count() == 1
+
+
+def test_stream_text_and_unified(spark, folder):
+    rows = audio.read_audio(spark, folder, "a.wav").select(render.stream_text("stream_info").alias("t")).collect()
+    assert rows[0].t == "1.00 seconds, 1411 kbps, 44100 Hz, 2 channels, 16 bit"
+    d = spark.createDataFrame([("f", "k", "changed", ["a"], ["b"]), ("g", "k", "unchanged", ["a"], ["a"])], "file_id string, key string, status string, left array<string>, right array<string>")
+    assert {r.file_id: r.text for r in render.unified(d).collect()} == {"f": '--- left\n+++ right\n~ k: ["a"] → ["b"]\n', "g": "No differences"}
+
+
+def test_ingestion(spark, folder, tmp_path):
+    for _ in range(2):
+        query = ingest.ingest(spark, folder, str(tmp_path / "out"), str(tmp_path / "checkpoint"), "a.*", per_trigger=7)
+        query.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("path").distinct().count() == len([n for n in FILES if n.startswith("a.")])
+    assert ingest.arrivals(audio.scan(spark, folder)).agg(F.sum("files")).first()[0] >= len(FILES)
