@@ -17,8 +17,24 @@ _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[97:123], _SHAPE[65:91], _SHAPE[48:58], _SHAPE[128:] = 97, 65, 48, 97
 
 
+#: Words that stand again after so many words, and the shares of all words from which that is a feature.
+_LAGS, _SHARES = (1, 2, 3, 4), np.array([0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
+
+
+def _echoes(word: np.ndarray, row: np.ndarray, at: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Feature numbers of each row for n-grams that begin and end with one word, by the shares they reach."""
+    size = np.maximum(np.diff(at), 1)
+    reached = np.zeros((len(size), len(_LAGS), len(_SHARES)), bool)
+    for i, k in enumerate(_LAGS):
+        again = (word[k:] == word[:-k]) & (row[k:] == row[:-k])
+        share = np.bincount(row[k:][again], minlength=len(size)) / size
+        reached[:, i, :] = share[:, None] >= _SHARES
+    number = (mix(np.arange(1, len(_LAGS) * len(_SHARES) + 1, dtype=np.uint64) << np.uint64(40)) >> np.uint64(64 - bits)).astype(np.int32)
+    return [number[r] for r in reached.reshape(len(size), -1)]
+
+
 def features(codes: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Distinct feature numbers of each row: words, word pairs, shapes of word ends, and pairs of those."""
+    """Distinct feature numbers of each row: words, word pairs, shapes of word ends, pairs of those, and words said again."""
     start, end, row = runs(~SPACE[codes], offsets)
     at = np.searchsorted(row, np.arange(len(offsets)))
     shift, n = np.uint64(64 - bits), len(start)
@@ -27,12 +43,13 @@ def features(codes: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[np.n
         tail = span_hash(prefix_sums(_SHAPE[codes]), np.maximum(start, end - 3), end)
         kinds = [word, tail * np.uint64(0xD1B54A32D192ED03)]
         pair = [np.append(mix(k[:-1] * np.uint64(0x9E3779B97F4A7C15) + k[1:]), k[-1:]) for k in kinds]
+        echoes = _echoes(word, row, at, bits)
         kinds = [(mix(k + np.uint64(i)) >> shift).astype(np.int32) for i, k in enumerate((*kinds, *pair))]
-    for lo, hi in zip(at[:-1], at[1:], strict=True):
+    for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if lo == hi:
             yield np.zeros(0, np.int32)
             continue
-        f = np.sort(np.concatenate((kinds[0][lo:hi], kinds[1][lo:hi], kinds[2][lo : hi - 1], kinds[3][lo : hi - 1])))
+        f = np.sort(np.concatenate((kinds[0][lo:hi], kinds[1][lo:hi], kinds[2][lo : hi - 1], kinds[3][lo : hi - 1], echoes[k])))
         yield f[np.concatenate(([True], f[1:] != f[:-1]))]
 
 
