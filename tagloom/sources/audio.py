@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import convert, detect
-from tagloom.sources.parsers import ape, asf, chunks, flac, id3, mp4, mpeg, ogg, streams
+from tagloom.sources.parsers import ape, asf, chunks, flac, id3, mp4, mpeg, ogg, rewrite, streams
 from tagloom.sources.parsers.base import ParseError, Parsed
 
 Parser = Callable[[bytes], Parsed]
@@ -121,8 +121,24 @@ def _riff_file(order: str, name: bytes):
     return write
 
 
+def _dsf_file(data: bytes, items: list[tuple[str, list[str]]]) -> bytes:
+    at = int.from_bytes(data[20:28], "little")
+    body, tag = data[: at or len(data)], id3.encode(items) if items else b""
+    return body[:12] + (len(body) + len(tag)).to_bytes(8, "little") + (len(body) if tag else 0).to_bytes(8, "little") + body[28:] + tag
+
+
+def _dsdiff_file(data: bytes, items: list[tuple[str, list[str]]]) -> bytes:
+    kept = b"".join(data[a - 12 : a + s] + b"\0" * (s & 1) for n, a, s in chunks.walk(data, 16, len(data), "big", wide=True) if n.strip().lower() != "id3")
+    tag = id3.encode(items) if items else b""
+    kept += b"ID3 " + len(tag).to_bytes(8, "big") + tag + b"\0" * (len(tag) & 1) if tag else b""
+    return data[:4] + (len(kept) + 4).to_bytes(8, "big") + data[12:16] + kept
+
+
+WRITERS |= {"DSF": _dsf_file, "DSDIFF": _dsdiff_file, "ID3": lambda data, items: id3.encode(items)}
 WRITERS |= {"MP3": _id3_file, "TrueAudio": _id3_file, "WAVE": _riff_file("little", b"id3 "), "AIFF": _riff_file("big", b"ID3 ")} | {f: _ape_file for f in ("MonkeysAudio", "WavPack", "Musepack", "TAK", "OptimFROG", "APEv2")}
 
+WRITERS |= {"MP4": rewrite.mp4_tags, "ASF": rewrite.asf_tags} | {f: rewrite.ogg_tags for f in ("OggVorbis", "OggOpus", "OggSpeex", "OggTheora", "OggFlac")}
+
 
 def write_tags(data: bytes, fmt: str, items: list[tuple[str, list[str]]]) -> bytes:
     """A file's bytes with these items as its tags; none clears them."""

@@ -55,7 +55,7 @@ def ogg_pages(packets, granule, serial=7):
 
 
 def ogg_vorbis():
-    return ogg_pages([b"\x01vorbis" + struct.pack("<IBIiii", 0, 2, 44100, 0, 128000, 0) + b"\xb8\x01", b"\x03vorbis" + vorbis.encode(COMMENTS) + b"\x01", bytes(100)], 88200)
+    return ogg_pages([b"\x01vorbis" + struct.pack("<IBIiii", 0, 2, 44100, 0, 128000, 0) + b"\xb8\x01", b"\x03vorbis" + vorbis.encode(COMMENTS) + b"\x01", b"\x05vorbis" + bytes(40), bytes(100)], 88200)
 
 
 def opus():
@@ -74,7 +74,7 @@ def theora():
     bits = 0
     for value, n in ((3, 8), (2, 8), (1, 8), (20, 16), (15, 16), (320, 24), (240, 24), (0, 8), (0, 8), (25, 32), (1, 32), (1, 24), (1, 24), (0, 8), (200000, 24), (32, 6), (6, 5), (0, 2), (0, 3)):
         bits = bits << n | value
-    return ogg_pages([b"\x80theora" + bits.to_bytes(35, "big"), b"\x81theora" + vorbis.encode(COMMENTS), bytes(10)], (2 << 6) | 48)
+    return ogg_pages([b"\x80theora" + bits.to_bytes(35, "big"), b"\x81theora" + vorbis.encode(COMMENTS), b"\x82theora", bytes(10)], (2 << 6) | 48)
 
 
 def mp3(frames=20, tag=b"", xing=False, end=b""):

@@ -81,9 +81,10 @@ def test_conversion_of_parsed_files(spark, folder):
 
 
 def test_new_files_with_other_tags(spark, folder):
-    names = ["a.flac", "a.mp3", "a.wav", "a.aif", "a.ape", "a.wv", "a.tta", "v1.mp3"]
+    oggs = ["a.ogg", "a.opus", "a.spx", "a.oga", "a.ogv"]
+    names = ["a.flac", "a.mp3", "a.wav", "a.aif", "a.ape", "a.wv", "a.tta", "v1.mp3", "a.dsf", "a.dff", "a.m4a", "a.wma", *oggs]
     files = audio.scan(spark, folder).where(F.regexp_extract("path", "[^/]+$", 0).isin(names))
-    new = {"a.flac": [("title", ["Nëw"])], "a.ape": [("Title", ["Nëw"])], "a.wv": [("Title", ["Nëw", "er"])]}
+    new = {"a.flac": [("title", ["Nëw"])], "a.ape": [("Title", ["Nëw"])], "a.wv": [("Title", ["Nëw", "er"])], "a.m4a": [("----:com.apple.iTunes:ISRC", ["X"]), ("cpil", ["false"]), ("tmpo", ["-3"]), ("trkn", ["4/5"]), ("©nam", ["Nëw", "er"])], "a.wma": [("Title", ["Nëw"]), ("WM/Genre", ["One", "Two"]), ("WM/Year", ["1999"])]} | {o: [("title", ["Nëw" * 30_000])] for o in oggs}
     paths = [r.path for r in files.select("path").collect()]
     rows = [(p, k, v) for p in paths for k, v in new.get(p.rsplit("/", 1)[1], [("TIT2", ["Nëw"])])]
     out = audio.retag(files, spark.createDataFrame(rows, "file_id string, key string, values array<string>"))
