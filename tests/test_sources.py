@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import artwork, convert, diff, render
-from tagloom.sources import audio, snapshot
+from tagloom.sources import audio, probe, snapshot
 from tagloom.sources.parsers import ape, base, flac, id3, ogg, vorbis
 from tagloom.streaming import ingest
 from tests.audio_bytes import APE_ITEMS, COMMENTS, FILES, ITEMS, mp3
@@ -152,3 +152,10 @@ def test_ingestion(spark, folder, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("path").distinct().count() == len([n for n in FILES if n.startswith("a.")])
     assert ingest.arrivals(audio.scan(spark, folder)).agg(F.sum("files")).first()[0] >= len(FILES)
+
+
+def test_probe_reads_both_ends_only(spark, folder):
+    rows = {r.path.rsplit("/", 1)[1]: r for r in probe.probe(spark, folder).collect()}
+    for name, (data, fmt, _) in FILES.items():
+        assert (rows[name].format, rows[name].length, bytes(rows[name].header), bytes(rows[name].tail)) == (fmt, len(data), data[:128], data[-128:])
+    assert rows["empty.flac"].format == "FLAC" and rows["note.txt"].format is None
