@@ -17,7 +17,7 @@ def _names(docs: DataFrame) -> list[str]:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels).where("predicted = 1").select(_names(docs))
+    return quality.classify(docs, labels, score_col="__score", predicted_col="__predicted").where("__predicted = 1").select(_names(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def _turns(m: Mapping, fields: dict[str, object]) -> Column | None:
 
 
 def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """All columns of records, and layout, turns, formatted and mask.
+    """All columns of records, and layout, turns_out, formatted and mask, which replace columns of these names.
 
     formatted is '<turn ROLE>', a line break, the text and '</turn>' with a line break for each turn. In roles and
     texts each backslash, < and > becomes a backslash and a digit, so no text can hold a control string, and
@@ -121,9 +121,8 @@ def format_chats(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS, t
     Records whose fingerprint no mapping has get a null layout and no turns. Null texts and roles are empty; a null
     element of a list is no turn. Records that repeat are formatted alike, each by itself.
     """
+    records = records.drop("layout", "turns_out", "formatted", "mask", "__mark")
     fields = {f.name: f for f in records.schema.fields}
-    if clash := {"layout", "turns_out", "formatted", "mask"} & set(fields):
-        raise ValueError(f"records has columns named {sorted(clash)}")
     mark, layout, turns = fingerprint(records, mappings), F.lit(None).cast("string"), F.array().cast(TURNS)
     for m in mappings:
         if (own := _turns(m, fields)) is not None:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -179,13 +180,13 @@ def main_blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _extract(at: int, names: list[str]):
+def _extract(at: int, kept: list[int], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 text = [" ".join(b.text for b in main_blocks(x)) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1 :], pa.array(text, pa.string())], names=[*names[:at], *names[at + 1 :], "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(text, pa.string())], names=[*(names[i] for i in kept), "text"])
 
     return run
 
@@ -193,15 +194,12 @@ def _extract(at: int, names: list[str]):
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of pages besides the html, and text: the main blocks in page order, joined by one space.
 
-    Null or empty html gives an empty text. Each row stands alone: rows that repeat get the same text. Pages must not
-    have another column named text.
+    Null or empty html gives an empty text. Each row stands alone: rows that repeat get the same text. A column of pages
+    that is named text is replaced.
     """
-    names = pages.columns
-    if "text" in names:
-        raise ValueError("pages has a column named text")
-    from pyspark.sql.types import StringType, StructType
-
+    names, fields = pages.columns, pages.schema.fields
     at = names.index(html_col)
-    schema = StructType([f for f in pages.schema.fields if f.name != html_col]).add("text", StringType())
+    kept = [i for i, n in enumerate(names) if i != at and n.lower() != "text"]
     plain = pages.toDF(*[f"c{i}" for i in range(len(names))])  # a name with a dot would be taken for a field
-    return plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string")).mapInArrow(_extract(at, names), schema)
+    schema = StructType([fields[i] for i in kept]).add("text", StringType())
+    return plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string")).mapInArrow(_extract(at, kept, names), schema)

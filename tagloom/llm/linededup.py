@@ -41,8 +41,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text and rows of null id pass as they are (0 lines removed). Lines without words between two lines that go
     go with them. Rows that repeat (same id and text) are one document and get the same result; rows of one id with
-    other texts are ordered by text hash. Ties don't occur otherwise: an id and a line fix a place.
+    other texts are ordered by text hash. Ties don't occur otherwise: an id and a line fix a place. Columns of docs whose
+    names begin with two underscores and clash with those used here are replaced.
     """
+    docs = docs.drop("__key", "__hash", "__id", "__th", "__runs", "__kept", "__lines", "__removed")
     runs = removed_runs(docs, id_col, text_col, min_words)
     runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
     left = docs.withColumn("__key", F.col(id_col).cast("bigint")).repartition("__key").withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))

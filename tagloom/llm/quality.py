@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from tagloom.llm.common import FOLD, SPACE, mix, prefix_sums, runs, span_hash, text_chunks
 
@@ -126,15 +127,15 @@ def _collected(bits: int):
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs besides score (0 to 1) and predicted (1 from 0.5 up) of each whole text; null text is empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.scale))  # 2**bits floats
-    bits, spare = model.bits, docs.schema
-    names = docs.columns
-    if {"score", "predicted"} & set(names):
-        raise ValueError("docs has a column named score or predicted")
-    at = names.index(text_col)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """All columns of docs besides score (0 to 1) and predicted (1 from 0.5 up) of each whole text; null text is empty.
+
+    Columns of docs that have these two names are replaced. Rows stand alone: one that repeats gets the same score.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.scale))  # 2**bits floats
+    bits, names, fields = model.bits, docs.columns, docs.schema.fields
+    at, new = names.index(text_col), (score_col, predicted_col)
+    kept = [i for i, n in enumerate(names) if n.lower() not in {c.lower() for c in new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias, scale = shared.value
@@ -143,14 +144,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for lo, hi, codes, offsets in text_chunks(batch.column(at)):
                 s = np.array([own.score(f) for f in features(codes, offsets, bits)])
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*(names[i] for i in kept), *new])
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # a name with a dot would be taken for a field
-    return plain.mapInArrow(run, StructType([*spare.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return plain.mapInArrow(run, StructType([fields[i] for i in kept]).add(score_col, DoubleType()).add(predicted_col, IntegerType()))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = 6000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_fit_rows: int = 6000, **names) -> DataFrame:
     """Scores every row of docs by a model fitted on its labelled rows; see fit_frame() and score()."""
-    return score(docs, fit_frame(docs, labels, id_col, text_col, max_fit_rows=max_fit_rows), id_col, text_col)
+    return score(docs, fit_frame(docs, labels, id_col, text_col, max_fit_rows=max_fit_rows), id_col, text_col, **names)

@@ -398,6 +398,24 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(key, rows(queries.queries()[name](spark, SMALL)))) == sorted(map(key, want))
 
 
+def test_clashing_names(spark):
+    names = "id text n a b key rep c label score predicted layout formatted mask turns_out __key __hash __runs __lines __removed __mark link dim".split()
+    docs = spark.createDataFrame([(1, "some words here", "s", *["x"] * (len(names) - 1)), (2, "some words here", "s", *["y"] * (len(names) - 1))], ", ".join(["doc_id bigint", "text string", "source string", *(f"{n} string" for n in names if n != "text")]))
+    labels = spark.createDataFrame([(1, 1, "z")], "doc_id bigint, quality int, text string")
+    bench = spark.createDataFrame([(1, "some words here", 5)], "item_id bigint, text string, doc_id int")
+    assert [r["kept"] for r in rows(minhash.near_duplicates(docs).orderBy("doc_id"))] == [True, False]
+    assert {r["__removed"] for r in rows(linededup.dedup_lines(docs, min_words=3))} == {0, 1}
+    assert {r["score"] for r in rows(quality.classify(docs, labels))} != {"x"}
+    assert decontaminate.find_leaks(docs, bench, min_chars=5).count() == 2
+    assert mixing.mix_sources(docs).count() == 2 and licenses.scan_licenses(docs).count() == 2
+    assert suffix.repeated_spans(docs).count() == 2
+    pages = docs.withColumnRenamed("source", "html")
+    assert {r["text"] for r in rows(html.extract_text(pages))} == {"s"}
+    talks = docs.withColumn("turns", F.array(F.struct(F.lit("user").alias("role"), F.col("text"))))
+    assert {r["formatted"] for r in rows(chat.format_chats(talks))} == {"<turn user>\nsome words here</turn>\n"}
+    assert "score" in quality.classify(docs, labels).columns
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
