@@ -103,6 +103,63 @@ from e group by conv_id
 """
 
 
+_REACH = """
+r as (select a as id, b as to_id from l union select b, a from l union select r.id, l2.b from r join (select a, b from l union select b, a from l) l2 on r.to_id = l2.a),
+c as (select id, least(id, min(to_id)) as component_id from r group by id)
+"""
+
+_NEAR = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from t),
+e as (select doc_id, unnest(s) as x, len(s) as n from s),
+l as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+""" + _REACH + r"""
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(c.component_id, s.doc_id) as component_id, coalesce(c.component_id, s.doc_id) = s.doc_id as kept from s left join c on s.doc_id = c.id
+"""
+
+_VECTORS = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda y: y is null or isnan(y) or isinf(y))) = 0 and list_sum(list_transform(embedding, lambda y: abs(y))) > 0),
+l as materialized (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id < q.vec_id and len(p.x) = len(q.x) where list_cosine_similarity(p.x, q.x) >= 0.93),
+""" + _REACH + """,
+n as (select id, count(*) as n from (select a as id from l union all select b from l) group by id)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c.component_id, e.vec_id) as component_id, coalesce(c.component_id, e.vec_id) = e.vec_id as kept from embeddings e left join n on e.vec_id = n.id left join c on e.vec_id = c.id
+"""
+
+_SPANS = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+u as (select doc_id, o, substr(h, 2 * o + 1, 2198) as h from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 1000)) as o from t)),
+k as (select doc_id, o + s as s, md5(substr(h, 2 * s + 1, 200)) as k from (select doc_id, o, h, unnest(range(0, least(1000, length(h) // 2 - 99))) as s from u)),
+d as (select doc_id, s from (select doc_id, s, min(struct_pack(i := doc_id, s := s)) over (partition by k) as f from k) where struct_pack(i := doc_id, s := s) > f),
+g as (select doc_id, s, sum(case when s <= p + 100 then 0 else 1 end) over (partition by doc_id order by s) as g from (select doc_id, s, lag(s, 1, -1000) over (partition by doc_id order by s) as p from d)),
+m as (select doc_id, min(s) as a, max(s) + 100 as b from g group by doc_id, g),
+p as (select m.doc_id, m.a, m.b, lag(m.b, 1, 0) over (partition by m.doc_id order by m.a) as z from m),
+f as (select p.doc_id, sum(p.b - p.a) as gone, count(*) as spans, max(p.b) as last, string_agg(substr(t.h, 2 * p.z + 1, 2 * (p.a - p.z)), '' order by p.a) as kept from p join t using (doc_id) group by p.doc_id)
+select t.doc_id, (length(t.h) // 2)::bigint as n_bytes, coalesce(f.gone, 0)::bigint as n_removed, coalesce(f.spans, 0)::bigint as n_spans, sha256(unhex(coalesce(f.kept || substr(t.h, 2 * f.last + 1), t.h))) as kept_sha256 from t left join f using (doc_id)
+"""
+
+_MIX = r"""
+with recursive base as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+'))::bigint as n_tokens, coalesce(doc_id::varchar, '') as name from documents),
+b as (select * from base where n_tokens > 0),
+z as (select source, sum(n_tokens)::bigint as tokens, count(*) as docs from b group by source),
+q as (select list(tokens / al order by source) as q, max(al) as al from z, (select sum(tokens)::double as al from z)),
+e as (select 0 as i, 0.0::double as lo, 1.0::double as hi union all
+  select i + 1, case when ok then mid else lo end, case when ok then hi else mid end from (select i, lo, hi, (lo + hi) / 2 as mid, ln(list_sum(list_transform(q, lambda x: pow(x, (lo + hi) / 2)))) - list_sum(list_transform(q, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(q, lambda x: pow(x, (lo + hi) / 2))) >= 0.97 * ln(len(q)::double) as ok from e, q where i < 40)),
+r as (select 0 as i, 0.0::double as lo, 1.0::double as hi union all
+  select i + 1, case when over then mid else lo end, case when over then hi else mid end from (select i, lo, hi, (lo + hi) / 2 as mid, list_max(list_transform(q, lambda x: pow(x, (lo + hi) / 2) / x)) / list_sum(list_transform(q, lambda x: pow(x, (lo + hi) / 2))) > 4.0 as over from r, q where i < 40)),
+al as (select greatest((select lo from e where i = 40), case when (select list_max(list_transform(q, lambda x: 1 / x)) / len(q) from q) <= 4.0 then 0.0 else (select hi from r where i = 40) end) as a),
+w as (select source, tokens, docs, floor(pow(tokens / q.al, al.a) / (select sum(pow(tokens / q.al, al.a)) from z, q, al) * q.al + 1e-6)::bigint as target from z, q, al),
+p as (select source, tokens, target // tokens as whole, target % tokens as rest, ceil(docs / 256.0)::bigint as blocks from w),
+d as (select b.*, p.whole, p.rest, ('0x' || substr(md5('7|' || name), 1, 8))::bigint % p.blocks as block from b join p using (source)),
+k as (select source, block, whole, rest, sum(n_tokens) as size, md5('7|' || source || '|' || whole || '|' || block) as bk from d group by all),
+o as (select *, sum(size) over (partition by source order by bk, block rows unbounded preceding) as upto from k),
+f as (select d.*, sum(d.n_tokens) over (partition by d.source, d.block order by md5('7|' || d.source || '|' || d.whole || '|' || d.name), d.doc_id rows unbounded preceding) as cum, o.rest - (o.upto - o.size) as room from d join o using (source, block) where o.upto - o.size < o.rest and o.upto > o.rest),
+x as (select doc_id, source, unnest(range(whole)) as epoch, block, n_tokens, name from d
+  union all select d.doc_id, d.source, d.whole, d.block, d.n_tokens, d.name from d join o using (source, block) where o.upto <= o.rest and d.rest > 0
+  union all select doc_id, source, whole, block, n_tokens, name from f where cum <= room)
+select doc_id, source, epoch::bigint as epoch, block::bigint as block, n_tokens, md5('7|' || source || '|' || epoch || '|' || block) as block_key, md5('7|' || source || '|' || epoch || '|' || name) as doc_key from x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; the others are held against brute force or held-out labels in the tests."""
-    return {"op1_line_dedup": _LINES, "op10_chat_format": _CHATS}
+    return {"op1_line_dedup": _LINES, "op3_minhash_dedup": _NEAR, "op6_embedding_dedup": _VECTORS, "op8_source_mixing": _MIX, "op9_suffix_dedup": _SPANS, "op10_chat_format": _CHATS}

@@ -390,7 +390,7 @@ def test_chat_round_trip(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     cur = db.execute(queries.oracle_sql()[name])
     want = [dict(zip([c[0] for c in cur.description], r, strict=True)) for r in cur.fetchall()]
