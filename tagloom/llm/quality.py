@@ -101,19 +101,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, c: float = 1.0, e
 def fit_frame(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = 6000, bits: int = 18) -> Model:
     """Fits on at most max_fit_rows labelled documents whose crc32(id as text) mod 3 is not 1: those with the least hash of the id.
 
-    The bound keeps what the driver gathers the same at every size. Of an id with several labels the least counts;
+    The bound keeps the one task that fits the same at every size. Of an id with several labels the least counts;
     labels other than 0 and 1 and null ids are not used.
     """
     key = F.col(id_col).cast("bigint")
     marked = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1) and crc32(cast(id as string)) % 3 <> 1")
     chosen = marked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
     got = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # max_fit_rows bounds it
-    table = got.mapInArrow(_collected(bits), "id bigint, y int, f array<int>").toArrow().combine_chunks().sort_by("id")
-    lists = table.column("f").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], table.column("y").to_numpy(), bits)
+    rows = got.mapInArrow(_collected(bits), "id bigint, y int, f array<int>").repartition(1)  # max_fit_rows at most
+    found = rows.mapInArrow(_fitted(bits), "weight binary, bias double").first()
+    return Model(np.frombuffer(found["weight"], np.float32), found["bias"], bits) if found else fit([], np.zeros(0), bits)
+
+
+def _fitted(bits: int):
+    """Fits in one task, so that neither rows nor features come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, lists = [], [], []
+        for batch in batches:
+            column = batch.column("f")
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            lists += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ids.append(batch.column("id").to_numpy())
+            labels.append(batch.column("y").to_numpy())
+        order = np.lexsort((np.array([len(f) for f in lists]), np.concatenate(ids))) if ids else []
+        model = fit([lists[i] for i in order], np.concatenate(labels)[order] if ids else np.zeros(0), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    return run
 
 
 def _collected(bits: int):
