@@ -230,3 +230,31 @@ def padding(size: Column | str, content: Column | str) -> Column:
     """Bytes of padding to keep: the present size if it is from 0 to 10 KiB and 1 % of the content, else 1 KiB and 0.1 %."""
     s, c = _col(size).cast("bigint"), _col(content).cast("bigint")
     return F.when(s.between(0, F.lit(10 * 1024) + F.floor(c / 100)), s).otherwise(F.lit(1024) + F.floor(c / 1000))
+
+
+def bit_padded(data: Column | str, bits: int = 7, big: bool = True) -> Column:
+    """The number that is in the low bits of each of up to eight bytes."""
+    d = _col(data)
+    byte = lambda i: F.conv(F.hex(F.substr(d, i, F.lit(1))), 16, 10).cast("bigint").bitwiseAND((1 << bits) - 1)
+    at = F.when(F.octet_length(d) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.octet_length(d)))
+    return F.aggregate(at if big else F.reverse(at), F.lit(0).cast("bigint"), lambda a, i: F.shiftleft(a, bits) + byte(i))
+
+
+def upgrade_frame_id(key: Column | str) -> Column:
+    """The four-letter id of a three-letter frame id of version 2.2; other ids as they are, unknown three-letter ones null."""
+    from tagloom.sources.parsers.id3 import UPGRADE
+
+    k = _col(key)
+    table = F.create_map(*[F.lit(x) for kv in UPGRADE.items() for x in kv])
+    return F.when(F.length(k) == 3, F.try_element_at(table, k)).otherwise(k)
+
+
+def over_limit(data: Column | str, most: int) -> Column:
+    """Whether bytes break a cap; nothing never does."""
+    return F.coalesce(F.octet_length(_col(data)) > most, F.lit(False))
+
+
+def from_glob(glob: Column | str) -> Column:
+    """glob_to_regex() of a column of patterns with * and ? only; every other character stands for itself."""
+    quoted = F.regexp_replace(_col(glob), r"([^A-Za-z0-9 _*?])", r"\\$1")
+    return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))

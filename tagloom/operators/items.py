@@ -130,3 +130,22 @@ def common_fields(items: DataFrame, names: Sequence[str] = ("artist", "album", "
     other = {"track_number": "tracknumber"}
     first = F.try_element_at("values", F.lit(1))
     return items.groupBy("file_id").agg(*[F.max_by(F.when(low == other.get(n, n), first), F.when(low == other.get(n, n), F.col("ordinal"))).alias(n) for n in names])
+
+
+def match_patterns(items: DataFrame, patterns: DataFrame, most: int = 10_000) -> DataFrame:
+    """Items with the name of the pattern (pattern, name, priority) that fits each key: an exact one first, else the least priority.
+
+    Exact patterns are an equi-join. Patterns with * or ? need a comparison with each, so there may be most of them at
+    most; that is checked, and bounds what is broadcast.
+    """
+    from tagloom.functions.scalars import from_glob
+
+    wild = patterns.where(F.col("pattern").rlike(r"[*?]"))
+    if (n := wild.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} patterns ({n})")
+    names = items.select("key").distinct()
+    exact = patterns.where(~F.col("pattern").rlike(r"[*?]")).select(F.col("pattern").alias("key"), "name", F.struct(F.lit(0).alias("kind"), "priority").alias("rank"))
+    loose = F.broadcast(wild.withColumn("regex", from_glob("pattern")))
+    fits = names.join(loose, F.expr("key rlike regex")).select("key", "name", F.struct(F.lit(1).alias("kind"), "priority").alias("rank"))
+    best = names.join(exact, "key").select("key", "name", "rank").unionByName(fits).groupBy("key").agg(F.min_by("name", "rank").alias("name"))
+    return items.join(best, "key", "left")

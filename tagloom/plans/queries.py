@@ -526,3 +526,27 @@ def _(spark, d):
     k = F.col("n_nationkey")
     data = F.unhex(F.when(k % 5 == 0, "89504E470D0A1A0A00").when(k % 5 == 1, "FFD8FFE000").when(k % 5 == 2, "474946383961").when(k % 5 == 3, "524946460000000057454250").otherwise("00"))
     return _table(spark, d, "nation").select("n_nationkey", F.coalesce(artwork.image_type(data), F.lit("")).alias("mime"), artwork.type_name(k % 4).alias("name"))
+
+
+@register("glob_lookup", f"select file_id, key, case when key = 'TPE1' then 'lead' when starts_with(key, 'TXXX:') then 'user' when regexp_full_match(key, 'T.L.') then 'title or album' when starts_with(key, 'T') then 'text' end as name from {items_sql('ID3v2')}")
+def _(spark, d):
+    patterns = spark.createDataFrame([("TPE1", "lead", 9), ("TXXX:*", "user", 0), ("T?L?", "title or album", 1), ("T*", "text", 2)], "pattern string, name string, priority int")
+    return I.match_patterns(items(spark, d, "ID3v2"), patterns).select("file_id", "key", "name")
+
+
+@register("frame_id_upgrade", "select n_nationkey, key, case key when 'TT2' then 'TIT2' when 'TP1' then 'TPE1' when 'PIC' then 'APIC' when 'TXXX' then 'TXXX' end as frame, regexp_full_match(key, '[A-Z][A-Z0-9]{3}') as valid from nation cross join (values ('TT2'), ('TP1'), ('PIC'), ('TXXX'), ('ZZZ')) as k(key)")
+def _(spark, d):
+    rows = _table(spark, d, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ("TT2", "TP1", "PIC", "TXXX", "ZZZ")))).alias("key"))
+    return rows.select("n_nationkey", "key", S.upgrade_frame_id("key").alias("frame"), S.is_frame_id("key").alias("valid"))
+
+
+@register("bit_padded_int", "select p_partkey, ((p_partkey % 128) + 128 * ((p_partkey // 128) % 128) + 16384 * (p_size % 128))::bigint as n from part")
+def _(spark, d):
+    byte = lambda c: F.unhex(F.lpad(F.hex(c), 2, "0"))
+    data = F.concat(byte(F.col("p_size") % 128), byte(F.floor(F.col("p_partkey") / 128) % 128), byte(F.col("p_partkey") % 128))
+    return _table(spark, d, "part").select("p_partkey", S.bit_padded(data).alias("n"))
+
+
+@register("text_limits", "select doc_id, coalesce(strlen(text), 0) > 2000 as over from documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", S.over_limit("text", 2000).alias("over"))

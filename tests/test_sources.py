@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import artwork, convert, diff, render
+from tagloom.operators import artwork, chunks, convert, diff, render
 from tagloom.sources import audio, probe, snapshot
 from tagloom.sources.parsers import ape, base, flac, id3, ogg, vorbis
 from tagloom.streaming import ingest
@@ -159,3 +159,11 @@ def test_probe_reads_both_ends_only(spark, folder):
     for name, (data, fmt, _) in FILES.items():
         assert (rows[name].format, rows[name].length, bytes(rows[name].header), bytes(rows[name].tail)) == (fmt, len(data), data[:128], data[-128:])
     assert rows["empty.flac"].format == "FLAC" and rows["note.txt"].format is None
+
+
+def test_chunk_lookups(spark, folder):
+    rows = chunks.chunks(audio.read_audio(spark, folder, "a.*"))
+    assert chunks.find(rows, "fmt ").first().size == 16
+    assert {r.path for r in chunks.findall(rows, "hdlr", recursive=True).collect()} == {"moov.trak.mdia.hdlr", "moov.udta.meta.hdlr"}
+    assert {r.path for r in chunks.children(rows, "moov.udta").collect()} == {"moov.udta.meta", "moov.udta.chpl"}
+    assert chunks.has(rows, "moov").where("found").count() == 1 and chunks.findall(rows, "moov").count() == 1
