@@ -57,9 +57,14 @@ def parse_one(fmt: str | None, data: bytes, parsers: dict[str, Parser] | None =
 def _parse(parsers: dict[str, Parser] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, fmt, data in zip(*(batch.column(c) for c in ("path", "format", "content")), strict=True):  # one file in memory at a time
-                row = {"path": path.as_py(), "format": fmt.as_py()} | parse_one(fmt.as_py(), data.as_py() or b"", parsers)
-                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+            rows, size = [], 0
+            for path, fmt, data in zip(*(batch.column(c) for c in ("path", "format", "content")), strict=True):  # one file's bytes at a time
+                rows.append({"path": path.as_py(), "format": fmt.as_py()} | parse_one(fmt.as_py(), data.as_py() or b"", parsers))
+                size += len(rows[-1].get("extra") or "")
+                if size > 4 << 20 or len(rows) >= 256:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return run
 
@@ -67,7 +72,9 @@ def _parse(parsers: dict[str, Parser] | None):
 def parse_audio(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Rows of SCHEMA for files (path, content). parsers replaces or adds parsers by format name for this call."""
     both = (PARSERS | parsers) if parsers else None
-    return detect.with_format(files.select("path", "content")).select("path", "format", "content").mapInArrow(_parse(both), SCHEMA)
+    rows = detect.with_format(files.select("path", "content"))
+    content = F.when(F.col("format").isin(*(both or PARSERS)), F.col("content")).alias("content")  # other files' bytes needn't go to Python
+    return rows.select("path", "format", content).mapInArrow(_parse(both), SCHEMA)
 
 
 def scan(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:

@@ -41,11 +41,11 @@ def atoms(data: bytes, at: int = 0, end: int | None = None, path: str = "", dept
 def _data(data: bytes, start: int, end: int) -> list[tuple[int, bytes]]:
     """(type, value) of the data atoms of a tag."""
     out = []
-    while start + 16 <= end:
+    while start + 8 <= end:
         size, name = unpack(">I4s", data, start)
-        if size < 16 or start + size > end:
+        if size < 8 or start + size > end:
             break
-        if name == b"data":
+        if name == b"data" and size >= 16:
             out.append((unpack(">I", data, start + 8)[0] & 0xFFFFFF, data[start + 16 : start + size]))
         start += size
     return out

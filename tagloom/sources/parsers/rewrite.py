@@ -181,6 +181,6 @@ def asf_tags(data: bytes, items: Items) -> bytes:
         out.append((k, b))
     if rest:
         out.append((asf.EXTENSION, asf._guid("ABD3D211-A9BA-11CF-8EE6-00C00C205365") + b"\x06\0" + struct.pack("<I", len(library) + 24) + pack(asf.LIBRARY, library)))
-    out += new
+    out = [x for x in out if x[0] != asf.EXTENSION] + new + [x for x in out if x[0] == asf.EXTENSION]  # a field's first value comes first
     body = b"".join(pack(k, b) for k, b in out)
     return asf.HEADER + struct.pack("<QI", len(body) + 30, len(out)) + data[28:30] + body + data[min(size, len(data)) :]
