@@ -21,12 +21,15 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn",
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements whose end is implied by the next block.
 _LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "thead", "tbody", "tfoot", "b", "i", "em", "strong", "u", "s", "font", "small", "big", "code", "html", "body", "h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BOILER_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 #: Words in class and id names by which parts that are not the article are known.
 _BOILER_NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar share sharing social related recommended comment comments discussion respond reply replies disqus pagination pager widget toolbar login search form legal copyright disclaimer skip".split()
 )
+#: Words by which a name only speaks of such a part, and those that an article's own parts may bear.
+_ABOUT, _OWN = {"has", "with", "no", "without", "layout"}, {"header", "title", "legal", "form", "side", "body"}
 _ARTICLE_NAMES = set("article post story content entry main articlebody body".split())
 
 
@@ -100,7 +103,7 @@ def blocks(page: str | None) -> list[Block]:
         attrs = _attrs(raw)
         names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower())) - {""}
         bad = int(
-            name in _BOILER_TAGS or name == "header" and not article or attrs.get("role", "").lower() in _BOILER_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or name not in ("body", "html", "article", "main") and bool(names & _BOILER_NAMES)
+            name in _BOILER_TAGS or name == "header" and not article or attrs.get("role", "").lower() in _BOILER_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or name not in ("body", "html", "article", "main") and not names & _ABOUT and bool(names & (_BOILER_NAMES - _OWN if article else _BOILER_NAMES)) and not (article and name in _HEADINGS)
         )
         good = int(not bad and (name in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or bool(names & _ARTICLE_NAMES) and name in ("div", "section")))
         if name in _LOOSE:

@@ -47,11 +47,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.drop("__key", "__hash", "__id", "__th", "__runs", "__kept", "__lines", "__removed")
     runs = removed_runs(docs, id_col, text_col, min_words)
     runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    left = docs.withColumn("__key", F.col(id_col).cast("bigint")).repartition("__key").withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
+    left = docs.withColumn("__key", F.col(id_col).cast("bigint")).withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
     both = left.join(runs, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     lines = F.split(F.col(text_col), "\n")
     keep = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    out = both.withColumn("__kept", F.when(F.col("__runs").isNotNull(), keep)).withColumn("__lines", F.coalesce(F.size(lines), F.lit(0)))
-    out = out.withColumn("__removed", F.when(F.col("__kept").isNotNull(), F.col("__lines") - F.size("__kept")).otherwise(0))
-    out = out.withColumn(text_col, F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
+    # Generated, so that later filters on it don't have the lines cut again.
+    found = F.struct(F.coalesce(F.size(lines), F.lit(0)).alias("n"), F.when(F.col("__runs").isNotNull(), keep).alias("kept"))
+    out = both.withColumn("__kept", F.explode(F.array(found))).withColumn("__lines", F.col("__kept.n"))
+    out = out.withColumn("__removed", F.when(F.col("__kept.kept").isNotNull(), F.col("__lines") - F.size("__kept.kept")).otherwise(0))
+    out = out.withColumn(text_col, F.when(F.col("__kept.kept").isNotNull(), F.array_join("__kept.kept", "\n")).otherwise(F.col(text_col)))
     return out.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns], "__lines", "__removed")

@@ -184,6 +184,8 @@ def test_html(spark):
     got = [(r["page_id"], r["text"]) for r in out]
     assert got[0] == (1, "A title Bold one. x < y Be. A link in a sentence.")
     assert got[1:3] == [(2, ""), (3, "")] and len(got) == 5
+    wrapped = '<div class="layout with-sidebar"><main><article class="post"><header class="entry-header"><h1 class="entry-title">T</h1></header><div class="entry-content"><p>One <em>two</em>.</p></div><div id="comments" class="comments-area"><article class="comment"><p>No.</p></article></div></article></main><div id="sidebar"><p>Side</p></div></div>'
+    assert [b.text for b in html.main_blocks(wrapped)] == ["T", "One two."]
     plain = "<html><body><ul><li><a href=/>One</a><li><a href=/>Two</a></ul><p>" + "long words of text " * 20 + "<p>" + "more of them here " * 20 + "</body>"
     assert " ".join(b.text for b in html.main_blocks(plain)).startswith("long words") and "One" not in " ".join(b.text for b in html.main_blocks(plain))
 
