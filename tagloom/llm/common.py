@@ -104,13 +104,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of a partition, each labelled with its least id."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
+    sizes = [len(p[0]) for p in parts]
+    a = np.concatenate([np.arange(s, s + n) for s, n in zip(np.cumsum([0, *[2 * n for n in sizes[:-1]]]), sizes, strict=True)])
+    left, right = ends[a], ends[a + np.repeat(sizes, sizes)]
+    root = np.arange(len(ids))
+    while True:  # a link hooks the larger of its ends' roots to the smaller one; then every path is made short
+        x, y = root[left], root[right]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    for k in range(0, len(ids), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 50_000]), pa.array(ids[root[k : k + 50_000]])], names=["id", "component"])
+
+
+def components(edges: DataFrame, one_task: int = 1_000_000) -> DataFrame:
     """(id, component) of every node of the links (a, b); component is the smallest id that can be reached.
 
-    Labels fall to the least label among neighbours and then to the label of that label, until none changes.
-    All state is in DataFrames; the driver sees a count per round.
+    Up to one_task links are solved in one task, whose memory that bounds. More are solved in rounds: labels fall to
+    the least label among neighbours and then to the label of that label, until none changes. All state is in
+    DataFrames; the driver sees a count per round.
     """
-    links = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    links = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if links.limit(one_task + 1).count() <= one_task:
+        return cut(links.repartition(1).mapInArrow(_solve, "id bigint, component bigint"))
+    links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(links.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
     while True:
         near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))

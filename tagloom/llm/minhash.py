@@ -130,37 +130,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = buckets.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
         mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
         own = cut(own.join(mixed, "key"))
-        if not own.isEmpty():
-            found = found.unionAll(cut(_across(own, spark.table(table), percent, tile_shingles, tile_rows)))
-            label = components(found).select(F.col("id").alias("rep"), "component")
+        joined = components(_across(own, spark.table(table), percent, tile_shingles, tile_rows)).select(F.col("id").alias("c"), F.col("component").alias("whole"))
     finally:
         spark.sql(f"drop table if exists {table}")
     of = classes.select("h1", "h2", "rep")
     of = of.join(label, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
+    of = of.join(joined, "c", "left").select("h1", "h2", F.coalesce("whole", "c").alias("c"))
     out = sig.select("id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("h1")).alias("h1"), "h2").join(of, ["h1", "h2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def _spanning(percent: int):
-    """Of a tile pair's links between components, as many as join the same components."""
+    """Pairs of components that a tile pair's links join, as many as join the same ones."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "c", "n"))
+        comp, n = (table.column(c).to_numpy() for c in ("c", "n"))
         own, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
         lists = table.column("shingles").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         value, seen, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
         shared = times > 1
         place = np.cumsum(shared) - 1
-        row = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
+        row = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
         row, col = row[shared[seen]], place[seen[shared[seen]]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         both = np.zeros((len(left), len(right)), np.float32)
-        at_left, at_right = np.full(len(rep), -1), np.full(len(rep), -1)
+        at_left, at_right = np.full(len(n), -1), np.full(len(n), -1)
         at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
         step = 4096
         for k in range(0, int(shared.sum()), step):
@@ -185,22 +184,22 @@ def _spanning(percent: int):
             p, q = sorted((top(int(comp[x])), top(int(comp[y]))))
             if p != q:
                 up[q] = p
-                out.append((int(rep[x]), int(rep[y])))
+                out.append((p, q))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
 def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int, tile_rows: int) -> DataFrame:
-    """Links (a, b) that join all components of bucket mates; own has (key, rep, n, c) of the buckets with several.
+    """Pairs (a, b) of components that links between bucket mates join; own has (key, rep, n, c) of the buckets with several.
 
-    Buckets that share members are one cluster. A cluster of few shingles is one tile. Else tiles hold documents of a
+    Components that share buckets are one cluster. A cluster of few shingles is one tile. Else tiles hold documents of a
     class of set sizes, and only equal and neighbouring classes meet: others can't be similar enough.
     """
-    first = own.groupBy("key").agg(F.min("rep").alias("b"))
-    cluster = components(own.join(first, "key").select(F.col("rep").alias("a"), "b"))
+    first = own.groupBy("key").agg(F.min("c").alias("b"))
+    cluster = components(own.select("key", F.col("c").alias("a")).distinct().join(first, "key"))
     rows = own.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
-    rows = cut(rows.join(cluster.select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "rep"))
+    rows = cut(rows.join(cluster.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "c"))
     load = F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int")
     size = rows.groupBy("cluster").agg(load.alias("all"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
     rows = rows.join(size.select("cluster", "all"), "cluster")
@@ -212,7 +211,7 @@ def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int, t
     rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, other = F.format_string("%06d/%06d", "g", "t"), F.format_string("%06d/%06d", "h", "u")
     rows = rows.select("cluster", "rep", "n", "c", mine.alias("tile"), F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    whole = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "rep", "n", "c", "tile", "i", "j", "shingles")
+    whole = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "n", "c", "tile", "i", "j", "shingles")
     return whole.groupBy("cluster", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint")
 
 

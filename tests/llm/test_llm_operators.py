@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, decontaminate, embeddings, html, licenses, linededup, minhash, mixing, quality, queries, suffix
+from tagloom.llm import chat, common, decontaminate, embeddings, html, licenses, linededup, minhash, mixing, quality, queries, suffix
 
 SMALL = "/root/testdata/sf0.001"
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -90,6 +90,18 @@ def test_minhash_finds_chains_and_hubs(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(docs, words=3, percent=85, per_salt=3))} == want
 
 
+@pytest.mark.parametrize("one_task", [1_000_000, 0])
+def test_components(spark, one_task):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(k + 1000, k + 1001) for k in range(40)] + [(5000 - k, 2000 + k) for k in range(5)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint"), one_task).collect()}
+    up = {x: x for e in edges for x in e}
+    for a, b in edges * 60:
+        up[a] = up[b] = min(up[a], up[b])
+    assert got == {x: c for x, c in up.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint"), one_task).count() == 0
+
+
 def test_minhash_edges(edges, empty):
     out = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows(minhash.near_duplicates(edges, words=3, percent=85))}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (6, 10, 5, False), (7, 1, 7, True), (8, 0, 8, True), (None, 1, None, True)} <= out
