@@ -24,6 +24,8 @@ def db():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_against_sql(spark, db, name):
     out = QUERIES[name](spark, SMALL)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in text for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
     got = sorted(repr(tuple(r)) for r in out.select(*sorted(out.columns)).collect())
     if name in SQL:
         cur = db.execute(SQL[name])
