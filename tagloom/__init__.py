@@ -1,0 +1,25 @@
+"""Audio-file metadata at collection scale on PySpark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once per application, so that their Python needs no installation of it."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tagloom-")), "tagloom.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)

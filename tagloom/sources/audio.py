@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import ship
 from tagloom.operators import convert, detect
 from tagloom.sources.parsers import ape, asf, chunks, flac, id3, mp4, mpeg, ogg, rewrite, streams
 from tagloom.sources.parsers.base import ParseError, Parsed
@@ -71,6 +72,7 @@ def _parse(parsers: dict[str, Parser] | None):
 
 def parse_audio(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
     """Rows of SCHEMA for files (path, content). parsers replaces or adds parsers by format name for this call."""
+    ship(files.sparkSession)
     both = (PARSERS | parsers) if parsers else None
     rows = detect.with_format(files.select("path", "content"))
     content = F.when(F.col("format").isin(*(both or PARSERS)), F.col("content")).alias("content")  # other files' bytes needn't go to Python
@@ -168,6 +170,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def retag(files: DataFrame, items: DataFrame) -> DataFrame:
     """(path, content, error): files (path, content) with the given items (file_id, key, values) as their tags. Inputs stay as they are."""
+    ship(files.sparkSession)
     lists = items.groupBy(F.col("file_id").alias("path")).agg(F.sort_array(F.collect_list(F.struct("key", "values"))).alias("items"))
     rows = detect.with_format(files.select("path", "content")).join(lists, "path", "left")
     return rows.select("path", "format", "content", "items").mapInArrow(_rewrite, "path string, content binary, error string")

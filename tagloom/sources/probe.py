@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tagloom import ship
 from tagloom.operators import detect
 
 
@@ -55,6 +56,7 @@ class Probe(DataSource):
 
 def probe(spark: SparkSession, folder: str, glob: str = "*", tail: int = 128) -> DataFrame:
     """(path, length, header, tail, format) of the files below a folder; 128 bytes of each are read from either end."""
+    ship(spark)
     spark.dataSource.register(Probe)
     rows = spark.read.format("audio_probe").option("glob", glob).option("tail", tail).load(folder)
     return rows.withColumn("format", detect.detect_format("header", "path"))
