@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import ship
+
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -133,6 +135,7 @@ def components(edges: DataFrame, one_task: int = 1_000_000) -> DataFrame:
     the least label among neighbours and then to the label of that label, until none changes. All state is in
     DataFrames; the driver sees a count per round.
     """
+    ship(edges.sparkSession)
     links = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if links.limit(one_task + 1).count() <= one_task:
         return cut(links.repartition(1).mapInArrow(_solve, "id bigint, component bigint"))

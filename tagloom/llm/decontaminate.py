@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom import ship
+
 
 def normal(text: str | None) -> str:
     """Lower case, with one space for each run of white space."""
@@ -123,6 +125,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     id and text; null ids stay null.
     """
     spark = docs.sparkSession
+    ship(spark)
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") >= min_chars).distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-2 * total // block_chars) or 1

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom import ship
 from tagloom.llm.common import components, cut
 
 
@@ -112,6 +113,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors of different length don't link. Rows that repeat an id are vectors of their own. A null id gets no
     component (null) and is kept.
     """
+    ship(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     base = cut(base.mapInArrow(_packed, "id bigint, label bigint, dim int, vector binary").withColumn("mark", F.sha2("vector", 256)))
     able = base.where("label is not null and vector is not null")

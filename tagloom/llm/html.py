@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from tagloom import ship
+
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "xmp", "select", "math", "canvas", "audio", "video"}
@@ -200,6 +202,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null or empty html gives an empty text. Each row stands alone: rows that repeat get the same text. A column of pages
     that is named text is replaced.
     """
+    ship(pages.sparkSession)
     names, fields = pages.columns, pages.schema.fields
     at = names.index(html_col)
     kept = [i for i, n in enumerate(names) if i != at and n.lower() != "text"]

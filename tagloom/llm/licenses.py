@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom import ship
 from tagloom.llm.common import FOLD, runs, text_chunks
 
 #: Bytes of words, after folding A-Z: digits, a-z and every byte of a longer character.
@@ -175,6 +176,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A-Z is folded; words are runs of digits, letters and characters beyond ASCII. Null and empty texts have no words.
     Every row stands alone, so rows that repeat and null ids change nothing; other columns are not read.
     """
+    ship(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = text.mapInArrow(_scan, "id bigint, n_words bigint, base array<struct<word:bigint,label:string>>, found array<struct<first:bigint,last:bigint,label:string,weight:double>>")
     return out.withColumnRenamed("id", id_col)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom import ship
 from tagloom.llm.common import FOLD, SPACE, components, cut, mix, prefix_sums, runs, span_hash, text_chunks
 
 BINS = 128
@@ -105,6 +106,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are not read.
     """
     spark = docs.sparkSession
+    ship(spark)
     if bands * rows > BINS:
         raise ValueError(f"bands * rows must be at most {BINS}")
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from tagloom import ship
 from tagloom.llm.common import FOLD, SPACE, mix, prefix_sums, runs, span_hash, text_chunks
 
 #: Classes of bytes for word shapes: letters by case, digits, bytes of longer characters; others stand for themselves.
@@ -104,6 +105,7 @@ def fit_frame(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     The bound keeps the one task that fits the same at every size. Of an id with several labels the least counts;
     labels other than 0 and 1 and null ids are not used.
     """
+    ship(docs.sparkSession)
     key = F.col(id_col).cast("bigint")
     marked = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1) and crc32(cast(id as string)) % 3 <> 1")
     chosen = marked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
@@ -147,6 +149,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Columns of docs that have these two names are replaced. Rows stand alone: one that repeats gets the same score.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.scale))  # 2**bits floats
     bits, names, fields = model.bits, docs.columns, docs.schema.fields
     at, new = names.index(text_col), (score_col, predicted_col)

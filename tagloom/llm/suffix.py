@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom import ship
 from tagloom.llm.common import checkpoint_dir, mix, prefix_sums, span_hash, text_chunks
 
 _LAST = 2**63 - 1
@@ -276,6 +277,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if gram < 8 or gram & (gram - 1) or length < gram:
         raise ValueError("gram must be a power of two from 8 to length")
     spark = docs.sparkSession
+    ship(spark)
     text = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = text.mapInArrow(_anchored(length, gram), _ANCHORS)
     by_key = Window.partitionBy("key").orderBy("context").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
