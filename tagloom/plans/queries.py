@@ -350,20 +350,30 @@ def _(spark, d):
     return _shown(diff.diff_normalized(items(spark, d, "ID3v2"), items(spark, d, "VorbisComment"), diff.Options(normalize_custom_keys=True)))
 
 
-def _streams(spark: SparkSession, d: str, right: bool) -> DataFrame:
-    t = _table(spark, d, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"))
+def _streams(spark: SparkSession, d: str, right: bool, where: str = "true") -> DataFrame:
+    t = _table(spark, d, "lineitem").where(where).groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"))
     far = F.when(F.col("l_orderkey") % 2 == 0, 1e-8).otherwise(0.5) if right else F.lit(0.0)
     rate = F.when(F.col("l_orderkey") % 5 == 0, None).otherwise(F.col("q").cast("bigint")) if right else F.col("q").cast("bigint")
     return t.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file_id"), (F.col("p") + far).alias("length_secs"), rate.alias("bitrate"), F.lit(44100).cast("bigint").alias("sample_rate"), F.when(F.col("l_orderkey") % 7 == 0, None).otherwise(2 + (F.col("l_orderkey") % 3 == 0).cast("int") * int(right)).alias("channels"), F.lit(16).alias("bits_per_sample"))
 
 
+def _stream_diff(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    out = diff.stream_diff(_streams(spark, d, False, where), _streams(spark, d, True, where))
+    return out.select("file_id", F.col("length_secs").isNotNull().alias("length_changed"), F.col("bitrate.left").alias("bitrate_left"), F.col("channels.right").alias("channels_right"))
+
+
 _STREAM = "(select l_orderkey as k, max(l_extendedprice) as p, max(l_quantity)::bigint as q from lineitem where l_linenumber = 1 group by 1)"
 
 
 @register("stream_info_diff", f"select 'o' || k as file_id, k % 2 <> 0 as length_changed, case when k % 5 = 0 then q end as bitrate_left, case when k % 3 = 0 and k % 7 <> 0 then 3 end as channels_right from {_STREAM}")
 def _(spark, d):
-    out = diff.stream_diff(_streams(spark, d, False), _streams(spark, d, True))
-    return out.select("file_id", F.col("length_secs").isNotNull().alias("length_changed"), F.col("bitrate.left").alias("bitrate_left"), F.col("channels.right").alias("channels_right"))
+    return _stream_diff(spark, d, "l_linenumber = 1")
+
+
+# All lines of each order: not every order has a line 1.
+@register("stream_info_diff_all_lines", "select 'o' || k as file_id, k % 2 <> 0 as length_changed, case when k % 5 = 0 then q end as bitrate_left, case when k % 3 = 0 and k % 7 <> 0 then 3 end as channels_right from (select l_orderkey as k, max(l_quantity)::bigint as q from lineitem group by 1)")
+def _(spark, d):
+    return _stream_diff(spark, d)
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------

@@ -75,3 +75,9 @@ def test_replaygain_round_trip(spark):
 def test_easy_view_reads_dates_and_genres(spark):
     rows = spark.createDataFrame([("f", 0, "TYER", ["1999"]), ("f", 1, "TCON", ["(17)(18)"]), ("f", 2, "COMM::eng", ["c"]), ("f", 3, "TXXX:My Key", ["v"]), ("f", 4, "TMCL", ["drums", "A", "bass", "B", "drums", "C"])], "file_id string, ordinal int, key string, values array<string>")
     assert {r.name: r["values"] for r in views.easy_id3(rows).collect()} == {"date": ["1999"], "genre": ["Rock", "Techno"], "comment": ["c"], "my key": ["v"], "performer:bass": ["B"], "performer:drums": ["A", "C"]}
+
+
+def test_stream_differences_have_every_order(spark, db):
+    want = db.execute("select l_orderkey, max(l_quantity)::bigint from lineitem group by 1").fetchall()
+    got = {r.file_id: r.bitrate_left for r in QUERIES["stream_info_diff_all_lines"](spark, SMALL).collect()}
+    assert got == {f"o{k}": q if k % 5 == 0 else None for k, q in want}
