@@ -501,6 +501,23 @@ def _(spark, d):
     return views.easy_id3(items(spark, d, "ID3v2")).where("name <> 'genre'").select("file_id", "name", flat().alias("vals"))
 
 
+def _genre_list(x: str) -> str:
+    """The friendly view's reading of a genre text, a list, in SQL."""
+    groups = rf"regexp_extract({x}, '^((\([^()]*\)\s*)+)', 1)"
+    name = f"case when regexp_full_match(m, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{{1,2}})') then coalesce({_GENRES}[try_cast(m as int) + 1], try_cast(m as int)::varchar) else m end"
+    names = rf"list_transform(list_filter(regexp_extract_all({groups}, '\(([^()]*)\)', 1), lambda m: m <> ''), lambda m: {name})"
+    rest = f"trim(substr({x}, length({groups}) + 1))"
+    listed = f"list_concat({names}, case when {rest} = '' then []::varchar[] else [{rest}] end)"
+    plain = f"list_filter(list_transform(string_split({x}, chr(0)), lambda p: trim(p)), lambda p: p <> '')"
+    return f"(case when {x} = '' then []::varchar[] when starts_with({x}, '(') and len({listed}) > 0 then {listed} when not starts_with({x}, '(') and len({plain}) > 0 then {plain} else [{x}] end)"
+
+
+# All names of the view, with the genre's reading and the year behind the date.
+@register("easy_id3_view_all_names", f"select file_id, name, {_flat()} as vals from (select file_id, name, first(vals order by choice, key) as vals from (select i.file_id, i.key, case when n.name = 'genre' then flatten(list_transform(i.vals, lambda v: {_genre_list('v')})) else i.vals end as vals, coalesce(n.name, case when starts_with(i.key, 'TXXX:') then lower(substr(i.key, 6)) end) as name, coalesce(n.choice, 9) as choice from {items_sql('ID3v2')} i left join (values {', '.join(f'({_text(k)}, {_text(n)}, 0)' for n, k in dims.EASY_ID3.items())}, ('TYER', 'date', 1), ('TDAT', 'date', 2)) as n(frame, name, choice) on case when starts_with(i.key, 'COMM:') then 'COMM' else i.key end = n.frame) where name is not null group by file_id, name)")
+def _(spark, d):
+    return views.easy_id3(items(spark, d, "ID3v2")).select("file_id", "name", flat().alias("vals"))
+
+
 @register("easy_mp4_view", f"select i.file_id, n.name, {_flat('i.vals')} as vals from {items_sql('MP4')} i join (values {', '.join(f'({_text(k.lower() if k.startswith(chr(45)) else k)}, {_text(n)})' for n, k in dims.EASY_MP4.items())}) as n(atom, name) on case when starts_with(i.key, '----:') then lower(i.key) else i.key end = n.atom")
 def _(spark, d):
     return views.easy_mp4(items(spark, d, "MP4")).select("file_id", "name", flat().alias("vals"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import scalars as S
 from tagloom.operators import convert, midi, replaygain, views
+from tagloom.plans import queries
 from tagloom.plans.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,3 +82,19 @@ def test_stream_differences_have_every_order(spark, db):
     want = db.execute("select l_orderkey, max(l_quantity)::bigint from lineitem group by 1").fetchall()
     got = {r.file_id: r.bitrate_left for r in QUERIES["stream_info_diff_all_lines"](spark, SMALL).collect()}
     assert got == {f"o{k}": q if k % 5 == 0 else None for k, q in want}
+
+
+def test_friendly_view_query_has_the_genre_of_every_file(spark, db):
+    def genre(size, kind, brand):
+        own = {0: ["Rock"], 1: ["Rock", "Techno"], 2: ["Electronic", kind], 3: [str(size)]}[size % 4]
+        return "\x1f".join(own + [brand] * (size % 7 == 0))
+
+    want = {f"p{k}": genre(*x) for k, *x in db.execute("select p_partkey, p_size, p_type, p_brand from part").fetchall()}
+    rows = QUERIES["easy_id3_view_all_names"](spark, SMALL).collect()
+    assert {r.file_id: r.vals for r in rows if r.name == "genre"} == want
+    assert sorted((r.file_id, r.name, r.vals) for r in rows if r.name != "genre") == sorted((r.file_id, r.name, r.vals) for r in QUERIES["easy_id3_view"](spark, SMALL).collect())
+
+
+def test_genre_list_sql(db):
+    texts = ["(17)(18)", "(13)Own", "(999)", "", "(200)", "17", "(17) (18) x ", "()", "(abc)y", "(007)", " "]
+    assert [db.execute(f"select {queries._genre_list('x')} from (select ? as x)", [t]).fetchone()[0] for t in texts] == [["Rock", "Techno"], ["Pop", "Own"], ["999"], [], ["200"], ["17"], ["Rock", "Techno", "x"], ["()"], ["abc", "y"], ["Hip-Hop"], [" "]]
