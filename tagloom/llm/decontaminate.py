@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +19,19 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+#: Letters of scripts that put no spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han and the like.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def _in_word(ch: str) -> bool:
+    return unicodedata.category(ch)[0] in "LNM" and not _UNSPACED.match(ch)
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] cuts no word at either end; scripts without spaces have no such cuts."""
+    return all(not (0 < at < len(text) and _in_word(text[at - 1]) and _in_word(text[at])) for at in (start, end))
+
+
 def pieces(text: str, budget: int) -> list[tuple[int, str]]:
     """budget + 1 consecutive pieces of nearly equal length with their starts; budget edits leave one of them whole."""
     n, k = len(text), budget + 1
@@ -50,7 +65,7 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Finder:
-    """Finds items in texts within an error budget of rate times the item's length."""
+    """Finds items in texts within an error budget of rate times the item's length; those under min_chars as exact whole words."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
         import ahocorasick
@@ -58,10 +73,11 @@ class Finder:
         self.items, where = [], {}
         for key, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
             text = normal(text)
-            if len(text) >= min_chars:
-                budget = int(len(text) * rate)
+            if text:
+                exact = len(text) < min_chars
+                budget = 0 if exact else int(len(text) * rate)
                 for start, piece in pieces(text, budget):
-                    where.setdefault(piece, []).append((len(self.items), start))
+                    where.setdefault(piece, []).append((len(self.items), start, exact))
                 self.items.append((key, text, budget))
         self.machine = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -75,10 +91,14 @@ class Finder:
             return []
         text = normal(text)
         tried: dict[int, list[int]] = {}
+        whole: dict[int, int] = {}
         for last, (size, places) in self.machine.iter(text):
-            for item, start in places:
-                tried.setdefault(item, []).append(last + 1 - size - start)
-        out = []
+            for item, start, exact in places:
+                if not exact:
+                    tried.setdefault(item, []).append(last + 1 - size - start)
+                elif item not in whole and whole_words(text, last + 1 - size, last + 1):
+                    whole[item] = last + 1
+        out = [(self.items[item][0], 0, end) for item, end in whole.items()]
         for item, starts in tried.items():
             key, pattern, budget = self.items[item]
             best = None
@@ -118,15 +138,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """A row (id, item_id, distance, end) for each benchmark item found in a document within error_rate times its length.
 
     Texts are compared in lower case with white space runs as one space; distance is the least edit distance to any
-    part of the document and end is where that part ends in the normal text. Items shorter than min_chars are not
-    evidence and are not searched. Items go to the executors in blocks of at most block_chars characters, so what is
+    part of the document and end is where that part ends in the normal text. Items shorter than min_chars are found
+    where they stand exactly and as whole words (distance 0; scripts without spaces have no word ends to keep). Blank
+    items find nothing. Items go to the executors in blocks of at most block_chars characters, so what is
     broadcast is bounded whatever the benchmark's size; each block is one pass over the documents.
     Null or empty texts find nothing. A repeated document row is reported once per row; a repeated item once per
     id and text; null ids stay null.
     """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") >= min_chars).distinct()
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-2 * total // block_chars) or 1
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")

@@ -264,6 +264,15 @@ def test_decontamination(spark, edges, empty):
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is\n2+2?"), (2, "cat"), (3, "首都はどこ"), (4, " "), (5, None), (6, "x" * 31), (7, "हिन्द")], "item_id bigint, text string")
+    texts = ["so: what  is 2+2? yes", "What is 2+3?", "concatenate", "a Cat, a dog", "日本の首都はどこですか", "y" + "x" * 31, "x" * 31 + ".", "", None, "हिन्दी", "cats and a cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in rows(decontaminate.find_leaks(docs, bench))}
+    assert got == {(0, 1, 0, 16), (3, 2, 0, 5), (4, 3, 0, 8), (6, 6, 0, 31), (10, 2, 0, 14)}
+    assert {r["doc_id"] for r in rows(decontaminate.clean_documents(docs, bench))} == {1, 2, 5, 7, 8, 9}
+
+
 def test_embeddings_against_all_pairs(spark):
     df = small(spark, "embeddings").limit(400)
     got = df.collect()
