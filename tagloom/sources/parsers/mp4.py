@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 from tagloom.plans.dims import GENRES
@@ -19,9 +20,11 @@ def atoms(data: bytes, at: int = 0, end: int | None = None, path: str = "", dept
     end = len(data) if end is None else min(end, len(data))
     if depth > DEPTH:
         raise ParseError("mp4", "atoms too deep")
-    for _ in range(CHILDREN):
+    for n in itertools.count():
         if at + 8 > end:
             return
+        if path and n == CHILDREN:  # the file itself holds any number, as long fragmented files do
+            raise ParseError("limit", f"more than {CHILDREN} atoms in {path}")
         size, head = unpack(">I", data, at)[0], 8
         name = data[at + 4 : at + 8].decode("latin-1")
         if size == 1:

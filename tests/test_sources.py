@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import artwork, chunks, convert, diff, render
 from tagloom.sources import audio, probe, snapshot
-from tagloom.sources.parsers import ape, base, flac, id3, ogg, vorbis
+from tagloom.sources.parsers import ape, base, flac, id3, mp4, ogg, vorbis
 from tagloom.streaming import ingest
 from tests.audio_bytes import APE_ITEMS, COMMENTS, FILES, ITEMS, mp3
 
@@ -167,3 +167,13 @@ def test_chunk_lookups(spark, folder):
     assert {r.path for r in chunks.findall(rows, "hdlr", recursive=True).collect()} == {"moov.trak.mdia.hdlr", "moov.udta.meta.hdlr"}
     assert {r.path for r in chunks.children(rows, "moov.udta").collect()} == {"moov.udta.meta", "moov.udta.chpl"}
     assert chunks.has(rows, "moov").where("found").count() == 1 and chunks.findall(rows, "moov").count() == 1
+
+
+def test_mp4_with_many_atoms():
+    many = b"\0\0\0\x08free" * (mp4.CHILDREN + 1)
+    assert len(list(mp4.atoms(many))) == mp4.CHILDREN + 1
+    assert mp4.parse(many + FILES["a.m4a"][0]).items == mp4.parse(FILES["a.m4a"][0]).items
+    assert len(list(mp4.atoms((len(many)).to_bytes(4, "big") + b"moov" + many[8:]))) == mp4.CHILDREN + 1
+    with pytest.raises(base.ParseError) as e:
+        list(mp4.atoms((len(many) + 8).to_bytes(4, "big") + b"moov" + many))
+    assert e.value.kind == "limit"
