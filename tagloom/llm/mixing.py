@@ -65,7 +65,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Tokens are the words between ASCII white space. The budget is budget_ratio times all tokens; source_weights()
     shares it out. Each source is passed through in whole epochs, and its last, partial epoch takes blocks (hash
     groups of about block_docs documents) in an order permuted by epoch while they fit, and of the first block that
-    doesn't fit the documents, in permuted order, that still do. Sorting by (block_key, doc_key) gives the training
+    doesn't fit the documents, in permuted order, up to the first that doesn't fit: later ones that would are left
+    out, so a source may get less than its share by up to its longest document. Sorting by (block_key, doc_key) gives the training
     order. Running sums go over blocks per source and documents per block, never over all documents of a source.
 
     Documents without tokens (null, empty or blank) are never drawn. Null sources are the source ''. Rows that repeat
