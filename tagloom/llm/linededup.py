@@ -1,4 +1,4 @@
-"""Removal of later copies of repeated runs of lines, by winnowing over line hashes. DataFrame functions only."""
+"""Removal of later copies of repeated runs of lines, by hashes of whole windows of lines. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, th, runs): the line ranges [a, b] to remove from each document, th being the text's hash.
 
     Lines are parted by U+000A, trimmed of spaces, and those without words don't count. At each line a window holds
-    the shortest run of lines, forwards and likewise backwards, with min_words words; its least line hash is the
-    window's fingerprint, so every repeated run of at least min_words words has a fingerprint in common. Windows
-    meet at their fingerprint and are extended both ways to the window's lines, which a hash compares. A window that
+    the shortest run of lines, forwards and likewise backwards, with min_words words. Windows meet by a hash over
+    all of their lines; their least line hash (mark) is a function of the same lines and only widens that key. This
+    stands in for winnowing: no fingerprints are selected, no positions joined and no match extended, as every window
+    has to be compared for the result to be exact. A window that
     also occurs in an earlier place (smaller id, text hash, line) goes; every run of min_words words around a line
     contains such a window with that line, so exactly the lines of later copies go.
     """
