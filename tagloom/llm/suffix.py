@@ -1,4 +1,4 @@
-"""Removal of later copies of long byte strings, by longest-previous-factor arrays over suffix orders."""
+"""Removal of later copies of long byte strings, by equality of strings of a fixed length."""
 
 from __future__ import annotations
 
@@ -56,10 +56,10 @@ def _ranks(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def repeats(data: np.ndarray, starts: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Which starts have a longest previous factor of at least length: the same length bytes at a start with a smaller place.
+    """Which starts have the same length bytes at a start with a smaller place.
 
-    Starts are put in suffix order; the previous and the next smaller place in that order are those of the longest
-    earlier matches. Each start needs length bytes of data; equal places are not earlier than each other.
+    Starts are ordered by the rank of their length bytes, then by place, so this says which are not the first of their
+    equals; it stands for a longest previous factor of at least length, whose own length isn't computed. Each start needs length bytes of data; equal places are not earlier than each other.
     """
     width = 8
     while width * 2 <= length:
