@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom import ship
-
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -94,58 +94,84 @@ def columns(df: DataFrame) -> list[Column]:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one in the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The shared folder that the cluster names in spark.checkpoint.dir; one in the warehouse where that is unset, in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder below checkpoint_dir() that holds this session's checkpoints and intermediate tables."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return context.getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, whatever file system it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[str]:
+    """A scratch folder for what runs inside, deleted at its end: nothing that reads from it may be used afterwards."""
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    path = scratch(spark)
+    try:
+        yield path
+    finally:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+        remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read from a durable checkpoint, so that a lost executor costs no recomputation of what went before."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all links of a partition, each labelled with its least id."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    ids, ends = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
-    sizes = [len(p[0]) for p in parts]
-    a = np.concatenate([np.arange(s, s + n) for s, n in zip(np.cumsum([0, *[2 * n for n in sizes[:-1]]]), sizes, strict=True)])
-    left, right = ends[a], ends[a + np.repeat(sizes, sizes)]
-    root = np.arange(len(ids))
-    while True:  # a link hooks the larger of its ends' roots to the smaller one; then every path is made short
-        x, y = root[left], root[right]
-        apart = x != y
-        if not apart.any():
-            break
-        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-        while (root[root] != root).any():
-            root = root[root]
-    for k in range(0, len(ids), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 50_000]), pa.array(ids[root[k : k + 50_000]])], names=["id", "component"])
-
-
-def components(edges: DataFrame, one_task: int = 1_000_000) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read from a table of the scratch folder: for rows of which later steps read few columns."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of one short row per key, without gathering a frequent key's rows in one task.
+
+    count is the table's column with the number of rows of each key and total at least all of them, so fewer than parts
+    keys can hold over one in parts of all rows: those are broadcast. Both inputs are read more than once.
+    """
+    frequent = F.col(count) > max(1, total // parts)
+    hot, cold = table.where(frequent), table.where(~frequent)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b); component is the smallest id that can be reached.
 
-    Up to one_task links are solved in one task, whose memory that bounds. More are solved in rounds: labels fall to
-    the least label among neighbours and then to the label of that label, until none changes. All state is in
-    DataFrames; the driver sees a count per round.
+    Large and small stars in turn: each node's larger neighbours, then its smaller ones, are linked with the least of
+    all, until every tree is a star around its least node; the rounds grow with the logarithm of the nodes. One way at
+    every size: all state is in checkpointed links, a frequent node's links are joined with its least neighbour by
+    hot_join(), and the driver sees a count and a checksum per round.
     """
-    ship(edges.sparkSession)
-    links = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if links.limit(one_task + 1).count() <= one_task:
-        return cut(links.repartition(1).mapInArrow(_solve, "id bigint, component bigint"))
-    links = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = cut(links.groupBy("a").agg(F.least("a", F.min("b")).alias("c")))
+    links = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
     while True:
-        near = links.join(labels.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))
-        step = labels.join(near, "a").select("a", "c", F.least("c", "d").alias("d"))
-        to = labels.select(F.col("a").alias("d"), F.col("c").alias("e"))
-        after = cut(step.join(to, "d", "left").select("a", F.col("c").alias("old"), F.least("d", F.coalesce("e", "d")).alias("c")))
-        if not after.where("old != c").limit(1).count():
-            return after.select(F.col("a").alias("id"), F.col("c").alias("component"))
-        labels = after.select("a", "c")
+        n, total = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if (n, total) == mark or not n:
+            return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        mark = (n, total)
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.where("a != b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, least, "a", "n", 2 * n)
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+        links = cut(small.where("a != b").distinct())

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import FOLD, SPACE, components, cut, mix, prefix_sums, runs, span_hash, text_chunks
+from tagloom.llm.common import FOLD, SPACE, components, cut, hot_join, mix, prefix_sums, remove, runs, scratch, span_hash, text_chunks
 
 BINS = 128
 _PROBES = np.random.default_rng(11).integers(0, BINS, (64, BINS))
@@ -95,11 +95,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets fall into one class first (a partial aggregate, so exact copies never meet in one task). Class
     representatives go to banded buckets; each bucket links all members with one centre. Sets are confirmed in full.
-    Buckets whose members are still in several components are compared in full, in tiles of about tile_shingles
-    shingles and tile_rows documents that return a spanning set of the links between components, never pairs; so no
-    link that shares a bucket is lost, whatever the centres were. That work grows with
-    the square of a group of documents that resemble each other but are not linked; nothing caps it. A link with
-    similarity s shares no bucket with probability (1 - s**rows)**bands: 5e-7 at 0.85, 5e-5 at 0.8.
+    Where a bucket's members are still in several components, those documents meet again at the rarest shingles of
+    their sets, as many as a link must share one of (prefix filter), with documents of like size only: so no link that
+    shares a bucket is lost, whatever the centres were, and what has no link but common passages meets nowhere.
+    Groups at a shingle are compared in tiles of about tile_shingles shingles and tile_rows documents that return a
+    spanning set of the links between components, never pairs. A link with similarity s shares no bucket with
+    probability (1 - s**rows)**bands: 5e-7 at 0.85, 5e-5 at 0.8.
 
     Null or empty text: n_shingles 0, linked with nothing. Rows that repeat an id: each row is returned and they are
     one node; they count as copies of one document. Null id: n_shingles is given, the component is null and it is kept.
@@ -114,27 +115,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = sig.where("n > 0 and id is not null")
     classes = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "bands")).alias("m"))
     classes = cut(classes.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands")))
+    total = classes.count() * bands
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key")
-    buckets = cut(buckets.join(shared, "key"))
+    centre = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s"), F.count("*").alias("k")).where("k > 1")
+    centre = centre.select("key", "k", F.col("s.rep").alias("a"), F.col("s.n").alias("m"))
+    buckets = cut(hot_join(buckets, centre, "key", "k", total).drop("k"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"near_sets_{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/{table}"
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     sets = text.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles array<bigint>")
-    sets.repartition(parts, "id").write.bucketBy(parts, "id").format("parquet").saveAsTable(table)
+    sets.repartition(parts, "id").write.bucketBy(parts, "id").format("parquet").option("path", folder).saveAsTable(table)
     try:
-        centre = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s")).select("key", F.col("s.rep").alias("a"), F.col("s.n").alias("m"))
-        star = buckets.join(centre, "key").where("rep != a").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        star = buckets.where("rep != a").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         star = cut(star.select("a", F.col("rep").alias("b")).distinct())
         found = cut(_confirmed(star, spark.table(table), percent, per_salt))
         label = components(found).select(F.col("id").alias("rep"), "component")
         own = buckets.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key")
-        own = cut(own.join(mixed, "key"))
-        joined = components(_across(own, spark.table(table), percent, tile_shingles, tile_rows)).select(F.col("id").alias("c"), F.col("component").alias("whole"))
+        mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("key", "k")
+        apart = cut(hot_join(own, mixed, "key", "k", total).select("rep", "n", "c").distinct())
+        pairs = cut(_across(apart, spark.table(table), percent, tile_shingles, tile_rows))
+        joined = components(pairs).select(F.col("id").alias("c"), F.col("component").alias("whole"))
     finally:
         spark.sql(f"drop table if exists {table}")
+        remove(spark, folder)
     of = classes.select("h1", "h2", "rep")
     of = of.join(label, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("c"))
     of = of.join(joined, "c", "left").select("h1", "h2", F.coalesce("whole", "c").alias("c"))
@@ -192,38 +197,46 @@ def _spanning(percent: int):
     return run
 
 
-def _across(own: DataFrame, sets: DataFrame, percent: int, tile_shingles: int, tile_rows: int) -> DataFrame:
-    """Pairs (a, b) of components that links between bucket mates join; own has (key, rep, n, c) of the buckets with several.
+def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int, tile_rows: int) -> DataFrame:
+    """Pairs (a, b) of components that links join; apart has (rep, n, c) of the documents whose buckets hold several components.
 
-    Components that share buckets are one cluster. A cluster of few shingles is one tile. Else tiles hold documents of a
-    class of set sizes, and only equal and neighbouring classes meet: others can't be similar enough.
+    In any one order of all shingles, two sets that are similar enough share one of their first n - ceil(n * percent /
+    100) + 1. The order begins with shingles that one component alone has, which can join nothing; the others follow by
+    the number of documents that have them. Documents meet at (shingle, size class), a class with its neighbour; groups
+    with the same members count once.
     """
-    first = own.groupBy("key").agg(F.min("c").alias("b"))
-    cluster = components(own.select("key", F.col("c").alias("a")).distinct().join(first, "key"))
-    rows = own.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"))
-    rows = cut(rows.join(cluster.select(F.col("id").alias("c"), F.col("component").alias("cluster")), "c"))
+    total = apart.agg(F.sum("n")).first()[0] or 0
+    each = apart.join(sets, apart["rep"] == sets["id"]).select("rep", "n", "c", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("s", "k")
+    each = hot_join(each, common, "s", "k", total)
+    own = Window.partitionBy("rep")
+    at = F.row_number().over(own.orderBy("k", "s")) + F.col("n") - F.count("*").over(own)
+    first = each.withColumn("at", at).where(F.expr(f"at <= n - ({percent} * n + 99) div 100 + 1"))
+    size = F.floor(F.log("n") / np.log(100 / percent)).cast("int")
+    met = cut(first.select("rep", "n", "c", F.explode(F.array(size, size + 1)).alias("g"), "s").select("rep", "n", "c", F.xxhash64("s", "g").alias("group")))
     load = F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int")
-    size = rows.groupBy("cluster").agg(load.alias("all"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    rows = rows.join(size.select("cluster", "all"), "cluster")
-    rows = rows.withColumn("g", F.when(F.col("all") <= 1, F.lit(0)).otherwise(F.floor(F.log("n") / np.log(100 / percent)).cast("int")))
-    tiles = rows.groupBy("cluster", "g").agg(load.alias("tiles"))
-    rows = rows.join(tiles, ["cluster", "g"]).withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    partner = tiles.select("cluster", F.col("g").alias("h"), F.col("tiles").alias("others"))
-    rows = rows.withColumn("h", F.explode(F.array(F.col("g") - 1, "g", F.col("g") + 1))).join(partner, ["cluster", "h"])
-    rows = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    mine, other = F.format_string("%06d/%06d", "g", "t"), F.format_string("%06d/%06d", "h", "u")
-    rows = rows.select("cluster", "rep", "n", "c", mine.alias("tile"), F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))
-    whole = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "n", "c", "tile", "i", "j", "shingles")
-    return whole.groupBy("cluster", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint")
+    groups = met.groupBy("group").agg(load.alias("tiles"), F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < most")
+    groups = groups.groupBy("k", "who").agg(F.min(F.struct("group", "tiles")).alias("x")).select("x.group", "x.tiles", "k")
+    rows = hot_join(met, groups, "group", "k", met.count())
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("group", "rep", "n", "c", F.col("t").alias("tile"), F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
+    whole = rows.join(sets, rows["rep"] == sets["id"]).select("group", "n", "c", "tile", "i", "j", "shingles")
+    return whole.groupBy("group", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; a centre of many pairs is dealt out with a copy of its set per per_salt pairs."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("salts", F.ceil(F.col("k") / per_salt).cast("int"))
-    left = many.join(sets, many["a"] == sets["id"]).select("a", "salts", "shingles")
-    left = left.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("x"))
-    salts = many.select("a", "salts")
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    """The pairs whose full sets are similar enough.
+
+    A centre with more than per_salt pairs and more than one in a thousand of all is dealt out by the other end's hash before
+    anything is joined, with a copy of its set per salt; there are fewer than a thousand such centres, so their numbers of
+    salts are broadcast.
+    """
+    share = max(per_salt, pairs.count() // 1000)
+    hot = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > share).select("a", F.ceil(F.col("k") / share).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.select("a").distinct().join(F.broadcast(hot), "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    left = left.join(sets, left["a"] == sets["id"]).select("a", "salt", F.col("shingles").alias("x"))
+    right = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     right = right.join(sets, right["b"] == sets["id"]).select("a", "b", "salt", F.col("shingles").alias("y"))
     both = left.join(right, ["a", "salt"]).withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.where(F.expr(f"100 * i >= {percent} * (size(x) + size(y) - i)")).select("a", "b").distinct()

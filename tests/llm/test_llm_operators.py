@@ -90,16 +90,91 @@ def test_minhash_finds_chains_and_hubs(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(docs, words=3, percent=85, per_salt=3))} == want
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 0])
-def test_components(spark, one_task):
+def brute_components(edges):
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            i, j = sorted((top(a), top(b)))
+            up[j] = i
+    return {x: top(x) for x in up}
+
+
+def test_components(spark):
     rng = random.Random(9)
+    path = rng.sample(range(10_000, 10_300), 300)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(k + 1000, k + 1001) for k in range(40)] + [(5000 - k, 2000 + k) for k in range(5)]
-    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint"), one_task).collect()}
-    up = {x: x for e in edges for x in e}
-    for a, b in edges * 60:
-        up[a] = up[b] = min(up[a], up[b])
-    assert got == {x: c for x, c in up.items() if any(x in e and e[0] != e[1] for e in edges)}
-    assert common.components(spark.createDataFrame([], "a bigint, b bigint"), one_task).count() == 0
+    edges += list(zip(path[:-1], path[1:], strict=True)) + [(30_000, 20_000 + k) for k in range(3000)] + [(40_000, 50_000 + k) for k in range(3000)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == brute_components(edges)
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_component_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or df.checkpoint())
+    rng = random.Random(2)
+    for n, most in ((100, 9), (6400, 14)):
+        path, before = rng.sample(range(n), n), len(cuts)
+        links = spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a bigint, b bigint")
+        assert {r.component for r in common.components(links).collect()} == {0}
+        assert (len(cuts) - before) / 2 <= most
+
+
+def boilerplate(n, seed=1):
+    """Texts of 120 words that all share and 60 of their own: none is a copy of another."""
+    rng = random.Random(seed)
+    shared = [f"s{k}" for k in range(120)]
+    return [" ".join(shared + [f"o{rng.randrange(10**9)}" for _ in range(60)]) for _ in range(n)]
+
+
+def test_minhash_compares_nothing_in_shared_boilerplate(spark, monkeypatch):
+    sizes, across = [], minhash._across
+
+    def counted(apart, *rest):
+        sizes.append(apart.count())
+        return across(apart, *rest)
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    monkeypatch.setattr(minhash, "_spanning", lambda percent: lambda table: 1 / 0)  # no tile may be run
+    docs = spark.createDataFrame(list(enumerate(boilerplate(600))), "doc_id bigint, text string")
+    out = minhash.near_duplicates(docs, words=3, percent=85)
+    assert out.where("kept").count() == 600 and sizes[0] > 300  # most share a bucket with another
+
+
+def test_minhash_finds_links_that_centres_miss(spark):
+    rng = random.Random(8)
+    texts = boilerplate(200)
+    for k in range(100):  # copies of documents that are no bucket's centre, with one word replaced
+        words = texts[100 + k].split()
+        words[130 + rng.randrange(40)] = "changed"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = linked({i: shingles(t, 3) for i, t in enumerate(texts)}, 85)
+    assert sum(want[i] != i for i in want) == 100
+    for tile in (1500, 2):
+        assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(docs, words=3, percent=85, tile_rows=tile))} == want
+
+
+@pytest.mark.parametrize(("percent", "words"), [(85, 3), (80, 5)])
+def test_minhash_recall_at_the_threshold(spark, percent, words):
+    """Pairs just as similar as asked for, or a little more."""
+    rng, texts = random.Random(percent), []
+    for k in range(300):
+        n = 300
+        own = [f"{k}w{j}" for j in range(n)]
+        change = int(n * (1 - percent / 100) / (1 + percent / 100)) - words
+        texts += [" ".join(own), " ".join([*own[: n - change], *(f"{k}x{j}" for j in range(change))])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = linked({i: shingles(t, words) for i, t in enumerate(texts)}, percent)
+    pairs = {i for i, c in want.items() if i != c}
+    got = {r["doc_id"] for r in rows(minhash.near_duplicates(docs, words=words, percent=percent)) if not r["kept"]}
+    assert len(pairs) == 300 and len(got & pairs) >= 297 and got <= pairs
 
 
 def test_minhash_edges(edges, empty):
@@ -304,6 +379,15 @@ def test_embeddings_against_all_pairs(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_null_and_repeated_ids(spark):
+    e = lambda k: [1.0 if j == k else 0.0 for j in range(8)]
+    near = lambda k: [1.0 if j == k else 0.05 for j in range(8)]
+    v = [(1, 0, e(0)), (1, 0, e(1)), (2, 0, near(0)), (None, 0, e(2)), (3, 0, near(2)), (None, 0, e(3)), (None, 0, near(3)), (4, 0, e(4)), (4, 0, e(4)), (5, 1, e(4)), (None, 0, e(0))]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in rows(embeddings.near_vectors(spark.createDataFrame(v, "vec_id bigint, label int, embedding array<double>"))))
+    want = [("1", 2, "1", True), ("1", 0, "1", True), ("2", 2, "1", False), ("None", 1, "None", True), ("3", 1, "3", True), ("None", 1, "None", True), ("None", 1, "None", True), ("4", 1, "4", True), ("4", 1, "4", True), ("5", 0, "5", True), ("None", 2, "None", True)]
+    assert got == sorted(want)
+
+
 def test_mixing(spark, edges, empty):
     docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i % 9)), "big" if i % 10 else ("mid" if i % 20 else "tiny")) for i in range(3000)], "doc_id bigint, text string, source string")
     out = mixing.mix_sources(docs, entropy_share=0.9, max_repeats=3.0, block_docs=32).toPandas()
