@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import components, cut
+from tagloom.llm.common import components, cut, hot_join
 
 
 def calibrate(cosine: float, projections: int = 32, sigmas: float = 2.2, miss: float = 1e-7) -> tuple[float, int]:
@@ -56,7 +56,7 @@ def _tiles(cosine: float, projections: int, block: int = 256):
     def run(table: pa.Table) -> pa.Table:
         tile = table.column("tile").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        unit, ids, size = _units(table), table.column("rep").to_numpy(), table.column("size").to_numpy()
+        unit, ids, size = _units(table), table.column("node").to_numpy(), table.column("size").to_numpy()
         p = unit @ np.random.default_rng(17).standard_normal((unit.shape[1], projections))
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         pairs = []
@@ -95,7 +95,7 @@ def _tiles(cosine: float, projections: int, block: int = 256):
             if (root == was).all():
                 break
         some = np.flatnonzero(links)
-        return pa.table({"rep": ids[some], "links": links[some], "root": root[some]})
+        return pa.table({"node": ids[some], "links": links[some], "root": root[some]})
 
     return run
 
@@ -106,27 +106,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Equal vectors of a label are one class with a size, so copies never meet. A label's classes are dealt to hash tiles
     of about tile_rows; each pair of tiles is a task of bounded size that sorts the projections of one tile and counts,
     for every vector of the other, the windows around it that hold each vector. Pairs that pass the count calibrated
-    by calibrate() are verified. A tile pair returns counts and least ids by row, never pairs. The work in a label
-    grows with the square of its distinct vectors; there is no cap on them.
+    by calibrate() are verified. A tile pair returns counts and least nodes by row, never pairs. The work in a label
+    grows with the square of its distinct vectors; there is no cap on them. Single windows can't bound it: at 0.93 one
+    holds 44 % of all unrelated vectors, so emitting collisions instead of counting them would be far more work.
 
     Null, empty or zero vectors, those with null or non-finite components and rows of null label link with nothing.
-    Vectors of different length don't link. Rows that repeat an id are vectors of their own. A null id gets no
-    component (null) and is kept.
+    Vectors of different length don't link. Links are between vectors, not ids: rows that repeat an id are vectors of
+    their own, each with its own links, and so are rows of null id; these have no component (null) and are kept. A
+    component that has null ids only is null for all. Other columns, whatever their names, are not read.
     """
     ship(vectors.sparkSession)
     base = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    base = cut(base.mapInArrow(_packed, "id bigint, label bigint, dim int, vector binary").withColumn("mark", F.sha2("vector", 256)))
-    able = base.where("label is not null and vector is not null")
-    classes = cut(able.groupBy("label", "dim", "mark").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("vector").alias("vector")))
-    counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    dealt = classes.where("rep is not null").join(counts, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("mark"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("label", "dim", "i", "j", "tile", "rep", "size", "vector")
-    met = cut(dealt.groupBy("label", "dim", "i", "j").applyInArrow(_tiles(cosine, projections), "rep bigint, links bigint, root bigint"))
-    links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    label = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("rep"), "component")
-    of = classes.join(links, "rep", "left").join(label, "rep", "left")
-    of = of.select("label", "dim", "mark", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = base.select("id", "label", "dim", "mark").join(of, ["label", "dim", "mark"], "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
+    key = F.when(F.expr("label is not null and vector is not null"), F.sha2(F.concat(F.concat_ws("/", "label", "dim").cast("binary"), F.lit("/").cast("binary"), "vector"), 256))
+    base = cut(base.mapInArrow(_packed, "id bigint, label bigint, dim int, vector binary").withColumn("mark", key))
+    able = base.where("mark is not null")
+    classes = able.groupBy("mark").agg(F.min("label").alias("label"), F.min("dim").alias("dim"), F.min("id").alias("rep"), F.count("*").alias("size"), F.min("vector").alias("vector"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the cut
+    counts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("n")).withColumn("part", F.struct("label", "dim"))
+    total = classes.count()
+    dealt = hot_join(classes.withColumn("part", F.struct("label", "dim")), counts.select("part", "tiles", "n"), "part", "n", total)
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("mark"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).select("label", "dim", "i", "j", "tile", "node", "size", "vector")
+    met = cut(dealt.groupBy("label", "dim", "i", "j").applyInArrow(_tiles(cosine, projections), "node bigint, links bigint, root bigint"))
+    links = met.groupBy("node").agg(F.sum("links").alias("links"))
+    label = components(met.select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("node"), F.col("component").alias("c"))
+    of = classes.select("node", "mark", "rep", "size").join(links, "node", "left").join(label, "node", "left")
+    of = cut(of.select("mark", "size", "rep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("c", "node").alias("c")))
+    first = of.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("k"))
+    of = hot_join(of, first, "c", "k", total).select("mark", "size", "n_links", "component_id")
+    linked = hot_join(able.select("id", "mark"), of, "mark", "size", base.count()).select("id", "n_links", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    alone = base.where("mark is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
