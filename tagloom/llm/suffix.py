@@ -1,9 +1,8 @@
-"""Removal of later copies of long byte strings, by equality of strings of a fixed length."""
+"""Removal of later copies of long byte strings, by longest previous factors."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import checkpoint_dir, mix, prefix_sums, span_hash, text_chunks
+from tagloom.llm.common import cut, mix, prefix_sums, span_hash, text_chunks, written
 
 _LAST = 2**63 - 1
 _MIX = np.uint64(0x9FB21C651E98DF25)
@@ -37,8 +36,8 @@ def _smaller(values: np.ndarray, step: int) -> np.ndarray:
     return to
 
 
-def _ranks(data: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the strings of width bytes (a power of two from 8 up) that start at each byte; bytes past the end are 0."""
+def _ranks(data: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The 8 bytes at each place as a number, and the ranks of the strings of 8, 16 ... width bytes there; past the end stand 0s."""
     padded = np.zeros(len(data) + width, np.uint64)
     padded[: len(data)] = data
     key = padded[: len(data)]
@@ -46,34 +45,47 @@ def _ranks(data: np.ndarray, width: int) -> np.ndarray:
         longer = np.zeros(len(data), np.uint64)
         longer[: max(0, len(data) - by)] = key[by:]
         key = (key << np.uint64(shift)) | longer
-    rank, size = np.unique(key, return_inverse=True)[1].astype(np.int64), 8
+    ranks, size = [np.unique(key, return_inverse=True)[1].astype(np.int64)], 8
     while size < width:
         after = np.full(len(data), -1, np.int64)
-        after[: max(0, len(data) - size)] = rank[size:]
-        rank = np.unique(rank * (len(data) + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+        after[: max(0, len(data) - size)] = ranks[-1][size:]
+        ranks.append(np.unique(ranks[-1] * (len(data) + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
         size *= 2
-    return rank
+    return key, ranks
 
 
-def repeats(data: np.ndarray, starts: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Which starts have the same length bytes at a start with a smaller place.
+def longest_previous(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """For each start the length of the longest string there that also begins at a start with a smaller place.
 
-    Starts are ordered by the rank of their length bytes, then by place, so this says which are not the first of their
-    equals; it stands for a longest previous factor of at least length, whose own length isn't computed. Each start needs length bytes of data; equal places are not earlier than each other.
+    Starts are put in suffix order, by twice the largest power of two within length; each must have length bytes before
+    its end. The candidates are the nearest ones before and after it in that order that have a smaller place. Lengths are
+    measured up to the ends and below that many bytes; equal places are not earlier than each other.
     """
     width = 8
     while width * 2 <= length:
         width *= 2
-    rank = _ranks(data, width)
-    key = rank[starts] * (len(data) + 1) + rank[starts + length - width]
-    order = np.lexsort((places, key))
-    key, place = key[order], places[order]
-    found = np.zeros(len(order), bool)
+    key, ranks = _ranks(data, width)
+    order = np.lexsort((places, np.append(ranks[-1], -1)[starts + width], ranks[-1][starts]))
+    at, room, place = starts[order], (ends - starts)[order], places[order]
+    most = np.zeros(len(order), np.int64)
     for step in (-1, 1):
         to = _smaller(place, step)
-        found |= (to >= 0) & (key[to] == key)
-    out = np.empty(len(order), bool)
-    out[order] = found
+        mine = np.flatnonzero(to >= 0)
+        i, j, same = at[mine], at[to[mine]], np.zeros(len(mine), np.int64)
+        limit = np.minimum(room[mine], room[to[mine]])
+        size = width
+        while size:  # the common prefix, by halves
+            x, y = np.minimum(i + same, len(data) - 1), np.minimum(j + same, len(data) - 1)
+            if size >= 8:
+                rank = ranks[size.bit_length() - 4]
+                alike = rank[x] == rank[y]
+            else:
+                alike = (key[x] ^ key[y]) >> np.uint64(64 - 8 * size) == 0
+            same += size * (alike & (same < limit))
+            size //= 2
+        most[mine] = np.maximum(most[mine], np.minimum(same, limit))
+    out = np.empty(len(order), np.int64)
+    out[order] = most
     return out
 
 
@@ -111,49 +123,57 @@ def anchors(codes: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return row, hashes[g], context, lo - offsets[row], hi - lo
 
 
-_ANCHORS = "key bigint, context bigint, id bigint, lo bigint, span int, done boolean"
+_ANCHORS = "key bigint, context bigint, id bigint, th bigint, lo int, span int, done boolean"
 
 
-def _runs(ids: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges sorted by id and start, those that touch joined."""
-    base = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]).astype(np.int64)))) * (int(end.max()) + 2)
+def _runs(docs: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (index of the first, start, end), those of a document that touch joined; docs, numbers of documents, and starts are sorted."""
+    base = docs * (int(end.max()) + 2)
     far = np.maximum.accumulate(base + end)
     first = np.flatnonzero(np.concatenate(([True], (base + lo)[1:] > far[:-1])))
-    last = np.append(first[1:], len(ids)) - 1
-    return ids[first], lo[first], (far - base)[last]
+    last = np.append(first[1:], len(docs)) - 1
+    return first, lo[first], (far - base)[last]
+
+
+def _documents(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Numbers from 0 of the documents (id, hash of the text) of sorted rows."""
+    return np.cumsum(np.concatenate(([0], ((ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])).astype(np.int64))))
 
 
 def _anchored(length: int, gram: int, most: int = 250_000):
+    schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("span", pa.int32()), ("done", pa.bool_())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            key, context, ids, lo, span = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, context, ids, th, lo, span = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((lo, ids, context, key))
-            key, context, ids, lo, span = key[order], context[order], ids[order], lo[order], span[order]
+            order = np.lexsort((lo, th, ids, context, key))
+            key, context, ids, th, lo, span = (x[order] for x in (key, context, ids, th, lo, span))
             first = np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
             head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            later = (ids != ids[head]) | (lo != lo[head])  # a row that repeats has the same places
+            later = (ids != ids[head]) | (th != th[head]) | (lo != lo[head])  # a row that repeats has the same places
             for k in range(0, len(f := np.flatnonzero(first)), 50_000):
                 s = f[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(ids[s]), pa.array(lo[s]), pa.array(span[s].astype(np.int32)), pa.array(np.zeros(len(s), bool))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(ids[s]), pa.array(th[s]), pa.array(lo[s].astype(np.int32)), pa.array(span[s].astype(np.int32)), pa.array(np.zeros(len(s), bool))], schema=schema)
             if later.any():
-                i, a, b = ids[later], lo[later], (lo + span + length)[later]
-                order = np.lexsort((a, i))
-                i, a, b = _runs(i[order], a[order], b[order])
-                h = mix(i.view(np.uint64) * np.uint64(31) + a.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(a), pa.array(i), pa.array(a), pa.array((b - a).astype(np.int32)), pa.array(np.ones(len(i), bool))], schema=schema)
+                i, h, a, b = ids[later], th[later], lo[later], (lo + span + length)[later]
+                order = np.lexsort((a, h, i))
+                i, h = i[order], h[order]
+                at, a, b = _runs(_documents(i, h), a[order], b[order])
+                i, h = i[at], h[at]
+                key = mix(i.view(np.uint64) * np.uint64(31) + h.view(np.uint64) + a.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a.astype(np.int64)), pa.array(i), pa.array(h), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(np.ones(len(i), bool))], schema=schema)
 
-        schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("span", pa.int32()), ("done", pa.bool_())])
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, codes, offsets in text_chunks(batch.column(1), 1 << 18):
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for first, _, codes, offsets in text_chunks(batch.column(2), 1 << 18):
                 row, key, context, lo, span = anchors(codes, offsets, length, gram)
                 if len(row):
-                    held.append((key, context, ids[first + row], lo, span))
+                    held.append((key, context, ids[first + row], hashes[first + row], lo, span))
             if sum(len(x[0]) for x in held) >= most:
                 yield from flush()
         yield from flush()
@@ -161,35 +181,35 @@ def _anchored(length: int, gram: int, most: int = 250_000):
     return run
 
 
-_SEGMENTS = "key bigint, id bigint, lo bigint, part binary, span int"
+_SEGMENTS = "key bigint, id bigint, th bigint, lo int, part binary, span int"
 
 
 def _segments(length: int):
     """Bytes of the strings that are still open; strings of a key with very many contexts go one by one, under their own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int64()), ("part", pa.binary()), ("span", pa.int32())])
+        schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("part", pa.binary()), ("span", pa.int32())])
         for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
-            seen: dict[bytes, tuple[int, int]] = {}
+            seen: dict[bytes, tuple[int, int, int]] = {}
             rows: list[tuple] = []
-            for i, text, todo in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for i, h, text, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for x in todo.as_py():
                     key, lo, span, crowded = x["key"], x["lo"], x["span"], x["crowded"]
                     if not crowded:
-                        rows.append((key, i, lo, data[lo : lo + span + length], span))
+                        rows.append((key, i, h, lo, data[lo : lo + span + length], span))
                         continue
                     for s in range(lo, lo + span + 1):
                         part = data[s : s + length]
                         was = seen.get(part)
-                        if was is None or (i, s) < was:
+                        if was is None or (i, h, s) < was:
                             if was is not None:
                                 rows.append((0, *was, None, 0))
-                            seen[part] = (i, s)
-                        elif (i, s) > was:
-                            rows.append((0, i, s, None, 0))
-            for part, (i, s) in seen.items():
-                rows.append((int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), i, s, part, 0))
+                            seen[part] = (i, h, s)
+                        elif (i, h, s) > was:
+                            rows.append((0, i, h, s, None, 0))
+            for part, was in seen.items():
+                rows.append((int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), *was, part, 0))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -197,30 +217,31 @@ def _segments(length: int):
 
 
 def _factors(length: int, block: int = 1 << 20):
-    """Per block of whole keys: suffix order, longest previous factors, and the ranges of the starts that have one."""
+    """Per block of whole keys: suffix order, longest previous factors, and the ranges of those that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("lo", pa.int64()), ("end", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("lo", pa.int32()), ("end", pa.int32())])
         held: list[tuple] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            parts = [x[3] for x in held]
+            parts = [x[4] for x in held]
             data = np.frombuffer(b"".join(parts), np.uint8)
-            base = np.cumsum([0, *map(len, parts[:-1])])
-            span = np.array([x[4] for x in held])
+            base = np.cumsum([0, *map(len, parts)])
+            span = np.array([x[5] for x in held])
             seg = np.repeat(np.arange(len(held)), span + 1)
             step = np.arange(len(seg)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-            ids, lo = np.array([x[1] for x in held], np.int64)[seg], np.array([x[2] for x in held], np.int64)[seg] + step
-            order = np.lexsort((lo, ids))
-            place = np.empty(len(seg), np.int64)
-            change = np.concatenate(([False], (ids[order][1:] != ids[order][:-1]) | (lo[order][1:] != lo[order][:-1])))
-            place[order] = np.cumsum(change)
-            found = repeats(data, base[seg] + step, place, length)
-            i, a = ids[order][found[order]], lo[order][found[order]]
-            if len(i):
-                i, a, b = _runs(i, a, a + length)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(a), pa.array(b)], schema=schema)
+            ids, th = (np.array([x[k] for x in held], np.int64)[seg] for k in (1, 2))
+            lo = np.array([x[3] for x in held], np.int64)[seg] + step
+            order = np.lexsort((lo, th, ids))
+            ids, th, lo = ids[order], th[order], lo[order]
+            doc, place = _documents(ids, th), np.empty(len(seg), np.int64)
+            place[order] = np.cumsum(np.concatenate(([False], (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1]))))
+            factor = longest_previous(data, base[seg] + step, base[seg + 1], place, length)[order]
+            found = factor >= length
+            if found.any():
+                at, a, b = _runs(doc[found], lo[found], (lo + factor)[found])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found][at]), pa.array(th[found][at]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], schema=schema)
             held.clear()
 
         for batch in batches:
@@ -229,7 +250,7 @@ def _factors(length: int, block: int = 1 << 20):
                     yield from flush()
                     size = 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield from flush()
 
@@ -261,43 +282,51 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), spans_type, pa.string()), strict=True))], names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, crowd: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, crowd: int = 2000, sampled: int = 64, frequent: int = 32) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept_sha256) of each row: spans are the byte ranges to remove.
 
     A byte goes if it is in a string of length bytes that also starts earlier (smaller id, or same id and earlier
     start) anywhere in the table. Strings meet at their least gram of gram bytes; of the same bytes around one, only
     the first place stays open (within each task before the shuffle, then over all). What is left open at a shared
-    gram differs somewhere: those bytes are put in suffix order, and a start whose longest previous factor is at
-    least length goes. A gram with over crowd rows is dealt out by whole strings instead, so no task gets it alone.
-
-    Null text is empty; null ids come after all others and are null in the result. Rows that share an id are one
-    document: what is removed of one is removed of the other, as far as it reaches, and repeated rows get the same
-    result. Needs length >= gram, gram a power of two, at least 8.
+    gram differs somewhere: those bytes are put in suffix order, previous and next smaller places give each start's
+    longest previous factor, and one of at least length bytes goes. A gram with over crowd rows is dealt out by whole
+    strings instead, so no task gets it alone; so is a gram that over frequent and over one in a thousand anchors of
+    every sampled-th document have, whose rows are also dealt out before they are first ordered. That sample only
+    chooses a way for the rows: both give the same result.
+
+    Null text is empty; null ids come after all others and are null in the result. Rows that share an id are documents
+    of their own, ordered by the hash of their texts, but rows of equal id and text are one document and get the same
+    result. Texts of any length are read whole, in memory of one text. Other columns are not read. Needs length >=
+    gram, gram a power of two, at least 8.
     """
     if gram < 8 or gram & (gram - 1) or length < gram:
         raise ValueError("gram must be a power of two from 8 to length")
     spark = docs.sparkSession
     ship(spark)
-    text = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = text.mapInArrow(_anchored(length, gram), _ANCHORS)
-    by_key = Window.partitionBy("key").orderBy("context").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_both = Window.partitionBy("key", "context").orderBy("id", "lo").rowsBetween(Window.unboundedPreceding, 0)
+    text = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("id"), F.col(id_col).isNull().alias("nameless"), F.col(text_col).cast("string").alias("text"))
+    text = text.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text", "nameless")
+    some = text.select("id", "th", "text").where(F.pmod("th", F.lit(sampled)) == 0).mapInArrow(_anchored(length, gram), _ANCHORS).where("not done")
+    some = cut(some.groupBy("key").agg(F.count("*").alias("n")))
+    hot = some.where(F.col("n") > max(frequent, (some.agg(F.sum("n")).first()[0] or 0) // 1000)).select("key", F.lit(True).alias("hot"))  # fewer than 1,000
+    rows = text.select("id", "th", "text").mapInArrow(_anchored(length, gram), _ANCHORS).join(F.broadcast(hot), "key", "left")
+    hot = F.col("hot").isNotNull()
+    rows = rows.withColumn("salt", F.when(hot, F.pmod("context", F.lit(256))).otherwise(0).cast("int"))
+    by_key = Window.partitionBy("key", "salt").orderBy("context").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_both = Window.partitionBy("key", "salt", "context").orderBy("id", "th", "lo").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("least", F.min("context").over(by_key)).withColumn("most", F.max("context").over(by_key)).withColumn("many", F.count("*").over(by_key))
-    rows = rows.withColumn("first", F.min(F.struct("id", "lo")).over(by_both))
-    later = F.struct("id", "lo") > F.col("first")
+    rows = rows.withColumn("first", F.min(F.struct("id", "th", "lo")).over(by_both))
+    later = F.struct("id", "th", "lo") > F.col("first")
     rows = rows.withColumn("span", F.when(~F.col("done") & later, F.col("span") + length).otherwise(F.col("span")))
-    rows = rows.withColumn("done", F.col("done") | later).where("done or least < most")
-    path = f"{checkpoint_dir(spark)}/factors-{uuid.uuid4().hex}"
-    rows.select("key", "id", "lo", "span", "done", (F.col("many") > crowd).alias("crowded")).write.parquet(path)
-    rows = spark.read.parquet(path)
-    todo = rows.where("not done").groupBy("id").agg(F.collect_list(F.struct("key", "lo", "span", "crowded")).alias("todo"))
-    parts = text.join(todo, "id").select("id", "text", "todo").mapInArrow(_segments(length), _SEGMENTS)
+    rows = rows.withColumn("done", F.col("done") | later).where(F.col("done") | hot | F.expr("least < most"))
+    rows = written(rows.select("key", "id", "th", "lo", "span", "done", (hot | (F.col("many") > crowd)).alias("crowded")), "factors")
+    todo = rows.where("not done").groupBy("id", "th").agg(F.collect_list(F.struct("key", "lo", "span", "crowded")).alias("todo"))
+    parts = text.join(todo, ["id", "th"]).select("id", "th", "text", "todo").mapInArrow(_segments(length), _SEGMENTS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.withColumn("key", F.when(F.col("part").isNull(), F.xxhash64("id", "lo")).otherwise(F.col("key")))
+    parts = parts.withColumn("key", F.when(F.col("part").isNull(), F.xxhash64("id", "th", "lo")).otherwise(F.col("key")))
     parts = parts.repartition(n, "key").sortWithinPartitions("key")
-    found = parts.where("part is not null").mapInArrow(_factors(length), "id bigint, lo bigint, end bigint")
-    alone = parts.where("part is null").select("id", "lo", (F.col("lo") + length).alias("end"))
-    known = rows.where("done").select("id", "lo", (F.col("lo") + F.col("span")).alias("end"))
-    ranges = known.unionAll(found).unionAll(alone).select("id", (F.shiftleft("lo", 32) + F.col("end")).alias("r")).groupBy("id").agg(F.collect_list("r").alias("ranges"))
-    out = text.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(_kept, "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept_sha256 string")
-    return out.select(F.when(F.col("id") != _LAST, F.col("id")).alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256")
+    found = parts.where("part is not null").mapInArrow(_factors(length), "id bigint, th bigint, lo int, end int")
+    alone = parts.where("part is null").select("id", "th", "lo", (F.col("lo") + length).alias("end"))
+    known = rows.where("done").select("id", "th", "lo", (F.col("lo") + F.col("span")).alias("end"))
+    ranges = known.unionAll(found).unionAll(alone).select("id", "th", (F.shiftleft(F.col("lo").cast("bigint"), 32) + F.col("end")).alias("r")).groupBy("id", "th").agg(F.collect_list("r").alias("ranges"))
+    out = text.join(ranges, ["id", "th"], "left").select(F.when(~F.col("nameless"), F.col("id")).alias("id"), "text", "ranges").mapInArrow(_kept, "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<a:bigint,b:bigint>>, kept_sha256 string")
+    return out.withColumnRenamed("id", id_col)

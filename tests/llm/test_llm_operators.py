@@ -413,23 +413,23 @@ def test_mixing(spark, edges, empty):
 
 
 def brute_spans(docs, length):
-    texts = {i: (t or "").encode() for i, t in docs}
-    seen, gone = {}, {i: bytearray(len(t)) for i, t in texts.items()}
-    for i in sorted(texts):
-        for s in range(len(texts[i]) - length + 1):
-            part = texts[i][s : s + length]
+    """Of each row, in order: an id and a text are a document, null ids come last, texts of an id go by hash (th)."""
+    order = sorted({(i is None, i or 0, h): (t or "").encode() for i, t, h in docs}.items())
+    seen, out = {}, {}
+    for (nameless, i, h), text in order:
+        gone = bytearray(len(text))
+        for s in range(len(text) - length + 1):
+            part = text[s : s + length]
             if part in seen:
-                gone[i][s : s + length] = b"\x01" * length
-            seen.setdefault(part, (i, s))
-    out = {}
-    for i, g in gone.items():
-        left = bytes(b for b, x in zip(texts[i], g, strict=True) if not x)
-        out[i] = (len(texts[i]), sum(g), len(re.findall(b"\x01+", bytes(g))), hashlib.sha256(left).hexdigest())
-    return out
+                gone[s : s + length] = b"\x01" * length
+            seen.setdefault(part, 1)
+        left = bytes(b for b, x in zip(text, gone, strict=True) if not x)
+        out[None if nameless else i, h] = (len(text), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(left).hexdigest())
+    return [(i, *out[i, h]) for i, _, h in docs]
 
 
-@pytest.mark.parametrize("crowd", [2000, 2])
-def test_suffix_against_all_strings(spark, crowd):
+@pytest.mark.parametrize("ways", [{}, {"crowd": 2}, {"sampled": 1, "frequent": 3}])
+def test_suffix_against_all_strings(spark, ways):
     docs = [(r.doc_id, r.text) for r in small(spark, "documents").collect()][:150]
     rng = random.Random(3)
     n = max(i for i, _ in docs) + 1
@@ -439,10 +439,12 @@ def test_suffix_against_all_strings(spark, crowd):
         docs.append((n + k, a[s : s + rng.randrange(30, 400)] + b[t : t + rng.randrange(30, 300)]))
     docs += [(n + 100, "ab" * 300), (n + 101, "a" * 500), (n + 102, ""), (n + 103, None), (n + 104, "a" * 99), (n + 105, "x" * 99 + "a" * 100), (n + 106, "été" * 80)]
     docs += [(n + 200 + k, "A line that a lot of documents share, and that is far longer than a hundred bytes, so that whole strings lie within it. " + chr(97 + k % 26) * (k + 1)) for k in range(30)]
-    out = suffix.repeated_spans(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5), crowd=crowd)
-    want = brute_spans(docs, 100)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows(out)}
-    assert got == want
+    letters = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    docs += [(None, docs[0][1]), (None, letters(300)), (None, letters(300)), (5, letters(300)), (5, docs[3][1]), (5, docs[3][1]), (-1, letters(250) + docs[9][1])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    want = brute_spans([tuple(r) for r in df.collect()], 100)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in rows(suffix.repeated_spans(df.repartition(5), **ways))]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_suffix_edges(edges, empty):
@@ -455,9 +457,11 @@ def test_suffix_edges(edges, empty):
 def test_longest_previous_factor():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 600).astype(np.uint8)
-    starts = np.arange(600 - 12)
-    want = [data[s : s + 12].tobytes() in {data[t : t + 12].tobytes() for t in range(s)} for s in starts]
-    assert suffix.repeats(data, starts, starts, 12).tolist() == want
+    raw, starts = data.tobytes(), np.arange(600 - 12)
+    common = lambda i, j: next((k for k in range(600 - max(i, j)) if raw[i + k] != raw[j + k]), 600 - max(i, j))
+    want = [max((common(i, j) for j in range(i)), default=0) for i in starts]
+    got = suffix.longest_previous(data, starts, np.full(len(starts), 600), starts, 12).tolist()
+    assert [min(x, 15) if x >= 12 else -1 for x in got] == [min(x, 15) if x >= 12 else -1 for x in want]
     values = rng.integers(0, 50, 200)
     assert suffix._smaller(values, -1).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(200)]
     assert suffix._smaller(values, 1).tolist() == [min((j for j in range(i + 1, 200) if values[j] < values[i]), default=-1) for i in range(200)]
