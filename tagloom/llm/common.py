@@ -152,6 +152,30 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, deal: str, share: int) -> DataFrame:
+    """Inner join in which a key with over share rows is dealt out by the hash of column deal, the table's rows copied per salt.
+
+    share should be at least one in a thousand of all rows: then fewer than a thousand (key, salts) are broadcast, and no
+    row of the table. rows are read twice.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(deal), salts).cast("int")).drop("_salts")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most: int = 500_000) -> DataFrame:
+    """The rows of docs but those whose id and text hash are in gone (id, th), null ids being equal.
+
+    Up to most rows of two numbers go to every executor, so the texts needn't be shuffled; more are joined by shuffle.
+    """
+    gone = cut(gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
+    few = gone.limit(most + 1).count() <= most
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    return own.join(F.broadcast(gone) if few else gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti").select("row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b); component is the smallest id that can be reached.
 

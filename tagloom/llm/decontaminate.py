@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import ship
+from tagloom.llm.common import cut, mix, prefix_sums, salted_join, span_hash, text_chunks, without, written
 
 
 def normal(text: str | None) -> str:
@@ -64,103 +65,168 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     return (best, end) if best <= budget else None
 
 
-class Finder:
-    """Finds items in texts within an error budget of rate times the item's length; those under min_chars as exact whole words."""
-
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
-        import ahocorasick
-
-        self.items, where = [], {}
-        for key, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
-            text = normal(text)
-            if text:
-                exact = len(text) < min_chars
-                budget = 0 if exact else int(len(text) * rate)
-                for start, piece in pieces(text, budget):
-                    where.setdefault(piece, []).append((len(self.items), start, exact))
-                self.items.append((key, text, budget))
-        self.machine = ahocorasick.Automaton()
-        for piece, places in where.items():
-            self.machine.add_word(piece, (len(piece), places))
-        if where:
-            self.machine.make_automaton()
-
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item key, distance, end in the normal text) of each item found, at its best place."""
-        if not self.items or not text:
-            return []
-        text = normal(text)
-        tried: dict[int, list[int]] = {}
-        whole: dict[int, int] = {}
-        for last, (size, places) in self.machine.iter(text):
-            for item, start, exact in places:
-                if not exact:
-                    tried.setdefault(item, []).append(last + 1 - size - start)
-                elif item not in whole and whole_words(text, last + 1 - size, last + 1):
-                    whole[item] = last + 1
-        out = [(self.items[item][0], 0, end) for item, end in whole.items()]
-        for item, starts in tried.items():
-            key, pattern, budget = self.items[item]
-            best = None
-            spans: list[list[int]] = []
-            for s in sorted(starts):  # windows that overlap are read once
-                lo, hi = max(0, s - budget), s + len(pattern) + budget
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
-            for lo, hi in spans:
-                got = myers(pattern, text[lo:hi], budget)
-                if got and (best is None or (got[0], lo + got[1]) < best):
-                    best = (got[0], lo + got[1])
-            if best:
-                out.append((key, *best))
-        return sorted(out)
-
-
-@functools.lru_cache(maxsize=4)
-def _finder(items: tuple, rate: float, min_chars: int) -> Finder:
-    return Finder(list(items), rate, min_chars)
-
-
-def _hits(shared, rate: float, min_chars: int):
+#: Bytes at a piece's start by which places are looked up first; shorter pieces are looked up whole.
+_HEAD = 11
+_PIECES = "hash bigint, head bigint, n_head int, size int, offset int, item bigint"
+_FOUND = "id bigint, th bigint, text string, hits array<struct<hash:bigint,at:int>>"
+
+
+def _heads(hashes: np.ndarray, size: int) -> np.ndarray:
+    return mix(hashes + np.uint64(0x9E3779B97F4A7C15 * size % 2**64))
+
+
+def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece: the hash of its bytes and of its first ones, their sizes, where it starts, and the item's number."""
+    for batch in batches:
+        rows = []
+        for item, pattern, budget in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for offset, piece in pieces(pattern, budget):
+                codes = np.frombuffer(piece.encode(), np.uint8)
+                sums, n = prefix_sums(codes), min(len(codes), _HEAD)
+                head, whole = (_heads(span_hash(sums, np.array([0]), np.array([k])), k).view(np.int64)[0] for k in (n, len(codes)))
+                rows.append((mix(np.array([whole], np.int64).view(np.uint64)).view(np.int64)[0], head, n, len(codes), offset, item))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["hash", "head", "n_head", "size", "offset", "item"])
+
+
+def _pieces_met(shared, heads: list[int], sizes: list[int]):
+    """Documents, in normal form, with the hashes and places of what the filter takes for pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        low = np.uint64(len(words) * 64 - 1)
+        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))])
+
+        def there(h: np.ndarray) -> np.ndarray:
+            slot = h & low
+            return (words[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+        for batch in batches:
+            column = pa.array([normal(t.as_py()) for t in batch.column(2)], pa.string())
+            for lo, hi, codes, offsets in text_chunks(column):
+                sums, found = prefix_sums(codes), []
+                for n in heads:
+                    if len(codes) < n:
+                        continue
+                    at = np.arange(len(codes) - n + 1)
+                    at = at[there(_heads(span_hash(sums, at, at + n), n))]
+                    for size in sizes if n == _HEAD else [n]:
+                        if size >= n:
+                            own = at[at + size <= len(codes)]
+                            h = mix(_heads(span_hash(sums, own, own + size), size))
+                            good = there(h)
+                            row = np.searchsorted(offsets, own, "right") - 1
+                            good &= own + size <= offsets[row + 1]
+                            found.append((row[good], own[good], h[good].view(np.int64)))
+                row, at, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                if not len(row):
+                    continue
+                order = np.lexsort((at, row))
+                row, at, h = row[order], at[order], h[order]
+                chars = np.concatenate(([0], np.cumsum((codes & 0xC0) != 0x80)))
+                at = chars[at] - chars[offsets[row]]
+                some, first = np.unique(row, return_index=True)
+                ends = np.append(first, len(row)).astype(np.int32)
+                hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h), pa.array(at.astype(np.int32))], names=["hash", "at"]))
+                which = pa.array(lo + some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), column.take(which), hits], schema=schema)
+
+    return run
+
+
+def locate(text: str, pattern: str, budget: int, exact: bool, starts: list[int]) -> tuple[int, int] | None:
+    """(distance, end) of the best place of a pattern in a normal text, given where it may start; None beyond its budget."""
+    best = None
+    if exact:
+        ends = [s + len(pattern) for s in starts if text.startswith(pattern, s) and whole_words(text, s, s + len(pattern))]
+        return (0, min(ends)) if ends else None
+    spans: list[list[int]] = []
+    for s in sorted(starts):  # windows that overlap are read once
+        lo, hi = max(0, s - budget), s + len(pattern) + budget
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        got = myers(pattern, text[lo:hi], budget)
+        if got and (best is None or (got[0], lo + got[1]) < best):
+            best = (got[0], lo + got[1])
+    return best
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    for batch in batches:
+        out = []
+        for i, h, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            text = text.as_py()
+            for x in wanted.as_py():
+                got = locate(text, x["pattern"], x["budget"], x["exact"], x["starts"])
+                if got:
+                    out.append((i, h, x["item_id"], *got))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "th", "item_id", "distance", "end"])
+
+
+def _normal_items(rate: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared.value, rate, min_chars)
         for batch in batches:
-            rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in finder.find(t.as_py())]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "item_id", "distance", "end"])
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            exact = [len(t) < min_chars for t in texts]
+            budget = [0 if e else int(len(t) * rate) for t, e in zip(texts, exact, strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(budget, pa.int32()), pa.array(exact, pa.bool_())], names=["item_id", "pattern", "budget", "exact"])
+            yield out.filter(pa.array([bool(t) for t in texts], pa.bool_()))
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.06, min_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.06, min_chars: int = 32, filter_bits: int = 1 << 27) -> DataFrame:
+    """find_leaks() with the documents' text hashes, th."""
+    spark = docs.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    items = items.mapInArrow(_normal_items(error_rate, min_chars), "item_id bigint, pattern string, budget int, exact boolean").distinct()
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()))  # fixed by the cut
+    parts = cut(items.select("item", "pattern", "budget").mapInArrow(_cut_items, _PIECES))
+    kinds = parts.groupBy("n_head", "size").agg(F.count("*").alias("n")).collect()  # sizes of pieces: under 4 * 32 of them
+    bits = 1 << 16
+    while bits < min(filter_bits, 128 * sum(r["n"] for r in kinds)):
+        bits *= 2
+    marks = parts.select(F.explode(F.array("head", "hash")).alias("slot")).withColumn("slot", F.col("slot").bitwiseAND(bits - 1)).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    marks = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # filter_bits bounds it
+    words = np.zeros(bits // 64, np.uint64)
+    words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
+    met = _pieces_met(spark.sparkContext.broadcast(words), sorted({r["n_head"] for r in kinds}), sorted({r["size"] for r in kinds}))
+    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
+    kept = written(text.mapInArrow(met, _FOUND).withColumn("row", F.monotonically_increasing_id()), "leaks")
+    hits = cut(kept.select("row", F.explode("hits").alias("x")).select("row", "x.hash", "x.at"))
+    share = max(1000, hits.count() // 1000)
+    may = salted_join(hits, parts.select("hash", "offset", "item"), "hash", "row", share)
+    may = cut(may.groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("offset")).alias("starts")))
+    may = salted_join(may, items, "item", "row", max(1000, may.count() // 1000))
+    may = may.groupBy("row").agg(F.collect_list(F.struct("item_id", "pattern", "budget", "exact", "starts")).alias("wanted"))
+    return kept.join(may, "row").select("id", "th", "text", "wanted").mapInArrow(_verified, "id bigint, th bigint, item_id bigint, distance int, end bigint")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.06, min_chars: int = 32, filter_bits: int = 1 << 27) -> DataFrame:
     """A row (id, item_id, distance, end) for each benchmark item found in a document within error_rate times its length.
 
     Texts are compared in lower case with white space runs as one space; distance is the least edit distance to any
     part of the document and end is where that part ends in the normal text. Items shorter than min_chars are found
     where they stand exactly and as whole words (distance 0; scripts without spaces have no word ends to keep). Blank
-    items find nothing. Items go to the executors in blocks of at most block_chars characters, so what is
-    broadcast is bounded whatever the benchmark's size; each block is one pass over the documents.
-    Null or empty texts find nothing. A repeated document row is reported once per row; a repeated item once per
-    id and text; null ids stay null.
+    items find nothing. One pass over the documents keeps those in which a filter of the pieces' hashes, of 128 bits a
+    piece and filter_bits (16 MB) at most whatever the benchmark's size, finds any; their hits are joined with the
+    pieces by hash, a hash of many hits being dealt out, and what is joined is verified in the whole text. A filter
+    that is too small lets more documents through and changes no result.
+
+    Null or empty texts find nothing, and texts of any length are searched whole. A repeated document row is reported
+    once per row; a repeated item once per id and text; null ids stay null. Other columns are not read.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-2 * total // block_chars) or 1
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    out = None
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(tuple((r[0] if r[0] is not None else -(2**62), r[1]) for r in own.collect()))
-        part = text.mapInArrow(_hits(shared, error_rate, min_chars), "id bigint, item_id bigint, distance int, end bigint")
-        out = part if out is None else out.unionAll(part)
-    return out.select(F.col("id").alias(id_col), "item_id", "distance", "end").distinct()
+    out = _leaks(docs, benchmark, id_col, text_col, item_col, item_text, error_rate, min_chars, filter_bits)
+    return out.drop("th").withColumnRenamed("id", id_col)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which find_leaks() finds no item, with all their columns; rows of null id stay."""
-    bad = find_leaks(docs, benchmark, id_col, text_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """The documents in which find_leaks() finds no item, with all their columns; rows that share an id, or have none, go by their own texts."""
+    return without(docs, _leaks(docs, benchmark, id_col, text_col, **options), id_col, text_col)

@@ -330,7 +330,7 @@ def test_decontamination(spark, edges, empty):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in items if t in decontaminate.normal(r.text)}
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in rows(decontaminate.find_leaks(docs, bench))}
     assert want and want == {k for k, d in got.items() if d == 0}
-    assert {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.find_leaks(docs, bench, block_chars=1500))} == set(got)
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.find_leaks(docs, bench, filter_bits=1 << 16))} == set(got)
     text = items[0][1]
     odd = text[:40].upper() + "\n" + text[41:70] + "zz" + text[72:]
     some = spark.createDataFrame([(1, f"xx {odd} yy"), (2, text[: len(text) // 2]), (3, None), (1, f"xx {odd} yy")], "doc_id bigint, text string")
@@ -348,6 +348,36 @@ def test_decontamination_finds_short_items(spark):
     assert {r["doc_id"] for r in rows(decontaminate.clean_documents(docs, bench))} == {1, 2, 5, 7, 8, 9}
 
 
+def test_decontamination_against_the_table(spark):
+    """Mutated items in other text, by a plain distance table over all pairs."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    bench = [(k % 9 if k % 5 else None, words(rng.randrange(4, 22))) for k in range(24)]
+    docs = []
+    for k in range(60):
+        text = list(decontaminate.normal(rng.choice(bench)[1]))
+        for _ in range(rng.randrange(0, 9)):
+            at, what = rng.randrange(len(text)), rng.randrange(3)
+            text[at : at + (what > 0)] = [] if what == 1 else [rng.choice("abc é")]
+        docs.append((k % 50 if k % 7 else None, f"{words(3)} {''.join(text)} {words(4)}"))
+    docs += [docs[0], docs[7], docs[7]]
+    want, clean = [], 0
+    for i, text in docs:
+        t, before = decontaminate.normal(text), len(want)
+        for item, pattern in bench:
+            p = decontaminate.normal(pattern)
+            if len(p) < 32:
+                if any(t.startswith(p, s) and decontaminate.whole_words(t, s, s + len(p)) for s in range(len(t))):
+                    want.append((i, item, 0))
+            elif (d := brute_distance(p, t)) <= int(len(p) * 0.06):
+                want.append((i, item, d))
+        clean += len(want) == before
+    docs, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
+    got = [(r["doc_id"], r["item_id"], r["distance"]) for r in rows(decontaminate.find_leaks(docs, bench))]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {d for *_, d in got} >= {0, 1, 2}
+    assert decontaminate.clean_documents(docs, bench).count() == clean
+
+
 def test_embeddings_against_all_pairs(spark):
     df = small(spark, "embeddings").limit(400)
     got = df.collect()
