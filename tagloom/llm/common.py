@@ -176,6 +176,14 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, most:
     return own.join(F.broadcast(gone) if few else gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left_anti").select("row.*")
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs but those whose id is in gone (ids); up to most ids go to every executor, more are joined by shuffle."""
+    gone = cut(gone.select(F.col(id_col).alias("gone_id")).distinct())
+    few = gone.limit(most + 1).count() <= most
+    own = docs.select(F.struct(*columns(docs)).alias("row"), F.col(id_col).cast("bigint").alias("id"))
+    return own.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of the links (a, b); component is the smallest id that can be reached.
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import cut
+from tagloom.llm.common import cut, hot_join
+
+
+#: Sources that are weighed in one row; more are refused.
+MAX_SOURCES = 1_000_000
 
 
 def _key(seed: int, *cols) -> Column:
@@ -21,8 +25,11 @@ def source_weights(tokens: DataFrame, budget_ratio: float, entropy_share: float,
 
     alpha is bisected in [0, 1]: the largest for which the entropy is at least entropy_share times ln(sources), then
     raised as far as needed so that no source is repeated more than max_repeats times (alpha 1 repeats all alike).
-    tokens has one row (source, tokens) per source; that a row per source fits one task is the operator's premise.
+    tokens has one row (source, tokens) per source; that these rows, MAX_SOURCES at most, fit one task is the operator's
+    premise. A limit that no weights can meet, as a budget of more than max_repeats times the tokens, is refused.
     """
+    if budget_ratio > max_repeats:
+        raise ValueError(f"a budget of {budget_ratio} times the tokens repeats some source more than {max_repeats} times")
     table = tokens.where("tokens > 0").agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("s"))
     table = table.withColumn("t", F.transform("s", lambda x: x["tokens"].cast("double")))
     table = table.withColumn("all", _total(F.col("t"))).withColumn("share", F.transform("t", lambda x: x / F.col("all")))
@@ -67,26 +74,33 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups of about block_docs documents) in an order permuted by epoch while they fit, and of the first block that
     doesn't fit the documents, in permuted order, up to the first that doesn't fit: later ones that would are left
     out, so a source may get less than its share by up to its longest document. Sorting by (block_key, doc_key) gives the training
-    order. Running sums go over blocks per source and documents per block, never over all documents of a source.
+    order. Running sums go over ranges of block keys per source, blocks per range and documents per block, never over all
+    documents or blocks of a source.
 
-    Documents without tokens (null, empty or blank) are never drawn. Null sources are the source ''. Rows that repeat
-    are drawn each; their order among equals doesn't matter, as they are equal. Null ids hash as ''.
+    Documents without tokens (null, empty or blank) are never drawn; texts of any length are counted whole. Null sources
+    are the source ''. Rows that repeat are drawn each; their order among equals doesn't matter, as they are equal. Null
+    ids hash as ''. Other columns are not read. A budget_ratio over max_repeats is refused.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^ \x09-\x0D]+")), F.lit(0)).cast("bigint")
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), words.alias("n_tokens")).where("n_tokens > 0")
     base = cut(base)  # ids and counts only: texts are read and counted once
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     sizes = base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    sizes = cut(sizes)
+    if sizes.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     weights = source_weights(sizes.select("source", "tokens"), budget_ratio, entropy_share, max_repeats)
     plan = weights.join(sizes.select(F.col("source"), "docs"), "source").withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("bigint"))
-    plan = plan.select("source", "blocks", F.expr("target div tokens").alias("whole"), F.expr("target % tokens").alias("rest"))
+    plan = cut(plan.select("source", "docs", "blocks", F.expr("target div tokens").alias("whole"), F.expr("target % tokens").alias("rest")))
     slot = F.conv(F.substring(_key(seed, name), 1, 8), 16, 10).cast("bigint")
-    # One row per source, whose number is bounded by the premise of source_weights().
-    placed = base.join(F.broadcast(plan), "source").withColumn("block", slot % F.col("blocks"))
+    placed = hot_join(base, plan, "source", "docs", base.count()).drop("docs").withColumn("block", slot % F.col("blocks"))
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    blocks = blocks.withColumn("block_key", _key(seed, "source", "whole", "block"))
-    order = Window.partitionBy("source").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("upto", F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
+    blocks = cut(blocks.withColumn("block_key", _key(seed, "source", "whole", "block")).withColumn("span", F.substring("block_key", 1, 3)))
+    spans = blocks.groupBy("source", "span").agg(F.sum("size").alias("all"))  # 4,096 a source at most
+    by_span = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.select("source", "span", (F.sum("all").over(by_span) - F.col("all")).alias("start"))
+    order = Window.partitionBy("source", "span").orderBy("block_key", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.join(spans, ["source", "span"]).withColumn("upto", F.col("start") + F.sum("size").over(order)).withColumn("before", F.col("upto") - F.col("size"))
     edge = blocks.where("before < rest and upto > rest").select("source", "block", (F.col("rest") - F.col("before")).alias("room"))
     taken = blocks.where("upto <= rest").select("source", "block")
     doc_key = lambda epoch: _key(seed, "source", epoch, name)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
@@ -99,10 +99,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, c: float = 1.0, e
     return Model(weight * ratio, bias, bits)
 
 
-def fit_frame(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = 6000, bits: int = 18) -> Model:
+def fit_frame(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = 6000, bits: int = 18, max_fit_features: int = 40_000_000) -> Model:
     """Fits on at most max_fit_rows labelled documents whose crc32(id as text) mod 3 is not 1: those with the least hash of the id.
 
-    The bound keeps the one task that fits the same at every size. Of an id with several labels the least counts;
+    Of those, in the order of the hash, the ones whose features add up to max_fit_features are used. Both bounds keep the one
+    task that fits the same at every size, whatever the texts' length. Of an id with several labels the least counts;
     labels other than 0 and 1 and null ids are not used.
     """
     ship(docs.sparkSession)
@@ -110,7 +111,9 @@ def fit_frame(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     marked = labels.select(key.alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1) and crc32(cast(id as string)) % 3 <> 1")
     chosen = marked.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_fit_rows)
     got = docs.select(key.alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # max_fit_rows bounds it
-    rows = got.mapInArrow(_collected(bits), "id bigint, y int, f array<int>").repartition(1)  # max_fit_rows at most
+    rows = got.mapInArrow(_collected(bits), "id bigint, y int, f array<int>")
+    upto = F.sum(F.size("f")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= max_fit_features).select("id", "y", "f")  # one task: max_fit_rows at most
     found = rows.mapInArrow(_fitted(bits), "weight binary, bias double").first()
     return Model(np.frombuffer(found["weight"], np.float32), found["bias"], bits) if found else fit([], np.zeros(0), bits)
 
@@ -147,7 +150,8 @@ def _collected(bits: int):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
     """All columns of docs besides score (0 to 1) and predicted (1 from 0.5 up) of each whole text; null text is empty.
 
-    Columns of docs that have these two names are replaced. Rows stand alone: one that repeats gets the same score.
+    Columns of docs that have these two names are replaced. Rows stand alone: one that repeats gets the same score. Texts
+    of any length are read whole, an empty one has the model's bias as its score.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.scale))  # 2**bits floats

@@ -302,6 +302,8 @@ def test_quality_edges(spark, edges, empty):
     assert len(out) == len(EDGES) and all(0 <= r["score"] <= 1 for r in out)
     assert {r["score"] for r in rows(quality.classify(edges, labels.limit(0)))} == {0.5}
     assert quality.classify(empty, labels).count() == 0
+    few = quality.fit_frame(edges, labels, max_fit_features=12)
+    assert few.weight.any() == quality.fit_frame(edges, labels.where("doc_id = 5"), max_fit_features=12).weight.any()
 
 
 def brute_distance(pattern, text):
@@ -442,6 +444,12 @@ def test_mixing(spark, edges, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_refuses_limits_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "t")], "doc_id bigint, text string, source string")
+    with pytest.raises(ValueError, match="more than 4.0 times"):
+        mixing.mix_sources(docs, budget_ratio=8.0)
+
+
 def brute_spans(docs, length):
     """Of each row, in order: an id and a text are a document, null ids come last, texts of an id go by hash (th)."""
     order = sorted({(i is None, i or 0, h): (t or "").encode() for i, t, h in docs}.items())
