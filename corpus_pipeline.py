@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, linededup, minhash, mixing, quality
+from tagloom.llm import common, decontaminate, linededup, minhash, mixing, quality
 
 
 def _names(docs: DataFrame) -> list[str]:
@@ -29,7 +29,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8): that of the smallest id."""
     gone = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(_names(docs))
+    return common.without_ids(docs, gone, "doc_id")
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each one's rows are written and read again, so a lost executor repeats one stage at most."""
+    """Applies STAGES to documents; each one's rows are written and read again, so a lost executor repeats one stage at most.
+
+    What a stage needed in between is deleted when its rows are written, and those when the next stage's are.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with common.own_scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.remove(spark, f"{folder}/{k - 1}")
     return docs
