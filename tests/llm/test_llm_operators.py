@@ -277,11 +277,49 @@ def test_html(spark):
     assert " ".join(b.text for b in html.main_blocks(plain)).startswith("long words") and "One" not in " ".join(b.text for b in html.main_blocks(plain))
 
 
+def test_html_pages_that_mark_nothing():
+    """Pages without articles, classes or roles, which the tree wasn't fitted on: titles, texts and short lines in them stay."""
+    rng = random.Random(3)
+    words = lambda a, b: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(rng.randrange(a, b)))
+    right = total = 0
+    for _ in range(60):
+        menu = [f"<li><a href=/>{words(1, 4)}</a>" for _ in range(rng.randrange(2, 8))]
+        body = [("h1", words(4, 14))] + [("p", words(22, 140)) for _ in range(rng.randrange(2, 8))]
+        body.insert(3, ("h2", words(3, 9)))
+        more = [f"<li><a href=/>{words(3, 9)}</a>" for _ in range(rng.randrange(2, 6))]
+        page = f"<html><body><ul>{''.join(menu)}</ul>{''.join(f'<{t}>{x}</{t}>' for t, x in body)}<div>{words(1, 4)}</div><ul>{''.join(more)}</ul><div>{words(5, 12)}</div></body></html>"
+        got = [b.text for b in html.main_blocks(page)]
+        wrong = set(got) ^ {x for _, x in body}
+        total += len(html.blocks(page))
+        right += len(html.blocks(page)) - len(wrong)
+    assert right / total > 0.97
+
+    def features(tree):
+        return {tree[0]} | features(tree[2]) | features(tree[3]) if isinstance(tree, tuple) else set()
+
+    names = ["words", "links", "words before", "links before", "words after", "links after", "place"]
+    used = {names[f] for f in features(html.tree())}
+    assert {"links", "place"} <= used and used & {"words before", "links before"} and used & {"words after", "links after"}
+
+
+def test_html_reads_hostile_pages_in_one_pass():
+    import time
+
+    start = time.monotonic()
+    for part in ('<a "', "<a ", "<!x ", "<a '", "<", "</a ", '<a "x>', "<script>", "<!--", "<b><div></b>"):
+        html.main_blocks(part * (300_000 // len(part)))
+        html.main_blocks(part * (300_000 // len(part)) + ">'\"")
+    html.main_blocks("<div>" * 50_000 + "</p></b></i>" * 50_000)
+    html.main_blocks("<i>" * 50_000 + "<div>" + "</i></b>" * 50_000)
+    assert time.monotonic() - start < 60
+
+
 def test_html_articles_of_the_table(spark):
     import html as lib
 
+    pages = {r.page_id: r.html for r in small(spark, "pages").collect()}
     for r in rows(queries.op4_html_extraction(spark, SMALL)):
-        raw = small(spark, "pages").where(F.col("page_id") == r["page_id"]).first().html if r["page_id"] < 5 else None
+        raw = pages[r["page_id"]]
         if raw:
             inner = raw.split("<article>")[1].split("</article>")[0]
             want = " ".join(lib.unescape(re.sub(r"<br>|</?(p|h1)>", " ", re.sub(r"</?b>", "", inner))).split())
