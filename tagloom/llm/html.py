@@ -201,7 +201,7 @@ PAGES = [
     [(5, 0.4, 1, 0, 1), (6, 1, 1, 0, 1), (120, 0, 1, 0, 1), (25, 0, 1, 1, 0), (40, 0.1, 1, 1, 0), (70, 0, 1, 0, 1), (5, 1, 1, 1, 0), (90, 0, 0, 1, 0), (20, 0, 0, 1, 0)],
     [(4, 1, 0, 0, 0), (8, 0, 0, 0, 0), (14, 0, 1, 0, 1), (200, 0.1, 1, 0, 1), (30, 0, 0, 0, 0), (90, 0, 0, 0, 0), (4, 1, 0, 0, 0), (15, 0, 0, 0, 0)],
     [(3, 0, 0, 1, 0), (7, 0, 1, 0, 1), (4, 0.5, 1, 0, 1), (18, 0, 1, 0, 1), (1, 0, 1, 0, 1), (2, 1, 1, 0, 1), (33, 0, 1, 0, 1), (120, 0, 1, 1, 0), (16, 0, 0, 1, 0), (8, 1, 0, 1, 0)],
-    [(5, 0, 1, 0, 1), (6, 1, 1, 0, 1), (12, 0, 1, 0, 1), (4, 1, 1, 0, 1), (2, 0, 1, 0, 1), (30, 0.9, 1, 0, 1), (8, 0, 1, 0, 1), (3, 1, 1, 0, 1), (15, 0, 1, 0, 1)],
+    [(5, 0, 1, 0, 1), (6, 1, 1, 0, 1), (12, 0, 1, 0, 1), (4, 1, 1, 0, 1), (2, 0, 1, 0, 1), (30, 0.9, 1, 0, 1), (8, 0, 1, 0, 1), (3, 1, 1, 0, 1), (10, 0, 1, 0, 1)],
     [(60, 0.3, 0, 0, 0), (500, 0.02, 1, 0, 1), (6, 0, 1, 0, 1), (45, 0, 0, 1, 0)],
     # pages that mark their menus and notices only
     [(1, 1, 0, 1, 0), (3, 1, 0, 1, 0), (25, 0, 0, 1, 0), (7, 0, 0, 0, 1), (80, 0, 0, 0, 1), (45, 0.05, 0, 0, 1), (100, 0, 0, 0, 1), (12, 0.1, 0, 1, 0)],
