@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import FOLD, SPACE, components, cut, hot_join, mix, prefix_sums, remove, runs, scratch, span_hash, text_chunks
+from tagloom.llm.common import FOLD, SPACE, components, cut, hot_join, mix, prefix_sums, remove, runs, salted_join, scratch, span_hash, text_chunks
 
 BINS = 128
 _PROBES = np.random.default_rng(11).integers(0, BINS, (64, BINS))
@@ -97,8 +97,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     representatives go to banded buckets; each bucket links all members with one centre. Sets are confirmed in full.
     Where a bucket's members are still in several components, those documents meet again at the rarest shingles of
     their sets, as many as a link must share one of (prefix filter), with documents of like size only: so no link that
-    shares a bucket is lost, whatever the centres were, and what has no link but common passages meets nowhere.
-    Groups at a shingle are compared in tiles of about tile_shingles shingles and tile_rows documents that return a
+    shares a bucket is lost, whatever the centres were, and what has no link but common passages meets nowhere. Each
+    document has its home at one such shingle and visits the homes of those it meets. What is at a home is
+    compared in tiles of about tile_shingles shingles and tile_rows documents, of the shingles that several components have, which return a
     spanning set of the links between components, never pairs. A link with similarity s shares no bucket with
     probability (1 - s**rows)**bands: 5e-7 at 0.85, 5e-5 at 0.8.
 
@@ -149,27 +150,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _spanning(percent: int):
-    """Pairs of components that a tile pair's links join, as many as join the same ones."""
+    """Pairs of components that links from a tile's left to its right documents join, as many as join the same ones."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        comp, n = (table.column(c).to_numpy() for c in ("c", "n"))
-        own, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        lists = table.column("shingles").combine_chunks()
+        comp, n, left, right = (table.column(c).to_numpy() for c in ("c", "n", "left", "right"))
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
+        lists = table.column("shared").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         value, seen, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = times > 1
-        place = np.cumsum(shared) - 1
+        often = times > 1
+        place = np.cumsum(often) - 1
         row = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
-        row, col = row[shared[seen]], place[seen[shared[seen]]]
+        row, col = row[often[seen]], place[seen[often[seen]]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         both = np.zeros((len(left), len(right)), np.float32)
         at_left, at_right = np.full(len(n), -1), np.full(len(n), -1)
         at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
         step = 4096
-        for k in range(0, int(shared.sum()), step):
+        for k in range(0, int(often.sum()), step):
             a, b = np.searchsorted(col, [k, k + step])
             x, y = np.zeros((len(left), step), np.float32), np.zeros((step, len(right)), np.float32)
             r, c = row[a:b], col[a:b] - k
@@ -203,25 +203,38 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     In any one order of all shingles, two sets that are similar enough share one of their first n - ceil(n * percent /
     100) + 1. The order begins with shingles that one component alone has, which can join nothing; the others follow by
     the number of documents that have them. Documents meet at (shingle, size class), a class with its neighbour; groups
-    with the same members count once.
+    with the same members count once. A document is at home in the least of its groups by number, and visits the homes
+    of all that it shares a group with.
     """
     total = apart.agg(F.sum("n")).first()[0] or 0
-    each = apart.join(sets, apart["rep"] == sets["id"]).select("rep", "n", "c", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("s", "k")
-    each = hot_join(each, common, "s", "k", total)
-    own = Window.partitionBy("rep")
-    at = F.row_number().over(own.orderBy("k", "s")) + F.col("n") - F.count("*").over(own)
-    first = each.withColumn("at", at).where(F.expr(f"at <= n - ({percent} * n + 99) div 100 + 1"))
+    own = apart.join(sets, apart["rep"] == sets["id"])
+    common = own.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("s", "k")
+    each = hot_join(own.select("rep", F.explode("shingles").alias("s")), common, "s", "k", total)
+    each = each.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("x")).join(apart, "rep")
+    first = F.expr(f"slice(x.s, 1, greatest(0, least(size(x), size(x) - (({percent} * n + 99) div 100) + 1)))")  # the n - size(x) others come before
     size = F.floor(F.log("n") / np.log(100 / percent)).cast("int")
-    met = cut(first.select("rep", "n", "c", F.explode(F.array(size, size + 1)).alias("g"), "s").select("rep", "n", "c", F.xxhash64("s", "g").alias("group")))
-    load = F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("*") / tile_rows)).cast("int")
-    groups = met.groupBy("group").agg(load.alias("tiles"), F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < most")
-    groups = groups.groupBy("k", "who").agg(F.min(F.struct("group", "tiles")).alias("x")).select("x.group", "x.tiles", "k")
-    rows = hot_join(met, groups, "group", "k", met.count())
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("group", "rep", "n", "c", F.col("t").alias("tile"), F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"))
-    whole = rows.join(sets, rows["rep"] == sets["id"]).select("group", "n", "c", "tile", "i", "j", "shingles")
-    return whole.groupBy("group", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint").distinct()
+    each = cut(each.select("rep", "n", "c", size.alias("g"), F.col("x.s").alias("shared"), first.alias("first")).where("size(first) > 0"))
+    met = each.select("rep", "c", F.explode(F.array("g", F.col("g") + 1)).alias("g"), "first").select("rep", "c", "g", F.explode("first").alias("s"))
+    met = cut(met.select("rep", "c", F.xxhash64("s", "g").alias("group")))
+    groups = met.groupBy("group").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < most")
+    groups = groups.groupBy("k", "who").agg(F.min("group").alias("group")).select("group", "k")
+    many = met.count()
+    met = cut(hot_join(met.select("rep", "group"), groups, "group", "k", many))
+    home = met.groupBy("rep").agg(F.min("group").alias("home"))
+    homes = met.select("rep", "group").join(home, "rep").select("group", "home").distinct()
+    visits = salted_join(met.select("rep", "group"), homes, "group", "rep", max(1000, many // 1000)).select("rep", "home").distinct()
+    visits = visits.join(home.withColumnRenamed("home", "own"), "rep").join(each.select("rep", F.size("shared").alias("load")), "rep")
+    visits = cut(visits.select("rep", "home", "load", (F.col("own") == F.col("home")).alias("here")))
+    parts = lambda mine: F.greatest(F.lit(1), F.ceil(F.sum(F.when(mine, F.col("load"))) / tile_shingles), F.ceil(F.count_if(mine) / tile_rows)).cast("int")
+    load = visits.groupBy("home").agg(parts(F.col("here")).alias("lefts"), parts(F.lit(True)).alias("rights"), F.count("*").alias("k"))
+    rows = hot_join(visits.select("rep", "home", "here"), load, "home", "k", visits.count())
+    mine, other = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
+    rows = rows.withColumn("i", mine).withColumn("j", other)
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), (F.col("here") & (i == F.col("i"))).alias("left"), F.lit(True).alias("right")))
+    as_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.col("here") & (j != F.col("j"))), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    rows = rows.select("home", "rep", F.explode(F.concat(as_right, as_left)).alias("t")).select("home", "rep", "t.i", "t.j", "t.left", "t.right")
+    whole = rows.join(each, "rep").select("home", "n", "c", "i", "j", "left", "right", "shared")
+    return whole.groupBy("home", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -> DataFrame:
