@@ -320,7 +320,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("done", F.col("done") | later).where(F.col("done") | hot | F.expr("least < most"))
     rows = written(rows.select("key", "id", "th", "lo", "span", "done", (hot | (F.col("many") > crowd)).alias("crowded")), "factors")
     todo = rows.where("not done").groupBy("id", "th").agg(F.collect_list(F.struct("key", "lo", "span", "crowded")).alias("todo"))
-    parts = text.join(todo, ["id", "th"]).select("id", "th", "text", "todo").mapInArrow(_segments(length), _SEGMENTS)
+    # All columns of text, so that both joins with it share one exchange.
+    parts = text.join(todo, ["id", "th"]).select("id", "th", "text", "todo", "nameless").mapInArrow(_segments(length), _SEGMENTS)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts.withColumn("key", F.when(F.col("part").isNull(), F.xxhash64("id", "th", "lo")).otherwise(F.col("key")))
     parts = parts.repartition(n, "key").sortWithinPartitions("key")
