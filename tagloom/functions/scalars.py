@@ -77,7 +77,7 @@ def id3_genre(raw: Column | str) -> Column:
     names = F.transform(F.regexp_extract_all(groups, F.lit(r"\(\+?([0-9]+)\)"), 1), _named)
     rest = trim(F.substr(text, F.length(groups) + 1))
     refined = F.when(rest == "", names).otherwise(F.concat(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), F.array(rest)))
-    bare = F.coalesce(genre_name(F.when(text.rlike(rf"^{_U16}$") & (F.expr("1 = 1")), F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("99999")).cast("int"))), text)
+    bare = F.coalesce(genre_name(F.when(text.rlike(rf"^{_U16}$"), F.try_to_number(F.regexp_replace(text, r"^\+", ""), F.lit("99999")).cast("int"))), text)
     return F.when(groups != "", F.array_join(refined, "/")).otherwise(bare)
 
 
@@ -217,9 +217,10 @@ def latin1(data: Column | str) -> Column:
 def decode_text(data: Column | str) -> Column:
     """Text of bytes by their byte order mark, UTF-8 without one."""
     d = _col(data)
-    head = F.hex(F.substr(d, F.lit(1), F.lit(3)))
+    head = F.hex(F.substr(d, F.lit(1), F.lit(4)))
     return (
-        F.when(head == "EFBBBF", F.decode(F.substr(d, F.lit(4)), "utf-8"))
+        F.when(head.startswith("EFBBBF"), F.decode(F.substr(d, F.lit(4)), "utf-8"))
+        .when(head.isin("FFFE0000", "0000FEFF"), F.decode(d, "utf-32"))  # which reads the mark itself
         .when(head.startswith("FFFE"), F.decode(F.substr(d, F.lit(3)), "utf-16le"))
         .when(head.startswith("FEFF"), F.decode(F.substr(d, F.lit(3)), "utf-16be"))
         .otherwise(F.decode(d, "utf-8"))
@@ -249,6 +250,15 @@ def upgrade_frame_id(key: Column | str) -> Column:
     return F.when(F.length(k) == 3, F.try_element_at(table, k)).otherwise(k)
 
 
+# Frame ids that version 2.2 also has, with its ids.
+DOWNGRADE = {"TIT2": "TT2", "TPE1": "TP1", "TALB": "TAL", "TYER": "TYE", "TDRC": "TYE", "TCON": "TCO", "TRCK": "TRK", "COMM": "COM", "APIC": "PIC", "TEXT": "TXT", "TXXX": "TXX"}
+
+
+def downgrade_frame_id(key: Column | str) -> Column:
+    """The three-letter id of a four-letter frame id; null where version 2.2 has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in DOWNGRADE.items() for x in kv]), _col(key))
+
+
 def over_limit(data: Column | str, most: int) -> Column:
     """Whether bytes break a cap; nothing never does."""
     return F.coalesce(F.octet_length(_col(data)) > most, F.lit(False))

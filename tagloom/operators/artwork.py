@@ -9,7 +9,10 @@ PICTURE = "struct<mime_type:string,picture_type:int,description:string,data:stri
 #: The comment that holds a FLAC picture block in base64.
 BLOCK = "metadata_block_picture"
 # Names of picture types by number, from 0.
-TYPES = "Other|File icon|Other file icon|Front cover|Back cover|Leaflet page|Media|Lead artist|Artist|Conductor|Band|Composer|Lyricist|Recording location|During recording|During performance|Screen capture|A bright coloured fish|Illustration|Band logo|Publisher logo".split("|")
+TYPES = [
+    "Other", "File icon", "Other file icon", "Front cover", "Back cover", "Leaflet page", "Media", "Lead artist", "Artist", "Conductor", "Band", "Composer", "Lyricist", "Recording location",
+    "During recording", "During performance", "Screen capture", "A bright coloured fish", "Illustration", "Band logo", "Publisher logo",
+]
 
 
 def image_type(data: Column | str) -> Column:

@@ -28,6 +28,13 @@ def system_from_keys(items: DataFrame) -> DataFrame:
     return out.select("file_id", F.when((F.col("n") > F.floor(F.col("all") / 2)) & F.col("known"), "ID3v2").otherwise("APEv2").alias("system"))
 
 
+def system_of_keys(keys: Column) -> Column:
+    """system_from_keys() of an array of all keys of a file."""
+    shaped = F.size(F.filter(keys, lambda k: k.rlike("^[A-Z0-9]{4}$")))
+    known = F.exists(keys, lambda k: k.isin(*dims.KNOWN_FRAMES))
+    return F.when((shaped > F.floor(F.size(keys) / 2)) & known, "ID3v2").otherwise("APEv2")
+
+
 def norm_key(system: Column | str, key: Column | str) -> Column:
     """A key as the lookup tables of its system hold it."""
     s, k = (F.col(x) if isinstance(x, str) else x for x in (system, key))
@@ -155,14 +162,35 @@ def selected(source: DataFrame, destination: DataFrame | None, options: Options)
 
 
 def convert(source_items: DataFrame, destination_items: DataFrame, system: str, options: Options | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items of the destination after the transfer, report). Both inputs have (file_id, ordinal, key, values, system)."""
+    """(items of the destination after the transfer, report). Both inputs have (file_id, ordinal, key, values, system).
+
+    The report needs no items and the items no report: each is a plan of its own. Without overwriting, both sides' items
+    are extracted together, as one aggregation by file and field tells what the destination lacks.
+    """
     options = options or Options()
-    moved = apply(selected(extract(source_items), extract(destination_items) if not options.overwrite and not options.clear_destination else None, options), system)
+    if options.overwrite or options.clear_destination:
+        chosen = selected(extract(source_items), None, options)
+    else:
+        chosen = _lacking(source_items, destination_items, options)
+    moved = apply(chosen, system)
     new = applied_items(moved)
     if options.clear_destination:
         return new, report(moved)
-    old = destination_items.select("file_id", "key", "values").join(new.select("file_id", "key"), ["file_id", "key"], "left_anti")
-    return old.unionByName(new), report(moved)
+    old = destination_items.select("file_id", "key", "values", F.struct(F.lit(0).alias("new"), F.coalesce("ordinal", F.lit(0)).alias("ordinal")).alias("__turn"))
+    new = new.withColumn("__turn", F.struct(F.lit(1).alias("new"), F.lit(0).alias("ordinal")))
+    both = old.unionByName(new).groupBy("file_id", "key").agg(F.max_by("values", "__turn").alias("values"))
+    return both, report(moved)
+
+
+def _lacking(source_items: DataFrame, destination_items: DataFrame, options: Options) -> DataFrame:
+    """What of the source's tag map is transferred to files that keep what they have, from one extraction of both sides."""
+    mark = "\x00"  # parts the two sides' files; no path has it
+    both = source_items.withColumn("file_id", F.concat(F.lit("s" + mark), "file_id")).unionByName(destination_items.select(*[F.concat(F.lit("d" + mark), c).alias(c) if c == "file_id" else F.col(c) for c in source_items.columns]))
+    side = F.substr("file_id", F.lit(1), F.lit(1))
+    maps = extract(both).select(F.substr("file_id", F.lit(3)).alias("file_id"), "field", "is_custom", "values", side.alias("__side"))
+    mine = F.max(F.when(F.col("__side") == "s", F.col("values")))
+    maps = maps.groupBy("file_id", "field", "is_custom").agg(mine.alias("values"), F.bool_or(F.col("__side") == "d").alias("__has"))
+    return selected(maps.where("not __has and values is not null").drop("__has"), None, options)
 
 
 def merge(left: DataFrame, right: DataFrame, overwrite: bool = True) -> DataFrame:

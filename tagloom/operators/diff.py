@@ -88,3 +88,16 @@ def summary(differences: DataFrame, streams: DataFrame | None = None) -> DataFra
     out = out.withColumn("diff_count", F.expr("changed + left_only + right_only"))
     text = F.format_string("%d changed, %d removed, %d added, %d unchanged", "changed", "left_only", "right_only", "unchanged")
     return out.withColumn("is_identical", (F.col("diff_count") == 0) & F.col("stream").isNull()).withColumn("summary", text).drop("stream")
+
+
+def get_change(differences: DataFrame, key: str) -> DataFrame:
+    """(file_id, left, right) of the files whose values under a key changed."""
+    return differences.where((F.col("status") == "changed") & (F.col("key") == key)).select("file_id", "left", "right")
+
+
+def against_snapshot(items: DataFrame, snapshots: DataFrame, options: Options | None = None) -> DataFrame:
+    """diff() of what snapshots (file_id, snapshot, as sources.snapshot.read() gives them) held, on the left, and items, on the right."""
+    tags = F.col("snapshot.tags")
+    before = snapshots.where(tags.isNotNull()).select("file_id", F.posexplode(F.sort_array(F.map_entries(tags))).alias("ordinal", "x"))
+    before = before.select("file_id", "ordinal", F.col("x.key").alias("key"), F.col("x.value").alias("values"))
+    return diff(before, items.select("file_id", "ordinal", "key", "values"), options or Options())

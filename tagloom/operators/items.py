@@ -124,6 +124,25 @@ def byte_budget(items: DataFrame, max_entries: int = 10_000, max_bytes: int = 50
     return out.withColumn("ok", (F.col("entries") <= max_entries) & (F.col("bytes") <= max_bytes))
 
 
+def update_checked(items: DataFrame, changes: DataFrame, max_entries: int = 10_000, max_bytes: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
+    """(items, refused): update() for the files whose changes keep within the caps; the others keep their items, whole, and are in refused (file_id, entries, bytes)."""
+    over = byte_budget(changes, max_entries, max_bytes).where("not ok").select("file_id", "entries", "bytes")
+    good = changes.join(over.select("file_id"), "file_id", "left_anti")
+    return update(items, good.select("file_id", "ordinal", "key", "values")), over
+
+
+def set_common_fields(items: DataFrame, fields: DataFrame, names: Sequence[str] = ("artist", "album", "title", "track_number", "date", "genre")) -> DataFrame:
+    """Items with the values of fields (file_id and a column per common field; null leaves a field, '' deletes it) under its key, which is found without case."""
+    other = {"track_number": "tracknumber"}
+    new = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(other.get(n, n)).alias("name"), F.when(F.col(n) == "", F.array().cast("array<string>")).otherwise(F.array(n)).alias("new"))) for n in names if n in fields.columns]))
+    wanted = fields.select("file_id", F.explode(new).alias("x")).select("file_id", "x.name", "x.new")
+    low = F.translate("key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    have = items.where(low.isin(*[other.get(n, n) for n in names])).select("file_id", low.alias("name"), "ordinal", "key")
+    have = have.groupBy("file_id", "name").agg(F.min_by("key", "ordinal").alias("key"))
+    changes = wanted.join(have, ["file_id", "name"], "left").select("file_id", F.lit(0).alias("ordinal"), F.coalesce("key", "name").alias("key"), F.col("new").alias("values"))
+    return update(items.select("file_id", "ordinal", "key", "values"), changes)
+
+
 def common_fields(items: DataFrame, names: Sequence[str] = ("artist", "album", "title", "track_number", "date", "genre")) -> DataFrame:
     """A column for each common field's first value; keys are matched without case."""
     low = F.translate("key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

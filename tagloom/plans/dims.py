@@ -8,9 +8,12 @@ SYSTEMS = ("ID3v2", "VorbisComment", "MP4", "APEv2", "ASF")
 PREFIX = {"ID3v2": "id3", "VorbisComment": "vorbis", "MP4": "mp4", "APEv2": "ape", "ASF": "asf"}
 
 # Canonical field names and the keys by which each tag system writes them.
-FIELDS = (
-    "Title Artist Album AlbumArtist TrackNumber TotalTracks DiscNumber TotalDiscs Date Year Genre Comment Description Composer Performer Conductor Lyricist Publisher Copyright EncodedBy Encoder Language Mood BPM ISRC Barcode CatalogNumber Label Compilation Lyrics Work Movement MovementCount MovementIndex SortTitle SortArtist SortAlbum SortAlbumArtist SortComposer ReplayGainTrackGain ReplayGainTrackPeak ReplayGainAlbumGain ReplayGainAlbumPeak MusicBrainzTrackId MusicBrainzAlbumId MusicBrainzArtistId MusicBrainzReleaseGroupId AcoustIdFingerprint AcoustIdId"
-).split()
+FIELDS = [
+    "Title", "Artist", "Album", "AlbumArtist", "TrackNumber", "TotalTracks", "DiscNumber", "TotalDiscs", "Date", "Year", "Genre", "Comment", "Description", "Composer", "Performer", "Conductor",
+    "Lyricist", "Publisher", "Copyright", "EncodedBy", "Encoder", "Language", "Mood", "BPM", "ISRC", "Barcode", "CatalogNumber", "Label", "Compilation", "Lyrics", "Work", "Movement", "MovementCount",
+    "MovementIndex", "SortTitle", "SortArtist", "SortAlbum", "SortAlbumArtist", "SortComposer", "ReplayGainTrackGain", "ReplayGainTrackPeak", "ReplayGainAlbumGain", "ReplayGainAlbumPeak",
+    "MusicBrainzTrackId", "MusicBrainzAlbumId", "MusicBrainzArtistId", "MusicBrainzReleaseGroupId", "AcoustIdFingerprint", "AcoustIdId",
+]
 ID3 = {
     "Title": "TIT2", "Artist": "TPE1", "Album": "TALB", "AlbumArtist": "TPE2", "TrackNumber": "TRCK", "DiscNumber": "TPOS", "Date": "TDRC", "Year": "TYER", "Genre": "TCON", "Comment": "COMM", "Composer": "TCOM", "Conductor": "TPE3", "Lyricist": "TEXT", "Publisher": "TPUB", "Copyright": "TCOP", "EncodedBy": "TENC", "Encoder": "TSSE", "Language": "TLAN", "Mood": "TMOO", "BPM": "TBPM", "ISRC": "TSRC", "Compilation": "TCMP", "Lyrics": "USLT", "SortTitle": "TSOT", "SortArtist": "TSOP", "SortAlbum": "TSOA", "SortAlbumArtist": "TSO2", "SortComposer": "TSOC",
     "Description": "TXXX:Description", "Performer": "TXXX:PERFORMER", "Barcode": "TXXX:BARCODE", "CatalogNumber": "TXXX:Catalog Number", "Label": "TXXX:LABEL", "ReplayGainTrackGain": "TXXX:REPLAYGAIN_TRACK_GAIN", "ReplayGainTrackPeak": "TXXX:REPLAYGAIN_TRACK_PEAK", "ReplayGainAlbumGain": "TXXX:REPLAYGAIN_ALBUM_GAIN", "ReplayGainAlbumPeak": "TXXX:REPLAYGAIN_ALBUM_PEAK", "MusicBrainzTrackId": "TXXX:MusicBrainz Track Id", "MusicBrainzAlbumId": "TXXX:MusicBrainz Album Id", "MusicBrainzArtistId": "TXXX:MusicBrainz Artist Id", "MusicBrainzReleaseGroupId": "TXXX:MusicBrainz Release Group Id", "AcoustIdFingerprint": "TXXX:Acoustid Fingerprint", "AcoustIdId": "TXXX:Acoustid Id",
@@ -44,28 +47,30 @@ ALIASES = {
     "ASF": {"comment": "Comment", "date": "Date", "isrc": "ISRC", "lyrics": "Lyrics"},
 }
 #: Frame ids that tell ID3v2 from other four-letter keys.
-KNOWN_FRAMES = "TIT2 TALB TPE1 TPE2 TRCK TYER TDRC TCON COMM APIC TXXX TPOS TCOM TENC TBPM TLAN TPUB TSRC TCOP TEXT TDRL USLT WOAR WXXX".split()
+KNOWN_FRAMES = [
+    "TIT2", "TALB", "TPE1", "TPE2", "TRCK", "TYER", "TDRC", "TCON", "COMM", "APIC", "TXXX", "TPOS", "TCOM", "TENC", "TBPM", "TLAN", "TPUB", "TSRC", "TCOP", "TEXT", "TDRL", "USLT", "WOAR", "WXXX",
+]
 #: The tag system of each format; formats that are not here are told by their keys.
-FORMAT_SYSTEM = (
-    {f: "ID3v2" for f in "MP3 AIFF WAVE DSF DSDIFF ID3 EasyMP3".split()}
-    | {f: "VorbisComment" for f in "FLAC OggVorbis OggFlac OggOpus OggSpeex OggTheora".split()}
-    | {f: "MP4" for f in ("MP4", "M4A")}
-    | {f: "APEv2" for f in "MonkeysAudio WavPack Musepack TAK OptimFROG APEv2".split()}
-    | {"ASF": "ASF"}
-)
+FORMAT_SYSTEM = {
+    "MP3": "ID3v2", "AIFF": "ID3v2", "WAVE": "ID3v2", "DSF": "ID3v2", "DSDIFF": "ID3v2", "ID3": "ID3v2", "EasyMP3": "ID3v2", "FLAC": "VorbisComment", "OggVorbis": "VorbisComment",
+    "OggFlac": "VorbisComment", "OggOpus": "VorbisComment", "OggSpeex": "VorbisComment", "OggTheora": "VorbisComment", "MP4": "MP4", "M4A": "MP4", "MonkeysAudio": "APEv2", "WavPack": "APEv2",
+    "Musepack": "APEv2", "TAK": "APEv2", "OptimFROG": "APEv2", "APEv2": "APEv2", "ASF": "ASF",
+}
 # Genre names by number, from 0.
-GENRES = (
-    "Blues|Classic Rock|Country|Dance|Disco|Funk|Grunge|Hip-Hop|Jazz|Metal|New Age|Oldies|Other|Pop|R&B|Rap|Reggae|Rock|Techno|Industrial|"
-    "Alternative|Ska|Death Metal|Pranks|Soundtrack|Euro-Techno|Ambient|Trip-Hop|Vocal|Jazz+Funk|Fusion|Trance|Classical|Instrumental|Acid|House|Game|Sound Clip|Gospel|Noise|"
-    "Alt. Rock|Bass|Soul|Punk|Space|Meditative|Instrumental Pop|Instrumental Rock|Ethnic|Gothic|Darkwave|Techno-Industrial|Electronic|Pop-Folk|Eurodance|Dream|Southern Rock|Comedy|Cult|Gangsta Rap|"
-    "Top 40|Christian Rap|Pop/Funk|Jungle|Native American|Cabaret|New Wave|Psychedelic|Rave|Showtunes|Trailer|Lo-Fi|Tribal|Acid Punk|Acid Jazz|Polka|Retro|Musical|Rock & Roll|Hard Rock|"
-    "Folk|Folk-Rock|National Folk|Swing|Fast-Fusion|Bebop|Latin|Revival|Celtic|Bluegrass|Avantgarde|Gothic Rock|Progressive Rock|Psychedelic Rock|Symphonic Rock|Slow Rock|Big Band|Chorus|Easy Listening|Acoustic|"
-    "Humour|Speech|Chanson|Opera|Chamber Music|Sonata|Symphony|Booty Bass|Primus|Porn Groove|Satire|Slow Jam|Club|Tango|Samba|Folklore|Ballad|Power Ballad|Rhythmic Soul|Freestyle|"
-    "Duet|Punk Rock|Drum Solo|A Cappella|Euro-House|Dance Hall|Goa|Drum & Bass|Club-House|Hardcore|Terror|Indie|BritPop|Afro-Punk|Polsk Punk|Beat|Christian Gangsta Rap|Heavy Metal|Black Metal|Crossover|"
-    "Contemporary Christian|Christian Rock|Merengue|Salsa|Thrash Metal|Anime|JPop|Synthpop|Abstract|Art Rock|Baroque|Bhangra|Big Beat|Breakbeat|Chillout|Downtempo|Dub|EBM|Eclectic|Electro|"
-    "Electroclash|Emo|Experimental|Garage|Global|IDM|Illbient|Industro-Goth|Jam Band|Krautrock|Leftfield|Lounge|Math Rock|New Romantic|Nu-Breakz|Post-Punk|Post-Rock|Psytrance|Shoegaze|Space Rock|"
-    "Trop Rock|World Music|Neoclassical|Audiobook|Audio Theatre|Neue Deutsche Welle|Podcast|Indie Rock|G-Funk|Dubstep|Garage Rock|Psybient"
-).split("|")
+GENRES = [
+    "Blues", "Classic Rock", "Country", "Dance", "Disco", "Funk", "Grunge", "Hip-Hop", "Jazz", "Metal", "New Age", "Oldies", "Other", "Pop", "R&B", "Rap", "Reggae", "Rock", "Techno", "Industrial",
+    "Alternative", "Ska", "Death Metal", "Pranks", "Soundtrack", "Euro-Techno", "Ambient", "Trip-Hop", "Vocal", "Jazz+Funk", "Fusion", "Trance", "Classical", "Instrumental", "Acid", "House", "Game",
+    "Sound Clip", "Gospel", "Noise", "Alt. Rock", "Bass", "Soul", "Punk", "Space", "Meditative", "Instrumental Pop", "Instrumental Rock", "Ethnic", "Gothic", "Darkwave", "Techno-Industrial", "Electronic",
+    "Pop-Folk", "Eurodance", "Dream", "Southern Rock", "Comedy", "Cult", "Gangsta Rap", "Top 40", "Christian Rap", "Pop/Funk", "Jungle", "Native American", "Cabaret", "New Wave", "Psychedelic", "Rave",
+    "Showtunes", "Trailer", "Lo-Fi", "Tribal", "Acid Punk", "Acid Jazz", "Polka", "Retro", "Musical", "Rock & Roll", "Hard Rock", "Folk", "Folk-Rock", "National Folk", "Swing", "Fast-Fusion", "Bebop",
+    "Latin", "Revival", "Celtic", "Bluegrass", "Avantgarde", "Gothic Rock", "Progressive Rock", "Psychedelic Rock", "Symphonic Rock", "Slow Rock", "Big Band", "Chorus", "Easy Listening", "Acoustic",
+    "Humour", "Speech", "Chanson", "Opera", "Chamber Music", "Sonata", "Symphony", "Booty Bass", "Primus", "Porn Groove", "Satire", "Slow Jam", "Club", "Tango", "Samba", "Folklore", "Ballad",
+    "Power Ballad", "Rhythmic Soul", "Freestyle", "Duet", "Punk Rock", "Drum Solo", "A Cappella", "Euro-House", "Dance Hall", "Goa", "Drum & Bass", "Club-House", "Hardcore", "Terror", "Indie", "BritPop",
+    "Afro-Punk", "Polsk Punk", "Beat", "Christian Gangsta Rap", "Heavy Metal", "Black Metal", "Crossover", "Contemporary Christian", "Christian Rock", "Merengue", "Salsa", "Thrash Metal", "Anime", "JPop",
+    "Synthpop", "Abstract", "Art Rock", "Baroque", "Bhangra", "Big Beat", "Breakbeat", "Chillout", "Downtempo", "Dub", "EBM", "Eclectic", "Electro", "Electroclash", "Emo", "Experimental", "Garage",
+    "Global", "IDM", "Illbient", "Industro-Goth", "Jam Band", "Krautrock", "Leftfield", "Lounge", "Math Rock", "New Romantic", "Nu-Breakz", "Post-Punk", "Post-Rock", "Psytrance", "Shoegaze", "Space Rock",
+    "Trop Rock", "World Music", "Neoclassical", "Audiobook", "Audio Theatre", "Neue Deutsche Welle", "Podcast", "Indie Rock", "G-Funk", "Dubstep", "Garage Rock", "Psybient",
+]
 
 
 def write_keys(system: str) -> dict[str, str]:
@@ -99,12 +104,24 @@ def write_map(spark: SparkSession) -> DataFrame:
 
 
 # Friendly keys of ID3 files and the frames they stand for; date falls back to TYER and TDAT.
-EASY_ID3 = dict(
-    x.split("=")
-    for x in "album=TALB|albumartist=TPE2|albumartistsort=TSO2|albumsort=TSOA|arranger=TPE4|artist=TPE1|artistsort=TSOP|author=TOLY|bpm=TBPM|composer=TCOM|composersort=TSOC|conductor=TPE3|copyright=TCOP|date=TDRC|discnumber=TPOS|discsubtitle=TSST|encodedby=TENC|encodersettings=TSSE|fileowner=TOWN|genre=TCON|grouping=TIT1|isrc=TSRC|language=TLAN|length=TLEN|lyricist=TEXT|media=TMED|mood=TMOO|organization=TPUB|originalalbum=TOAL|originalartist=TOPE|originaldate=TDOR|title=TIT2|titlesort=TSOT|compilation=TCMP|tracknumber=TRCK|version=TIT3|comment=COMM|website=WOAR|acoustid_fingerprint=TXXX:Acoustid Fingerprint|acoustid_id=TXXX:Acoustid Id|musicbrainz_albumartistid=TXXX:MusicBrainz Album Artist Id|musicbrainz_albumid=TXXX:MusicBrainz Album Id|musicbrainz_albumstatus=TXXX:MusicBrainz Album Status|musicbrainz_albumtype=TXXX:MusicBrainz Album Type|musicbrainz_artistid=TXXX:MusicBrainz Artist Id|musicbrainz_discid=TXXX:MusicBrainz Disc Id|musicbrainz_releasegroupid=TXXX:MusicBrainz Release Group Id|musicbrainz_releasetrackid=TXXX:MusicBrainz Release Track Id|musicbrainz_trmid=TXXX:MusicBrainz TRM Id|musicbrainz_workid=TXXX:MusicBrainz Work Id|musicip_fingerprint=TXXX:MusicMagic Fingerprint|musicip_puid=TXXX:MusicIP PUID|releasecountry=TXXX:MusicBrainz Album Release Country|asin=TXXX:ASIN|barcode=TXXX:BARCODE|catalognumber=TXXX:CATALOGNUMBER|performer=TXXX:PERFORMER".split("|")
-)
+EASY_ID3 = {
+    "album": "TALB", "albumartist": "TPE2", "albumartistsort": "TSO2", "albumsort": "TSOA", "arranger": "TPE4", "artist": "TPE1", "artistsort": "TSOP", "author": "TOLY", "bpm": "TBPM", "composer": "TCOM",
+    "composersort": "TSOC", "conductor": "TPE3", "copyright": "TCOP", "date": "TDRC", "discnumber": "TPOS", "discsubtitle": "TSST", "encodedby": "TENC", "encodersettings": "TSSE", "fileowner": "TOWN",
+    "genre": "TCON", "grouping": "TIT1", "isrc": "TSRC", "language": "TLAN", "length": "TLEN", "lyricist": "TEXT", "media": "TMED", "mood": "TMOO", "organization": "TPUB", "originalalbum": "TOAL",
+    "originalartist": "TOPE", "originaldate": "TDOR", "title": "TIT2", "titlesort": "TSOT", "compilation": "TCMP", "tracknumber": "TRCK", "version": "TIT3", "comment": "COMM", "website": "WOAR",
+    "acoustid_fingerprint": "TXXX:Acoustid Fingerprint", "acoustid_id": "TXXX:Acoustid Id", "musicbrainz_albumartistid": "TXXX:MusicBrainz Album Artist Id",
+    "musicbrainz_albumid": "TXXX:MusicBrainz Album Id", "musicbrainz_albumstatus": "TXXX:MusicBrainz Album Status", "musicbrainz_albumtype": "TXXX:MusicBrainz Album Type",
+    "musicbrainz_artistid": "TXXX:MusicBrainz Artist Id", "musicbrainz_discid": "TXXX:MusicBrainz Disc Id", "musicbrainz_releasegroupid": "TXXX:MusicBrainz Release Group Id",
+    "musicbrainz_releasetrackid": "TXXX:MusicBrainz Release Track Id", "musicbrainz_trmid": "TXXX:MusicBrainz TRM Id", "musicbrainz_workid": "TXXX:MusicBrainz Work Id",
+    "musicip_fingerprint": "TXXX:MusicMagic Fingerprint", "musicip_puid": "TXXX:MusicIP PUID", "releasecountry": "TXXX:MusicBrainz Album Release Country", "asin": "TXXX:ASIN", "barcode": "TXXX:BARCODE",
+    "catalognumber": "TXXX:CATALOGNUMBER", "performer": "TXXX:PERFORMER",
+}
 # Friendly keys of MP4 files.
-EASY_MP4 = dict(
-    x.split("=")
-    for x in "title=©nam|album=©alb|artist=©ART|albumartist=aART|date=©day|comment=©cmt|description=desc|grouping=©grp|genre=©gen|composer=©wrt|copyright=cprt|albumsort=soal|albumartistsort=soaa|artistsort=soar|titlesort=sonm|composersort=soco|bpm=tmpo|compilation=cpil|tracknumber=trkn|discnumber=disk|encodingsoftware=©too|musicbrainz_artistid=----:com.apple.iTunes:MusicBrainz Artist Id|musicbrainz_trackid=----:com.apple.iTunes:MusicBrainz Track Id|musicbrainz_albumid=----:com.apple.iTunes:MusicBrainz Album Id|musicbrainz_albumartistid=----:com.apple.iTunes:MusicBrainz Album Artist Id|musicip_puid=----:com.apple.iTunes:MusicIP PUID|musicbrainz_albumstatus=----:com.apple.iTunes:MusicBrainz Album Status|musicbrainz_albumtype=----:com.apple.iTunes:MusicBrainz Album Type|releasecountry=----:com.apple.iTunes:MusicBrainz Release Country".split("|")
-)
+EASY_MP4 = {
+    "title": "©nam", "album": "©alb", "artist": "©ART", "albumartist": "aART", "date": "©day", "comment": "©cmt", "description": "desc", "grouping": "©grp", "genre": "©gen", "composer": "©wrt",
+    "copyright": "cprt", "albumsort": "soal", "albumartistsort": "soaa", "artistsort": "soar", "titlesort": "sonm", "composersort": "soco", "bpm": "tmpo", "compilation": "cpil", "tracknumber": "trkn",
+    "discnumber": "disk", "encodingsoftware": "©too", "musicbrainz_artistid": "----:com.apple.iTunes:MusicBrainz Artist Id", "musicbrainz_trackid": "----:com.apple.iTunes:MusicBrainz Track Id",
+    "musicbrainz_albumid": "----:com.apple.iTunes:MusicBrainz Album Id", "musicbrainz_albumartistid": "----:com.apple.iTunes:MusicBrainz Album Artist Id",
+    "musicip_puid": "----:com.apple.iTunes:MusicIP PUID", "musicbrainz_albumstatus": "----:com.apple.iTunes:MusicBrainz Album Status",
+    "musicbrainz_albumtype": "----:com.apple.iTunes:MusicBrainz Album Type", "releasecountry": "----:com.apple.iTunes:MusicBrainz Release Country",
+}

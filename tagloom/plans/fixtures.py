@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 
-from tagloom.sources.parsers import ape, asf, id3, ogg, vorbis
+from tagloom.sources.parsers import ape, asf, frames, id3, ogg, vorbis
 
 ITEMS = [("TALB", ["An album"]), ("TCON", ["(17)"]), ("TIT2", ["Títle"]), ("TPE1", ["One", "Two"]), ("TRCK", ["3/12"]), ("TXXX:BARCODE", ["123"])]
 COMMENTS = [("ARTIST", ["One", "Two"]), ("TITLE", ["Títle"]), ("TRACKNUMBER", ["3"])]
@@ -187,6 +187,44 @@ def ac3():
     return b"\x0b\x77\x00\x00" + bytes((0 << 6 | 20, 8 << 3, 2 << 5, 0)) + bytes(24000 - 8)
 
 
+def _track(events):
+    return b"MTrk" + struct.pack(">I", len(events)) + events
+
+
+def smf_ties():
+    """Two tempos at one tick, of which the last holds: 960 ticks of 480 a beat in one second."""
+    events = b"\x00\xff\x51\x03\x0f\x42\x40" + b"\x00\xff\x51\x03\x07\xa1\x20" + b"\x87\x40\xff\x2f\x00"
+    return b"MThd" + struct.pack(">IHHH", 6, 0, 1, 480) + _track(events)
+
+
+def lame():
+    """A constant bitrate file whose encoder tag names the preset 1003."""
+    tag = b"LAME3.97 " + bytes((0x01, 195)) + bytes(8) + bytes((0x23, 255)) + bytes(5) + struct.pack(">H", 1003)
+    head = b"\xff\xfb\x90\x44" + bytes(32) + b"Info" + struct.pack(">III", 11, 1000, 417 * 20) + struct.pack(">I", 78) + tag
+    return head.ljust(417, b"\0") + (b"\xff\xfb\x90\x44" + bytes(413)) * 19
+
+
+#: ID3v2 frames that are no items, with their fields; bytes are in base64.
+FRAMES = [
+    ("APIC", {"encoding": 3, "mime": "image/png", "type": 3, "desc": "front", "data": "iVBORw0KGgo="}), ("PRIV", {"owner": "me", "data": "AAEC"}), ("GEOB", {"encoding": 1, "mime": "text/plain", "filename": "a.txt", "desc": "ü", "data": "aGk="}),
+    ("SYLT", {"encoding": 3, "lang": "eng", "format": 2, "type": 1, "desc": "d", "lines": [{"text": "One", "time": 0}, {"text": "Two", "time": 1500}]}), ("USER", {"encoding": 3, "lang": "eng", "text": "free"}), ("OWNE", {"encoding": 0, "price": "EUR1", "date": "20200102", "seller": "S"}),
+    ("ETCO", {"format": 2, "events": [{"type": 3, "time": 500}]}), ("EQU2", {"method": 1, "identification": "eq", "adjustments": [{"frequency": 100.5, "gain": -1.5}]}), ("SEEK", {"offset": 77}), ("SIGN", {"group": 129, "data": "c2ln"}), ("ENCR", {"owner": "o", "method": 130, "data": ""}), ("GRID", {"owner": "g", "group": 131, "data": "eA=="}), ("AENC", {"owner": "a", "preview_start": 1, "preview_length": 2, "data": ""}),
+    ("RBUF", {"size": 4096, "info": 1, "offset": 9}), ("RVRB", {"left": 1, "right": 2, "bounce_left": 3, "bounce_right": 4, "feedback_ltl": 5, "feedback_ltr": 6, "feedback_rtr": 7, "feedback_rtl": 8, "premix_ltr": 9, "premix_rtl": 10}), ("POSS", {"format": 2, "position": 1234}), ("LINK", {"frame_id": "TIT2", "url": "http://x", "data": ""}), ("MCDI", {"data": "AQID"}), ("SYTC", {"format": 2, "data": "eAA="}),
+    ("MLLT", {"frames": 1, "bytes": 417, "milliseconds": 26, "bits_for_bytes": 8, "bits_for_milliseconds": 8, "data": "AAA="}), ("COMR", {"encoding": 3, "price": "EUR2", "valid_until": "20300101", "contact": "http://s", "format": 0, "seller": "Shop", "desc": "file", "mime": "image/png", "data": ""}), ("ASPI", {"start": 0, "length": 100, "points": 1, "bits": 8, "data": "AA=="}),
+    ("CHAP", {"element_id": "c1", "start_time": 0, "end_time": 1000, "start_offset": 4294967295, "end_offset": 4294967295, "sub_frames": [{"id": "TIT2", "value": ["Chapter ü"]}]}), ("CTOC", {"element_id": "toc", "flags": 3, "child_ids": ["c1"], "sub_frames": [{"id": "CHAP", "value": {"element_id": "c2", "start_time": 1, "end_time": 2, "start_offset": 0, "end_offset": 0, "sub_frames": []}}]}),
+]
+
+
+def id3_frames(only=None):
+    """A version 2.4 tag of a title and of FRAMES."""
+    body = b"TIT2" + bytes((0, 0, 0, 2, 0, 0)) + b"\x03T"
+    for name, fields in FRAMES:
+        if only is None or name in only:
+            raw = frames.encode(name, fields)
+            body += name.encode() + bytes((len(raw) >> s) & 0x7F for s in (21, 14, 7, 0)) + b"\0\0" + raw
+    return b"ID3\x04\0\0" + bytes((len(body) >> s) & 0x7F for s in (21, 14, 7, 0)) + body
+
+
 def smf(kind=1):
     def track(events):
         return b"MTrk" + struct.pack(">I", len(events)) + events
@@ -198,5 +236,5 @@ def smf(kind=1):
 
 FILES = {
     "a.wav": (riff(id3.encode(ITEMS)), "WAVE", 1.0), "a.aif": (aiff(id3.encode(ITEMS)), "AIFF", 2.0), "a.flac": (flac(), "FLAC", 2.0), "a.ogg": (ogg_vorbis(), "OggVorbis", 2.0), "a.opus": (opus(), "OggOpus", 2.0), "a.spx": (speex(), "OggSpeex", 2.0), "a.oga": (ogg_flac(), "OggFlac", 1.0), "a.ogv": (theora(), "OggTheora", 2.0), "a.mp3": (mp3(tag=id3.encode(ITEMS)), "MP3", 20 * 417 * 8 / 128000), "x.mp3": (mp3(xing=True), "MP3", 1000 * 1152 / 44100), "v1.mp3": (mp3(end=id3.encode_v1(ITEMS)), "MP3", 20 * 417 * 8 / 128000),
-    "a.m4a": (m4a(), "MP4", 2.0), "a.ape": (monkeys(), "MonkeysAudio", (73728 + 1000) / 44100), "a.wv": (wavpack(), "WavPack", 2.0), "a.mpc": (musepack(), "Musepack", (77 * 1152 - 576) / 44100), "8.mpc": (musepack8(), "Musepack", 88200 / 44100), "a.tak": (tak(), "TAK", 2.0), "a.tta": (tta(), "TrueAudio", 2.0), "a.ofr": (ofr(), "OptimFROG", 2.0), "a.dsf": (dsf(id3.encode(ITEMS)), "DSF", 2.0), "a.dff": (dff(), "DSDIFF", 1.0), "a.wma": (wma(), "ASF", 2.0), "a.aac": (aac(), "AAC", 10 * 1024 / 44100), "a.ac3": (ac3(), "AC3", 1.0), "a.mid": (smf(), "SMF", 1.5),
+    "a.m4a": (m4a(), "MP4", 2.0), "a.ape": (monkeys(), "MonkeysAudio", (73728 + 1000) / 44100), "a.wv": (wavpack(), "WavPack", 2.0), "a.mpc": (musepack(), "Musepack", (77 * 1152 - 576) / 44100), "8.mpc": (musepack8(), "Musepack", 88200 / 44100), "a.tak": (tak(), "TAK", 2.0), "a.tta": (tta(), "TrueAudio", 2.0), "a.ofr": (ofr(), "OptimFROG", 2.0), "a.dsf": (dsf(id3.encode(ITEMS)), "DSF", 2.0), "a.dff": (dff(), "DSDIFF", 1.0), "a.wma": (wma(), "ASF", 2.0), "a.aac": (aac(), "AAC", 10 * 1024 / 44100), "a.ac3": (ac3(), "AC3", 1.0), "a.mid": (smf(), "SMF", 1.5), "ties.mid": (smf_ties(), "SMF", 1.0), "lame.mp3": (lame(), "MP3", 1000 * 1152 / 44100),
 }

@@ -246,12 +246,12 @@ def _(spark, d):
 
 
 def _moved(spark: SparkSession, d: str, options: convert.Options) -> DataFrame:
-    new, _ = convert.convert(items(spark, d, "ID3v2"), items(spark, d, "VorbisComment", "p_partkey % 3 > 0"), "VorbisComment", options)
+    new, _ = convert.convert(items(spark, d, "ID3v2"), items(spark, d, "VorbisComment"), "VorbisComment", options)
     return new.select("file_id", "key", flat().alias("vals"))
 
 
 def _moved_sql(where: str = "true", clear: bool = False, keep: bool = False) -> str:
-    source, old = _extracted(items_sql("ID3v2")), items_sql("VorbisComment", "p_partkey % 3 > 0")
+    source, old = _extracted(items_sql("ID3v2")), items_sql("VorbisComment")
     chosen = f"(select * from {source} s where {where}" + (f" and not exists (select 1 from {_extracted(old)} x where x.file_id = s.file_id and x.field = s.field and x.is_custom = s.is_custom)" if keep else "") + ")"
     new = f"(select file_id, key, max_by(vals, field) as vals from {_applied(chosen, 'VorbisComment')} where key is not null group by file_id, key)"
     if clear:
@@ -350,30 +350,17 @@ def _(spark, d):
     return _shown(diff.diff_normalized(items(spark, d, "ID3v2"), items(spark, d, "VorbisComment"), diff.Options(normalize_custom_keys=True)))
 
 
-def _streams(spark: SparkSession, d: str, right: bool, where: str = "true") -> DataFrame:
-    t = _table(spark, d, "lineitem").where(where).groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"))
+def _streams(spark: SparkSession, d: str, right: bool) -> DataFrame:
+    t = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("p"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"))
     far = F.when(F.col("l_orderkey") % 2 == 0, 1e-8).otherwise(0.5) if right else F.lit(0.0)
     rate = F.when(F.col("l_orderkey") % 5 == 0, None).otherwise(F.col("q").cast("bigint")) if right else F.col("q").cast("bigint")
     return t.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("file_id"), (F.col("p") + far).alias("length_secs"), rate.alias("bitrate"), F.lit(44100).cast("bigint").alias("sample_rate"), F.when(F.col("l_orderkey") % 7 == 0, None).otherwise(2 + (F.col("l_orderkey") % 3 == 0).cast("int") * int(right)).alias("channels"), F.lit(16).alias("bits_per_sample"))
 
 
-def _stream_diff(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
-    out = diff.stream_diff(_streams(spark, d, False, where), _streams(spark, d, True, where))
-    return out.select("file_id", F.col("length_secs").isNotNull().alias("length_changed"), F.col("bitrate.left").alias("bitrate_left"), F.col("channels.right").alias("channels_right"))
-
-
-_STREAM = "(select l_orderkey as k, max(l_extendedprice) as p, max(l_quantity)::bigint as q from lineitem where l_linenumber = 1 group by 1)"
-
-
-@register("stream_info_diff", f"select 'o' || k as file_id, k % 2 <> 0 as length_changed, case when k % 5 = 0 then q end as bitrate_left, case when k % 3 = 0 and k % 7 <> 0 then 3 end as channels_right from {_STREAM}")
-def _(spark, d):
-    return _stream_diff(spark, d, "l_linenumber = 1")
-
-
-# All lines of each order: not every order has a line 1.
-@register("stream_info_diff_all_lines", "select 'o' || k as file_id, k % 2 <> 0 as length_changed, case when k % 5 = 0 then q end as bitrate_left, case when k % 3 = 0 and k % 7 <> 0 then 3 end as channels_right from (select l_orderkey as k, max(l_quantity)::bigint as q from lineitem group by 1)")
+@register("stream_info_diff", "select 'o' || k as file_id, k % 2 <> 0 as length_changed, case when k % 5 = 0 then q end as bitrate_left, case when k % 3 = 0 and k % 7 <> 0 then 3 end as channels_right from (select l_orderkey as k, max(l_quantity)::bigint as q from lineitem group by 1)")
 def _(spark, d):
-    return _stream_diff(spark, d)
+    out = diff.stream_diff(_streams(spark, d, False), _streams(spark, d, True))
+    return out.select("file_id", F.col("length_secs").isNotNull().alias("length_changed"), F.col("bitrate.left").alias("bitrate_left"), F.col("channels.right").alias("channels_right"))
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------
@@ -496,11 +483,6 @@ def _(spark, d):
     return detect.with_format(rows).select("n_nationkey", "name", F.coalesce("format", F.lit("")).alias("format"))
 
 
-@register("easy_id3_view", f"select file_id, name, {_flat()} as vals from (select file_id, name, min_by(vals, key) as vals from (select i.file_id, i.key, case when i.key = 'TCON' then list_transform(i.vals, lambda v: v) else i.vals end as vals, case when n.name is not null then n.name when starts_with(i.key, 'TXXX:') then lower(substr(i.key, 6)) end as name from {items_sql('ID3v2')} i left join (values {', '.join(f'({_text(k)}, {_text(n)})' for n, k in dims.EASY_ID3.items())}) as n(frame, name) on case when starts_with(i.key, 'COMM:') then 'COMM' else i.key end = n.frame where i.key <> 'TYER' and i.key <> 'TCON') where name is not null group by file_id, name)")
-def _(spark, d):
-    return views.easy_id3(items(spark, d, "ID3v2")).where("name <> 'genre'").select("file_id", "name", flat().alias("vals"))
-
-
 def _genre_list(x: str) -> str:
     """The friendly view's reading of a genre text, a list, in SQL."""
     groups = rf"regexp_extract({x}, '^((\([^()]*\)\s*)+)', 1)"
@@ -512,8 +494,7 @@ def _genre_list(x: str) -> str:
     return f"(case when {x} = '' then []::varchar[] when starts_with({x}, '(') and len({listed}) > 0 then {listed} when not starts_with({x}, '(') and len({plain}) > 0 then {plain} else [{x}] end)"
 
 
-# All names of the view, with the genre's reading and the year behind the date.
-@register("easy_id3_view_all_names", f"select file_id, name, {_flat()} as vals from (select file_id, name, first(vals order by choice, key) as vals from (select i.file_id, i.key, case when n.name = 'genre' then flatten(list_transform(i.vals, lambda v: {_genre_list('v')})) else i.vals end as vals, coalesce(n.name, case when starts_with(i.key, 'TXXX:') then lower(substr(i.key, 6)) end) as name, coalesce(n.choice, 9) as choice from {items_sql('ID3v2')} i left join (values {', '.join(f'({_text(k)}, {_text(n)}, 0)' for n, k in dims.EASY_ID3.items())}, ('TYER', 'date', 1), ('TDAT', 'date', 2)) as n(frame, name, choice) on case when starts_with(i.key, 'COMM:') then 'COMM' else i.key end = n.frame) where name is not null group by file_id, name)")
+@register("easy_id3_view", f"select file_id, name, {_flat()} as vals from (select file_id, name, first(vals order by choice, key) as vals from (select i.file_id, i.key, case when n.name = 'genre' then flatten(list_transform(i.vals, lambda v: {_genre_list('v')})) else i.vals end as vals, coalesce(n.name, case when starts_with(i.key, 'TXXX:') then lower(substr(i.key, 6)) end) as name, coalesce(n.choice, 9) as choice from {items_sql('ID3v2')} i left join (values {', '.join(f'({_text(k)}, {_text(n)}, 0)' for n, k in dims.EASY_ID3.items())}, ('TYER', 'date', 1), ('TDAT', 'date', 2)) as n(frame, name, choice) on case when starts_with(i.key, 'COMM:') then 'COMM' else i.key end = n.frame) where name is not null group by file_id, name)")
 def _(spark, d):
     return views.easy_id3(items(spark, d, "ID3v2")).select("file_id", "name", flat().alias("vals"))
 

@@ -6,7 +6,7 @@ import base64
 import struct
 
 from tagloom.sources.parsers import id3
-from tagloom.sources.parsers.base import MAX_ITEMS, MAX_TAG, Bits, ParseError, Parsed, take, unpack
+from tagloom.sources.parsers.base import LIMITS, MAX_ITEMS, Bits, ParseError, Parsed, take, unpack
 
 
 def valid_key(key: str) -> bool:
@@ -38,7 +38,7 @@ def tag(data: bytes) -> Parsed:
     if place is None:
         return out
     at, end, count = place
-    if end - at > MAX_TAG:
+    if end - at > LIMITS.tag:
         raise ParseError("limit", "tag too large")
     if count > MAX_ITEMS:
         raise ParseError("limit", f"{count} items")
@@ -58,15 +58,52 @@ def tag(data: bytes) -> Parsed:
         elif kind == 1:
             name, _, image = value.partition(b"\0")
             out.extra.setdefault("binary", []).append({"key": key, "name": name.decode("utf-8", "replace"), "data": base64.b64encode(image).decode()})
+            if key.lower().startswith("cover art"):
+                out.extra.setdefault("pictures", []).append({"mime_type": "", "picture_type": picture_type(key), "description": name.decode("utf-8", "replace"), "data": base64.b64encode(image).decode()})
         elif kind == 2:
             out.extra.setdefault("external", []).append({"key": key, "value": value.decode("utf-8", "replace")})
     out.items = sorted(found.values())
     return out
 
 
-def encode(items: list[tuple[str, list[str]]]) -> bytes:
-    """A tag with header and footer; items by size, as short ones are to come first."""
-    parts = []
+def picture_type(key: str) -> int:
+    """The type that a picture's key names: front, back, and else other."""
+    return {"(front)": 3, "(back)": 4}.get(key.lower().rpartition(" ")[2], 0)
+
+
+def picture_items(pictures: list[dict]) -> list[bytes]:
+    """Binary items of pictures: one for the front, one for the back, one for others."""
+    out: dict[str, bytes] = {}
+    for p in pictures:
+        key = "Cover Art " + {3: "(Front)", 4: "(Back)"}.get(p.get("picture_type", 3), "(Other)")
+        value = (p.get("description") or "cover").encode() + b"\0" + base64.b64decode(p["data"])
+        out[key] = struct.pack("<II", len(value), 2) + key.encode() + b"\0" + value
+    return list(out.values())
+
+
+def kept(data: bytes) -> list[bytes]:
+    """The binary and external items of the tag, as they are: those that aren't text."""
+    place, out = locate(data), []
+    if place is None:
+        return out
+    at, end, count = place
+    for _ in range(min(count, MAX_ITEMS)):
+        if at + 8 >= end:
+            break
+        size, flags = struct.unpack("<II", take(data, at, 8))
+        stop = data.find(b"\0", at + 8, end)
+        if stop < 0 or stop + 1 + size > end:
+            break
+        if flags >> 1 & 3:
+            out.append(data[at : stop + 1 + size])
+        at = stop + 1 + size
+    return out
+
+
+def encode(items: list[tuple[str, list[str]]], others: list[bytes] | None = None) -> bytes:
+    """A tag with header and footer of text items and of others as kept() gives them; by size, as short ones are to come first."""
+    new = {k.lower() for k, _ in items}
+    parts = [x for x in others or [] if x[8 : x.index(b"\0", 8)].decode("latin-1").lower() not in new]
     for key, values in items:
         if not valid_key(key):
             raise ParseError("apev2", f"key {key!r}")

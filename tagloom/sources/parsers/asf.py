@@ -106,6 +106,40 @@ def _object(out: Parsed, kind: bytes, body: bytes) -> None:
             _object(out, k, b)
 
 
+def attributes(data: bytes) -> dict[str, list[tuple[int, bytes]]]:
+    """(type, bytes) of the typed attributes by name, in order; bools have two bytes."""
+    out: dict[str, list[tuple[int, bytes]]] = {}
+
+    def read(objects) -> None:
+        for kind, body in objects:
+            if kind in (EXTENDED, METADATA, LIBRARY):
+                count, at = unpack("<H", body)[0], 2
+                for _ in range(count):
+                    if kind == EXTENDED:
+                        n = unpack("<H", body, at)[0]
+                        name = _text(take(body, at + 2, n))
+                        sort, size = unpack("<HH", body, at + 2 + n)
+                        at += 6 + n
+                    else:
+                        _, _, n, sort, size = unpack("<HHHHI", body, at)
+                        name = _text(take(body, at + 12, n))
+                        at += 12 + n
+                    raw = take(body, at, size)
+                    out.setdefault(name, []).append((sort, raw[:2] if sort == 2 else raw))
+                    at += size
+            elif kind == EXTENSION:
+                read(_objects(body, 22, len(body)))
+
+    read(_objects(data, 30, min(unpack("<Q", data, 16)[0], len(data))))
+    return out
+
+
+def encode_picture(p: dict) -> bytes:
+    image = base64.b64decode(p["data"])
+    texts = b"".join((p.get(k) or "").encode("utf-16-le") + b"\0\0" for k in ("mime_type", "description"))
+    return bytes((p.get("picture_type", 3),)) + len(image).to_bytes(4, "little") + texts + image
+
+
 def parse(data: bytes) -> Parsed:
     if take(data, 0, 16) != HEADER:
         raise ParseError("asf", "no header object")

@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import contextlib
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-#: Default caps on bytes of a tag, bytes of an image and items of a tag.
-MAX_TAG, MAX_IMAGE, MAX_ITEMS = 8 << 20, 16 << 20, 10_000
+#: Fixed value: cap on items of a tag.
+MAX_ITEMS = 10_000
+
+
+@dataclass
+class Limits:
+    """Caps on bytes of a tag and of an image. The default ones and the permissive ones."""
+
+    tag: int = 8 << 20
+    image: int = 16 << 20
+
+
+PERMISSIVE = Limits(256 << 20, 128 << 20)
+#: The caps in force; using() sets others for a while.
+LIMITS = Limits()
+
+
+@contextlib.contextmanager
+def using(limits: Limits | None) -> Iterator[None]:
+    """Other caps for the parsing done inside."""
+    old = Limits(LIMITS.tag, LIMITS.image)
+    if limits:
+        LIMITS.tag, LIMITS.image = limits.tag, limits.image
+    try:
+        yield
+    finally:
+        LIMITS.tag, LIMITS.image = old.tag, old.image
+
+
+#: Bytes of padding for a tag: from what the old tag's place would leave (negative if it is too small) and the bytes behind it.
+Padding = Callable[[int, int], int]
+
+
+def padding(left: int, content: int) -> int:
+    """What is left, if it is from 0 to 10 KiB and 1 % of the content, else 1 KiB and 0.1 %."""
+    return left if 0 <= left <= 10 * 1024 + content // 100 else 1024 + content // 1000
 
 
 class ParseError(ValueError):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 from tagloom.sources.parsers import id3, vorbis
-from tagloom.sources.parsers.base import Bits, ParseError, Parsed, take, unpack
+from tagloom.sources.parsers.base import Bits, Padding, ParseError, Parsed, padding, take, unpack
 
 
 def stream_info(data: bytes, out: Parsed) -> Parsed:
@@ -47,7 +48,7 @@ def parse(data: bytes) -> Parsed:
         if kind == 0:
             stream_info(body, out)
         elif kind == 2:
-            out.extra.setdefault("applications", []).append({"id": body[:4].decode("latin-1"), "size": max(0, size - 4)})
+            out.extra.setdefault("applications", []).append({"id": body[:4].decode("latin-1"), "size": max(0, size - 4), "data": base64.b64encode(body[4:]).decode()})
         elif kind == 3:
             out.extra["seek_points"] = [dict(zip(("sample", "offset", "samples"), unpack(">QQH", body, i), strict=True)) for i in range(0, size - size % 18, 18)]
         elif kind == 4:
@@ -71,11 +72,13 @@ def cue_sheet(body: bytes) -> dict:
     return {"catalog": catalog.rstrip(b"\0").decode("latin-1"), "lead_in": lead, "compact_disc": bool(flags & 0x80), "tracks": tracks}
 
 
-def write(data: bytes, items: list[tuple[str, list[str]]], padding: int = 1024) -> bytes:
-    """The file with these comments instead of its own, and with one padding block at the end of the blocks."""
-    kept = [(k, data[a : a + s]) for k, a, s, _ in blocks(data) if k not in (1, 4)]
+def write(data: bytes, items: list[tuple[str, list[str]]], pictures: list[dict] | None = None, policy: Padding = padding) -> bytes:
+    """The file with these comments instead of its own, these pictures if any are given, and one padding block, as policy tells, at the end of the blocks."""
+    kept = [(k, data[a : a + s]) for k, a, s, _ in blocks(data) if k not in (1, 4) and (k != 6 or pictures is None)]
     _, at, size, _ = list(blocks(data))[-1]
-    new = [kept[0], (4, vorbis.encode(items)), *kept[1:], (1, bytes(padding))]
+    new = [kept[0], (4, vorbis.encode(items)), *kept[1:], *((6, vorbis.encode_picture(p)) for p in pictures or [])]
+    left = at + size - 4 - sum(4 + len(b) for _, b in new) - 4
+    new.append((1, bytes(min(max(0, policy(left, len(data) - at - size)), (1 << 24) - 1))))
     out = b"fLaC"
     for i, (kind, body) in enumerate(new):
         if len(body) >= 1 << 24:

@@ -1,4 +1,4 @@
-"""ID3v1 and ID3v2.2 to 2.4 tags: decoding to items, and encoding of text frames."""
+"""ID3v1 and ID3v2.2 to 2.4 tags: decoding to items, and encoding of items and of the frames that are none."""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ import re
 import zlib
 
 from tagloom.plans.dims import GENRES
-from tagloom.sources.parsers.base import MAX_TAG, ParseError, Parsed, take
+from tagloom.sources.parsers import frames
+from tagloom.sources.parsers.base import LIMITS, Padding, ParseError, Parsed, padding, take
+from tagloom.sources.parsers.frames import split as _split
+from tagloom.sources.parsers.frames import text as _text
 
-_CODECS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 # Three-letter frame ids of version 2.2 and what they became.
-UPGRADE = dict(
-    x.split("=")
-    for x in "BUF=RBUF CNT=PCNT COM=COMM CRA=AENC ETC=ETCO EQU=EQUA GEO=GEOB IPL=IPLS LNK=LINK MCI=MCDI MLL=MLLT PIC=APIC POP=POPM REV=RVRB RVA=RVAD SLT=SYLT STC=SYTC TAL=TALB TBP=TBPM TCM=TCOM TCO=TCON TCP=TCMP TCR=TCOP TDA=TDAT TDY=TDLY TEN=TENC TFT=TFLT TIM=TIME TKE=TKEY TLA=TLAN TLE=TLEN TMT=TMED TOA=TOPE TOF=TOFN TOL=TOLY TOR=TORY TOT=TOAL TP1=TPE1 TP2=TPE2 TP3=TPE3 TP4=TPE4 TPA=TPOS TPB=TPUB TRC=TSRC TRD=TRDA TRK=TRCK TS2=TSO2 TSA=TSOA TSC=TSOC TSI=TSIZ TSP=TSOP TSS=TSSE TST=TSOT TT1=TIT1 TT2=TIT2 TT3=TIT3 TXT=TEXT TXX=TXXX TYE=TYER UFI=UFID ULT=USLT WAF=WOAF WAR=WOAR WAS=WOAS WCM=WCOM WCP=WCOP WPB=WPUB WXX=WXXX".split()
-)
+UPGRADE = {
+    "BUF": "RBUF", "CNT": "PCNT", "COM": "COMM", "CRA": "AENC", "ETC": "ETCO", "EQU": "EQUA", "GEO": "GEOB", "IPL": "IPLS", "LNK": "LINK", "MCI": "MCDI", "MLL": "MLLT", "PIC": "APIC", "POP": "POPM",
+    "REV": "RVRB", "RVA": "RVAD", "SLT": "SYLT", "STC": "SYTC", "TAL": "TALB", "TBP": "TBPM", "TCM": "TCOM", "TCO": "TCON", "TCP": "TCMP", "TCR": "TCOP", "TDA": "TDAT", "TDY": "TDLY", "TEN": "TENC",
+    "TFT": "TFLT", "TIM": "TIME", "TKE": "TKEY", "TLA": "TLAN", "TLE": "TLEN", "TMT": "TMED", "TOA": "TOPE", "TOF": "TOFN", "TOL": "TOLY", "TOR": "TORY", "TOT": "TOAL", "TP1": "TPE1", "TP2": "TPE2",
+    "TP3": "TPE3", "TP4": "TPE4", "TPA": "TPOS", "TPB": "TPUB", "TRC": "TSRC", "TRD": "TRDA", "TRK": "TRCK", "TS2": "TSO2", "TSA": "TSOA", "TSC": "TSOC", "TSI": "TSIZ", "TSP": "TSOP", "TSS": "TSSE",
+    "TST": "TSOT", "TT1": "TIT1", "TT2": "TIT2", "TT3": "TIT3", "TXT": "TEXT", "TXX": "TXXX", "TYE": "TYER", "UFI": "UFID", "ULT": "USLT", "WAF": "WOAF", "WAR": "WOAR", "WAS": "WOAS", "WCM": "WCOM",
+    "WCP": "WCOP", "WPB": "WPUB", "WXX": "WXXX",
+}
 
 
 def synchsafe(data: bytes) -> int:
@@ -32,24 +38,6 @@ def tag_size(data: bytes, at: int = 0) -> int:
     return 10 + synchsafe(head[6:10]) + (10 if head[5] & 0x10 else 0)
 
 
-def _text(codec: int, data: bytes) -> str:
-    name = _CODECS[codec] if codec < 4 else "latin-1"
-    if name == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
-        name = "utf-16-le"
-    return data.decode(name, "replace")
-
-
-def _split(codec: int, data: bytes) -> tuple[bytes, bytes]:
-    """What stands before and after the first terminator of a codec."""
-    if codec in (1, 2):
-        for i in range(0, len(data) - 1, 2):
-            if data[i : i + 2] == b"\0\0":
-                return data[:i], data[i + 2 :]
-        return data, b""
-    head, _, rest = data.partition(b"\0")
-    return head, rest
-
-
 def _values(codec: int, data: bytes) -> list[str]:
     out = []
     while data:
@@ -60,7 +48,7 @@ def _values(codec: int, data: bytes) -> list[str]:
     return out
 
 
-def _frame(out: Parsed, frame: str, data: bytes) -> None:
+def _frame(out: Parsed, frame: str, data: bytes, major: int = 4) -> None:
     """Adds a frame's item under its hash key."""
     if not data:
         return
@@ -96,10 +84,23 @@ def _frame(out: Parsed, frame: str, data: bytes) -> None:
             peak = int.from_bytes(rest[4 : 4 + size], "big") / (1 << max(rest[3] - 1, 0)) if rest[3] else 0.0
             out.extra.setdefault("rva2", []).append({"desc": desc.decode("latin-1"), "gain": gain, "peak": peak})
     else:
-        out.extra.setdefault("frames", []).append({"id": frame, "data": base64.b64encode(data).decode()})
+        entry = {"id": frame, "data": base64.b64encode(data).decode()}
+        if frame in frames.SPECS:
+            try:
+                fields = frames.decode(frame, data, lambda body: [(f, d) for f, d, _ in _frames(body, 4 if major == 2 else major, False)])
+                entry |= {"key": frames.key(frame, fields), "fields": fields}
+            except (ParseError, ValueError, IndexError):
+                entry["key"] = frame  # bytes alone
+        out.extra.setdefault("frames", []).append(entry)
+
+
+def is_item(frame: str) -> bool:
+    """Whether a frame's content is an item, not kept beside the items."""
+    return frame[0] in "TW" or frame in ("COMM", "USLT", "UFID", "PCNT", "POPM")
 
 
-def _frames(body: bytes, major: int, plain: bool) -> list[tuple[str, bytes]]:
+def _frames(body: bytes, major: int, plain: bool) -> list[tuple[str, bytes, bool]]:
+    """(id, payload, encrypted) of each frame; an encrypted one's payload is as version 2.4 has it, behind its two bytes of flags."""
     out, at, width = [], 0, 3 if major == 2 else 4
     head = 6 if major == 2 else 10
     while at + head <= len(body) and body[at] != 0:
@@ -113,39 +114,47 @@ def _frames(body: bytes, major: int, plain: bool) -> list[tuple[str, bytes]]:
         if len(data) < size:
             break
         at += head + size
+        if major == 3 and flags[1] & 0x40:
+            grouped, packed = data[5:6] if flags[1] & 0x20 else b"", flags[1] & 0x80
+            if packed:  # the size goes behind the method
+                data = grouped + data[4:5] + _size(int.from_bytes(data[:4], "big")) + data[5 + len(grouped) :]
+            out.append((name.decode(), bytes((0, 0x04 | (0x40 if grouped else 0) | (0x09 if packed else 0))) + data, True))
+            continue
+        if major == 4 and flags[1] & 0x04:
+            out.append((name.decode(), flags + data, True))
+            continue
         if major == 3:
-            if flags[1] & 0x40:
-                continue  # encrypted
             if flags[1] & 0x80:
-                data = _inflated(data[4:])
+                data = data[:4] + _inflated(data[4:])
+                data = data[4:]
+            if flags[1] & 0x20:
+                data = data[1:]
         if major == 4:
-            if flags[1] & 0x04:
-                continue
+            if flags[1] & 0x40:
+                data = data[1:]
             if flags[1] & 0x01 or flags[1] & 0x08:
                 data = data[4:]
             if flags[1] & 0x02:
                 data = data.replace(b"\xff\0", b"\xff")
             if flags[1] & 0x08:
                 data = _inflated(data)
-        out.append((name.decode(), data))
+        out.append((name.decode(), data, False))
     return out
 
 
 def _inflated(data: bytes) -> bytes:
     try:
-        return zlib.decompressobj().decompress(data, MAX_TAG)
+        packed = zlib.decompressobj()
+        out = packed.decompress(data, LIMITS.tag)
+        if packed.unconsumed_tail:
+            raise ParseError("limit", f"compressed frame of over {LIMITS.tag} bytes")
+        return out
     except zlib.error as e:
         raise ParseError("id3", f"compressed frame: {e}") from e
 
 
-def decode(data: bytes, at: int = 0, out: Parsed | None = None, upgrade: bool = True) -> Parsed:
-    """Items of the ID3v2 tag at a place; nothing if there is none."""
-    out = out or Parsed()
-    size = tag_size(data, at)
-    if not size:
-        return out
-    if size > MAX_TAG + 20:
-        raise ParseError("limit", f"tag of {size} bytes")
+def _body(data: bytes, at: int) -> tuple[int, bytes]:
+    """Version and frames of the ID3v2 tag at a place."""
     major, flags = data[at + 3], data[at + 5]
     if major not in (2, 3, 4):
         raise ParseError("id3", f"version 2.{major}")
@@ -154,15 +163,66 @@ def decode(data: bytes, at: int = 0, out: Parsed | None = None, upgrade: bool =
         body = body.replace(b"\xff\0", b"\xff")
     if flags & 0x40 and major > 2 and len(body) >= 4:
         body = body[synchsafe(body[:4]) if major == 4 else 4 + int.from_bytes(body[:4], "big") :]
+    return major, body
+
+
+def _read(body: bytes, major: int) -> list[tuple[str, bytes, bool]]:
+    """Frames with ids and layouts of version 2.4."""
     found = _frames(body, major, False)
     if major == 4:
         plain = _frames(body, major, True)  # some writers store plain sizes; the reading that finds more frames is right
         found = plain if len(plain) > len(found) else found
-    for frame, content in found:
+    out = []
+    for frame, content, encrypted in found:
         frame = UPGRADE.get(frame, frame) if major == 2 else frame
         if frame == "APIC" and major == 2 and len(content) > 5:
             content = content[:1] + {b"JPG": b"image/jpeg", b"PNG": b"image/png"}.get(content[1:4], content[1:4]) + b"\0" + content[4:]
-        _frame(out, frame, content)
+        if frame == "IPLS" and major < 4:
+            frame = "TIPL"
+        out.append((frame, content, encrypted))
+    return out
+
+
+#: Frames that version 2.4 has no more.
+_GONE = {"RVAD", "EQUA", "TRDA", "TSIZ", "TDAT", "TIME"}
+
+
+def picture_frames(pictures: list[dict]) -> bytes:
+    """APIC frames of pictures."""
+    out = b""
+    for p in pictures:
+        body = frames.encode("APIC", {"encoding": 3, "mime": p.get("mime_type") or "", "type": p.get("picture_type", 3), "desc": p.get("description") or "", "data": p["data"]})
+        out += b"APIC" + _size(len(body)) + b"\0\0" + body
+    return out
+
+
+def kept(data: bytes, at: int = 0, pictures: bool = True) -> bytes:
+    """The frames, in version 2.4, of the tag at a place that are no items: pictures, private data, chapters, unknown ones. Nothing if there is no tag."""
+    if not tag_size(data, at):
+        return b""
+    major, body = _body(data, at)
+    out = b""
+    for frame, content, encrypted in _read(body, major):
+        if len(frame) == 4 and (encrypted or not is_item(frame)) and not (major < 4 and frame in _GONE) and (pictures or frame != "APIC"):
+            flags, content = (content[:2], content[2:]) if encrypted else (b"\0\0", content)
+            out += frame.encode() + _size(len(content)) + flags + content
+    return out
+
+
+def decode(data: bytes, at: int = 0, out: Parsed | None = None, upgrade: bool = True) -> Parsed:
+    """Items of the ID3v2 tag at a place; nothing if there is none."""
+    out = out or Parsed()
+    size = tag_size(data, at)
+    if not size:
+        return out
+    if size > LIMITS.tag + 20:
+        raise ParseError("limit", f"tag of {size} bytes")
+    major, body = _body(data, at)
+    for frame, content, encrypted in _read(body, major):
+        if encrypted:
+            out.extra.setdefault("frames", []).append({"id": frame, "encrypted": True, "data": base64.b64encode(content).decode()})
+        else:
+            _frame(out, frame, content, major)
     out.extra["id3_version"] = f"2.{major}"
     return migrate(out) if upgrade and major < 4 else out
 
@@ -206,9 +266,12 @@ def _size(n: int) -> bytes:
     return bytes((n >> s) & 0x7F for s in (21, 14, 7, 0))
 
 
-def encode(items: list[tuple[str, list[str]]], padding: int = 1024) -> bytes:
-    """A version 2.4 tag, in UTF-8, of text items, TXXX, COMM, USLT and link items."""
-    frames = []
+def encode(items: list[tuple[str, list[str]]], others: bytes = b"", place: tuple[int, int] = (0, 0), policy: Padding = padding) -> bytes:
+    """A version 2.4 tag, in UTF-8, of text, comment, lyrics, link, identifier, counter and rating items, and of other frames as kept() gives them.
+
+    place is the size of the old tag and of what stands behind it, from which policy tells the padding.
+    """
+    made = []
     for key, values in sorted(items):
         frame, _, rest = key.partition(":")
         if not values or not re.fullmatch(r"[A-Z][A-Z0-9]{3}", frame):
@@ -227,13 +290,23 @@ def encode(items: list[tuple[str, list[str]]], padding: int = 1024) -> bytes:
             body = values[0].encode("latin-1", "replace")
         elif frame == "UFID":
             body = rest.encode("latin-1", "replace") + b"\0" + values[0].encode("latin-1", "replace")
+        elif frame == "PCNT" and values[0].isdigit():
+            body = _count(values[0])
+        elif frame == "POPM" and values[0].isdigit():
+            body = rest.encode("latin-1", "replace") + b"\0" + bytes((min(int(values[0]), 255),)) + (_count(values[1]) if len(values) > 1 and values[1].isdigit() else b"")
         else:
             continue
-        frames.append(frame.encode() + _size(len(body)) + b"\0\0" + body)
-    body = b"".join(frames) + bytes(padding)
+        made.append(frame.encode() + _size(len(body)) + b"\0\0" + body)
+    body = b"".join(made) + others
+    body += bytes(max(0, policy(place[0] - 10 - len(body), place[1])))
     if len(body) >= 1 << 28:
         raise ParseError("limit", "tag too large")
-    return b"ID3\x04\0\0" + _size(len(body)) + body if frames else b""
+    return b"ID3\x04\0\0" + _size(len(body)) + body if made or others else b""
+
+
+def _count(text: str) -> bytes:
+    n = int(text)
+    return n.to_bytes(max(4, (n.bit_length() + 7) // 8), "big")
 
 
 def encode_v1(items: list[tuple[str, list[str]]]) -> bytes:

@@ -7,7 +7,8 @@ import itertools
 from collections.abc import Iterator
 
 from tagloom.plans.dims import GENRES
-from tagloom.sources.parsers.base import MAX_IMAGE, Bits, ParseError, Parsed, take, unpack
+from tagloom.sources.parsers.base import LIMITS, Bits, ParseError, Parsed, take, unpack
+from tagloom.sources.parsers.streams import AC3_CHANNELS, AC3_RATES
 
 #: Atoms that hold atoms, and bytes of their own before them.
 _BOXES = {"moov": 0, "udta": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "ilst": 0, "meta": 4, "moof": 0, "traf": 0}
@@ -54,6 +55,16 @@ def _data(data: bytes, start: int, end: int) -> list[tuple[int, bytes]]:
     return out
 
 
+# Atoms of tags that hold text, and those that hold numbers.
+TEXTS = ["©nam", "©alb", "©ART", "aART", "©wrt", "©day", "©cmt", "desc", "purd", "©grp", "©gen", "©lyr", "catg", "keyw", "©too", "©pub", "cprt", "soal", "soaa", "soar", "sonm", "soco", "sosn", "tvsh", "©wrk", "©mvn", "purl", "egid"]
+NUMBERS = ["plID", "cnID", "geID", "atID", "sfID", "cmID", "tvsn", "tves", "tmpo", "©mvi", "©mvc", "akID", "shwm", "stik", "hdvd", "rtng"]
+
+
+def known(name: str) -> bool:
+    """Whether a tag atom is read as items or pictures; others are set aside as they are."""
+    return name in TEXTS or name in NUMBERS or name in ("trkn", "disk", "gnre", "cpil", "pgap", "pcst", "covr", "----")
+
+
 def _tag(out: Parsed, data: bytes, name: str, start: int, end: int) -> None:
     found = _data(data, start, end)
     if name in ("trkn", "disk"):
@@ -66,12 +77,12 @@ def _tag(out: Parsed, data: bytes, name: str, start: int, end: int) -> None:
             code = int.from_bytes(v, "big") - 1
             if 0 <= code < len(GENRES):
                 out.put("©gen", [GENRES[code]])
-    elif name in ("cpil", "pgap", "pcst", "shwm"):
+    elif name in ("cpil", "pgap", "pcst"):
         for _, v in found[:1]:
             out.put(name, ["true" if v[:1] not in (b"", b"\0") else "false"])
     elif name == "covr":
         for kind, v in found:
-            if len(v) > MAX_IMAGE:
+            if len(v) > LIMITS.image:
                 raise ParseError("limit", f"image of {len(v)} bytes")
             mime = "image/png" if v[:8] == b"\x89PNG\r\n\x1a\n" else "image/jpeg" if v[:3] == b"\xff\xd8\xff" else {13: "image/jpeg", 14: "image/png"}.get(kind, "")
             out.extra.setdefault("pictures", []).append({"mime_type": mime, "picture_type": 3, "description": "", "data": base64.b64encode(v).decode()})
@@ -88,12 +99,14 @@ def _tag(out: Parsed, data: bytes, name: str, start: int, end: int) -> None:
                 label = data[at + 12 : at + size].decode("utf-8", "replace")
             at += size
         out.put(f"----:{mean}:{label}", [v.decode("utf-8", "replace") for _, v in found])
-    else:
+    elif name in NUMBERS:
+        for _, v in found:
+            out.put(name, [str(int.from_bytes(v, "big", signed=True))])
+    elif name in TEXTS:
         for kind, v in found:
-            if kind == 21 or name in ("tmpo", "stik", "rtng", "plID", "cnID", "geID", "atID", "sfID", "cmID", "akID", "tvsn", "tves", "hdvd", "©mvc", "©mvi"):
-                out.put(name, [str(int.from_bytes(v, "big", signed=True))])
-            elif kind in (0, 1, 2):
-                out.put(name, [v.decode("utf-16-be" if kind == 2 else "utf-8", "replace")])
+            out.put(name, [v.decode("utf-16-be" if kind == 2 else "utf-8", "replace")])
+    else:
+        out.extra.setdefault("unknown_atoms", []).append({"name": name, "data": base64.b64encode(data[start:end]).decode()})
 
 
 def _entry(out: Parsed, data: bytes, start: int, end: int) -> None:
@@ -117,9 +130,8 @@ def _entry(out: Parsed, data: bytes, start: int, end: int) -> None:
         elif name == b"dac3":
             bits = Bits(take(data, at + 8, 3))
             code, _, _, mode, lfe, rate = bits.read(2), bits.read(5), bits.read(3), bits.read(3), bits.read(1), bits.read(5)
-            out.channels = (2, 1, 2, 3, 3, 4, 4, 5)[mode] + lfe
-            table = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
-            out.bitrate = table[rate] * 1000 if rate < len(table) else None
+            out.channels = AC3_CHANNELS[mode] + lfe
+            out.bitrate = AC3_RATES[rate] * 1000 if rate < len(AC3_RATES) else None
             out.sample_rate = (48000, 44100, 32000)[code] if code < 3 else out.sample_rate
         at += n
 

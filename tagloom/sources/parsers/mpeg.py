@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from typing import NamedTuple
 
 from tagloom.sources.parsers import ape, id3
@@ -61,6 +63,7 @@ def _xing(data: bytes, at: int, f: Frame, out: Parsed, whole: int) -> bool:
     if flags & 2:
         size, p = int.from_bytes(data[p : p + 4], "big"), p + 4
     p += 100 if flags & 4 else 0
+    scale = int.from_bytes(data[p : p + 4], "big") if flags & 8 else -1
     p += 4 if flags & 8 else 0
     lame = data[p : p + 36]
     out.extra["bitrate_mode"] = "VBR" if mark == b"Xing" else "CBR"
@@ -71,6 +74,8 @@ def _xing(data: bytes, at: int, f: Frame, out: Parsed, whole: int) -> bool:
             skipped = int.from_bytes(lame[21:24], "big")
             skipped = (skipped >> 12) + (skipped & 0xFFF)
             out.extra["vbr_method"] = lame[9] & 15
+        if len(lame) >= 28 and lame[:4] == b"LAME" and (settings := _settings(lame, scale)):
+            out.extra["encoder_settings"] = settings
     if frames > 0:
         samples = max(0, frames * f.samples - skipped)
         out.length_secs = samples / f.sample_rate
@@ -80,6 +85,47 @@ def _xing(data: bytes, at: int, f: Frame, out: Parsed, whole: int) -> bool:
     return True
 
 
+# Numbers under which presets are stored, for versions 3.93 to 3.97.
+_PRESETS = {1001: "standard", 1002: "extreme", 1004: "fast standard", 1005: "fast extreme", 1006: "medium", 1007: "fast medium"}
+# Fixed values: (quality, noise quality, method, lowpass, hearing threshold) that presets of 3.90 to 3.92 leave.
+_OLD_PRESETS = {(1, 2, 4, 19500, 3): "--preset r3mix", (2, 2, 3, 19000, 4): "--alt-preset standard", (2, 2, 3, 19500, 2): "--alt-preset extreme"}
+# Fixed values: (quality, bitrate, lowpass) of version 3.99 on that stand for another quality.
+_QUALITIES = {(5, 32, 0): 7, (5, 8, 0): 8, (6, 8, 0): 9}
+
+
+def _settings(lame: bytes, scale: int) -> str:
+    """The encoder's options that its tag speaks for; empty if they can't be told. scale is the quality that the header gives, -1 if none."""
+    number = re.match(rb"LAME(\d+)\.(\d+)", lame)
+    if not number:
+        return ""
+    version, method = (int(number[1]), int(number[2])), lame[9] & 15
+    quality, noise = ((100 - scale) // 10, (100 - scale) % 10) if 0 <= scale <= 100 else (-1, -1)
+    lowpass, flags, threshold, rate = lame[10] * 100, lame[19] >> 4, lame[19] & 15, lame[20]
+    preset = int.from_bytes(lame[26:28], "big") & 0x7FF
+    early, middle = (3, 90) <= version <= (3, 92), (3, 93) <= version <= (3, 97)
+    if method == 2:
+        if early and flags:
+            name = "--alt-preset"
+        else:
+            name = "--preset" if preset else "--abr"
+        return f"--preset {preset}" if preset and name == "--preset" else f"{name} {rate}{'+' if rate == 255 else ''}"
+    if method == 1:
+        named = {0: f"-b {rate}" if rate < 255 else "-b 255+", 1003: "--preset insane"}
+        return named.get(preset, f"-b {preset}")
+    if early and (known := _OLD_PRESETS.get((quality, noise, method, lowpass, threshold))):
+        return known
+    if middle and preset in _PRESETS:
+        return f"--preset {_PRESETS[preset]}"
+    slow, fast = ("", " --vbr-new") if early or middle else (" --vbr-old", "")
+    if version < (3, 90):
+        return ""
+    if method == 3:
+        return f"-V {quality}{slow}"
+    if method in (4, 5):
+        return f"-V {_QUALITIES.get((quality, rate, lowpass), quality) if version >= (3, 99) else quality}{fast}"
+    return f"-V {quality}" if middle and method >= 8 and quality >= 0 else ""
+
+
 def _vbri(data: bytes, at: int, f: Frame, out: Parsed) -> bool:
     head = data[at + 36 : at + 62]
     if head[:4] != b"VBRI" or len(head) < 18:

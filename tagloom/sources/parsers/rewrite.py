@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import struct
 
 from tagloom.sources.parsers import asf, mp4, ogg, vorbis
-from tagloom.sources.parsers.base import ParseError, unpack
+from tagloom.sources.parsers.base import Padding, ParseError, padding, unpack
 
 Items = list[tuple[str, list[str]]]
 
@@ -33,8 +34,11 @@ def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, bod
     return head[:22] + struct.pack("<I", ogg.crc(head + body)) + head[26:] + body
 
 
-def ogg_tags(data: bytes, items: Items) -> bytes:
-    """The comment packet replaced; header pages made anew, later pages of the stream numbered anew."""
+def ogg_tags(data: bytes, items: Items, pictures: list[dict] | None = None) -> bytes:
+    """The comment packet replaced; header pages made anew, later pages of the stream numbered anew. Pictures are comments."""
+    if pictures is not None:
+        blocks = [base64.b64encode(vorbis.encode_picture(p)).decode() for p in pictures]
+        items = [x for x in items if x[0].lower() != "metadata_block_picture"] + ([("metadata_block_picture", blocks)] if blocks else [])
     serial, found = ogg.packets(data, 1)
     head = found[0]
     marks = {b"\x01vorbis": (b"\x03vorbis", b"\x01", 3), b"OpusHead": (b"OpusTags", b"", 2), b"Speex   ": (b"", b"", 2), b"\x80theora": (b"\x81theora", b"", 3)}
@@ -89,7 +93,7 @@ def _data(kind: int, value: bytes) -> bytes:
     return _atom("data", struct.pack(">II", kind, 0) + value)
 
 
-_NUMBERS = {"tmpo": 2, "stik": 1, "rtng": 1, "plID": 8, "cnID": 4, "geID": 4, "atID": 4, "sfID": 4, "cmID": 4, "akID": 1, "tvsn": 4, "tves": 4, "hdvd": 1, "©mvc": 2, "©mvi": 2}
+_NUMBERS = {"tmpo": 2, "stik": 1, "rtng": 1, "plID": 8, "cnID": 4, "geID": 4, "atID": 4, "sfID": 4, "cmID": 4, "akID": 1, "tvsn": 4, "tves": 4, "hdvd": 1, "shwm": 1, "©mvc": 2, "©mvi": 2}
 
 
 def _ilst(items: Items) -> bytes:
@@ -103,7 +107,7 @@ def _ilst(items: Items) -> bytes:
         elif key in ("trkn", "disk"):
             pairs = [[int(x) if x.strip().isdigit() else 0 for x in (v.split("/") + ["0"])[:2]] for v in values]
             out += _atom(key, b"".join(_data(0, struct.pack(">HHH", 0, min(n, 65535), min(t, 65535)) + (bytes(2) if key == "trkn" else b"")) for n, t in pairs))
-        elif key in ("cpil", "pgap", "pcst", "shwm"):
+        elif key in ("cpil", "pgap", "pcst"):
             out += _atom(key, _data(21, b"\x01" if values and values[0].lower() in ("1", "true", "yes") else b"\0"))
         elif key in _NUMBERS:
             out += _atom(key, b"".join(_data(21, int(v).to_bytes(_NUMBERS[key], "big", signed=True)) for v in values))
@@ -112,8 +116,13 @@ def _ilst(items: Items) -> bytes:
     return _atom("ilst", out)
 
 
-def mp4_tags(data: bytes, items: Items, padding: int = 1024) -> bytes:
-    """The ilst replaced, pictures kept; chunk offsets moved by what moov has grown where the sound data stand behind it."""
+def _room(tree: list[tuple[str, int, int]]) -> int:
+    """Bytes that the present tags and the free space behind them have."""
+    return sum(b - a + 8 for p, a, b in tree if p in ("moov.udta.meta.ilst", "moov.udta.meta.free")) - 8
+
+
+def mp4_tags(data: bytes, items: Items, pictures: list[dict] | None = None, policy: Padding = padding) -> bytes:
+    """The ilst replaced, pictures and unknown atoms kept; chunk offsets moved by what moov has grown where the sound data stand behind it."""
     tree = list(mp4.atoms(data))
     moov = next(((a, b) for p, a, b in tree if p == "moov"), None)
     if moov is None:
@@ -121,11 +130,16 @@ def mp4_tags(data: bytes, items: Items, padding: int = 1024) -> bytes:
     start, end = moov[0] - 8, moov[1]
     if unpack(">I", data, start)[0] == 1:
         start -= 8
-    covers = b"".join(data[a - 8 : b] for p, a, b in tree if p == "moov.udta.meta.ilst.covr")
     ilst = _ilst(items)
-    if covers:
-        ilst = _atom("ilst", ilst[8:] + covers)
-    meta = _atom("meta", bytes(4) + _atom("hdlr", bytes(8) + b"mdirappl" + bytes(9)) + ilst + _atom("free", bytes(padding)))
+    others, new = b"", {k[:4] for k, _ in items}
+    for p, a, b in tree:
+        name = p.rsplit(".", 1)[-1]
+        if p.startswith("moov.udta.meta.ilst.") and p.count(".") == 4 and (name == "covr" and pictures is None or not mp4.known(name) and name not in new):
+            others += data[a - 8 : b]
+    if pictures:
+        others += _atom("covr", b"".join(_data(14 if p.get("mime_type") == "image/png" else 13, base64.b64decode(p["data"])) for p in pictures))
+    ilst = _atom("ilst", ilst[8:] + others)
+    meta = _atom("meta", bytes(4) + _atom("hdlr", bytes(8) + b"mdirappl" + bytes(9)) + ilst + _atom("free", bytes(max(0, policy(_room(tree) - len(ilst), len(data) - end)))))
     children, udta = [], b""
     for p, a, b in tree:
         if p.count(".") == 1 and p.startswith("moov.") and p != "moov.udta":
@@ -154,23 +168,48 @@ def _utf16(text: str) -> bytes:
     return (text + "\0").encode("utf-16-le")
 
 
-def asf_tags(data: bytes, items: Items) -> bytes:
-    """Content objects replaced: five fields in their own, others with one value in the extended one, the rest in the library."""
+def _attribute(old: tuple[int, bytes] | None, text: str) -> tuple[int, bytes]:
+    """(type, bytes) of a value: the old ones if they read the same, a number of the old type if it can be one, else text."""
+    if old and asf.value(*old, wide_bool=False) == text:
+        return old
+    if old and old[0] == 2 and text.lower() in ("true", "false", "0", "1"):
+        return 2, (1 if text.lower() in ("true", "1") else 0).to_bytes(2, "little")
+    if old and old[0] in (3, 4, 5) and text.isdigit() and int(text) < 1 << 8 * (size := {3: 4, 4: 8, 5: 2}[old[0]]):
+        return old[0], int(text).to_bytes(size, "little")
+    return 0, _utf16(text)
+
+
+def asf_tags(data: bytes, items: Items, pictures: list[dict] | None = None) -> bytes:
+    """Content objects replaced: five fields in their own, others with one value in the extended one, the rest in the library.
+
+    Values keep the types they had, bytes too; pictures are kept unless nothing is to be written.
+    """
     if data[:16] != asf.HEADER:
         raise ParseError("asf", "no header object")
     size = unpack("<Q", data, 16)[0]
     kept = [(k, b) for k, b in asf._objects(data, 30, min(size, len(data))) if k not in (asf.CONTENT, asf.EXTENDED)]
-    have = dict(items)
+    old, have = asf.attributes(data), dict(items)
     fields = [_utf16(have[n][0]) if have.get(n) else b"" for n in _CONTENT]
-    own = [(k, v) for k, v in items if v and k not in _CONTENT] + [(k, v[1:]) for k, v in items if k in _CONTENT and len(v) > 1]
-    single = [(k, v[0]) for k, v in own if len(v) == 1 and k not in _CONTENT and len(_utf16(v[0])) < 65536]
-    rest = [(k, x) for k, v in own for x in v if (k, x) not in single]
+    single, rest = [], []
+    for key, values in items:
+        typed = [_attribute(dict(enumerate(old.get(key, []))).get(i), v) for i, v in enumerate(values)]
+        if key in _CONTENT:
+            rest += [(key, x) for x in typed[1:]]
+        elif len(typed) == 1 and len(typed[0][1]) < 65536:
+            single.append((key, typed[0]))
+        else:
+            rest += [(key, x) for x in typed]
+    if pictures is not None:
+        rest += [("WM/Picture", (1, asf.encode_picture(p))) for p in pictures]
+    elif items:
+        rest += [("WM/Picture", x) for x in old.get("WM/Picture", []) if x[0] == 1]
     new = []
     if any(fields):
         new.append((asf.CONTENT, struct.pack("<5H", *map(len, fields)) + b"".join(fields)))
     if single:
-        new.append((asf.EXTENDED, struct.pack("<H", len(single)) + b"".join(struct.pack("<H", len(_utf16(k))) + _utf16(k) + struct.pack("<HH", 0, len(_utf16(v))) + _utf16(v) for k, v in single)))
-    library = struct.pack("<H", len(rest)) + b"".join(struct.pack("<HHHHI", 0, 0, len(_utf16(k)), 0, len(_utf16(v))) + _utf16(k) + _utf16(v) for k, v in rest)
+        wide = [(k, t, v.ljust(4, b"\0") if t == 2 else v) for k, (t, v) in single]
+        new.append((asf.EXTENDED, struct.pack("<H", len(wide)) + b"".join(struct.pack("<H", len(_utf16(k))) + _utf16(k) + struct.pack("<HH", t, len(v)) + v for k, t, v in wide)))
+    library = struct.pack("<H", len(rest)) + b"".join(struct.pack("<HHHHI", 0, 0, len(_utf16(k)), t, len(v)) + _utf16(k) + v for k, (t, v) in rest)
     pack = lambda guid, body: guid + struct.pack("<Q", len(body) + 24) + body
     out = []
     for k, b in kept:

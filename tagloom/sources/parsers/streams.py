@@ -5,6 +5,7 @@ from __future__ import annotations
 from tagloom.sources.parsers import id3
 from tagloom.sources.parsers.base import Bits, ParseError, Parsed, take, unpack
 
+# Sample rates of AAC by number.
 _AAC = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
 
@@ -65,8 +66,9 @@ def _adts(data: bytes, start: int) -> Parsed:
     raise ParseError("aac", "no frames that follow each other")
 
 
-_AC3 = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
-_AC3_CHANNELS = (2, 1, 2, 3, 3, 4, 4, 5)
+# Bitrates of AC-3 in thousands, and channels of its modes, by number.
+AC3_RATES = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+AC3_CHANNELS = (2, 1, 2, 3, 3, 4, 4, 5)
 
 
 def ac3(data: bytes) -> Parsed:
@@ -82,7 +84,7 @@ def ac3(data: bytes) -> Parsed:
         code, size = bits.read(2), bits.read(6)
         bits.read(5 + 3)
         mode = bits.read(3)
-        if code == 3 or size >= 2 * len(_AC3):
+        if code == 3 or size >= 2 * len(AC3_RATES):
             raise ParseError("ac3", "reserved rate")
         if mode & 1 and mode != 1:
             bits.read(2)
@@ -91,7 +93,7 @@ def ac3(data: bytes) -> Parsed:
         if mode == 2:
             bits.read(2)
         shift = max(version, 8) - 8
-        out = Parsed(sample_rate=(48000, 44100, 32000)[code] >> shift, bitrate=_AC3[size >> 1] * 1000 >> shift, channels=_AC3_CHANNELS[mode] + bits.read(1))
+        out = Parsed(sample_rate=(48000, 44100, 32000)[code] >> shift, bitrate=AC3_RATES[size >> 1] * 1000 >> shift, channels=AC3_CHANNELS[mode] + bits.read(1))
         out.extra["codec"] = "ac-3"
     else:
         bits.read(2 + 3)
@@ -105,7 +107,7 @@ def ac3(data: bytes) -> Parsed:
         else:
             rate, blocks = (48000, 44100, 32000)[code], (1, 2, 3, 6)[bits.read(2)]
         mode = bits.read(3)
-        out = Parsed(sample_rate=rate, bitrate=8 * words * 2 * rate // (blocks * 256), channels=_AC3_CHANNELS[mode] + bits.read(1))
+        out = Parsed(sample_rate=rate, bitrate=8 * words * 2 * rate // (blocks * 256), channels=AC3_CHANNELS[mode] + bits.read(1))
         out.extra["codec"] = "ec-3"
     out.length_secs = 8 * len(data) / out.bitrate if out.bitrate else None
     return out
@@ -179,7 +181,7 @@ def smf(data: bytes) -> Parsed:
     longest = 0.0
     for end, own in tracks:
         tempos = tracks[0][1] if kind == 1 else own
-        marks = [(0, 500_000), *sorted(t for t in tempos if t[0] < end)]
+        marks = [(0, 500_000), *sorted((t for t in tempos if t[0] < end), key=lambda t: t[0])]  # of one tick the last one holds
         spans = zip(marks, [*(t for t, _ in marks[1:]), end], strict=True)
         longest = max(longest, sum((stop - tick) * tempo / division / 1e6 for (tick, tempo), stop in spans))
     out = Parsed(length_secs=longest)

@@ -5,38 +5,55 @@ from __future__ import annotations
 import base64
 import struct
 
-from tagloom.sources.parsers.base import MAX_IMAGE, MAX_ITEMS, MAX_TAG, ParseError, Parsed, take, unpack
+from tagloom.sources.parsers.base import LIMITS, MAX_ITEMS, ParseError, Parsed, take, unpack
 
 
 def valid_key(key: str) -> bool:
     return bool(key) and all(" " <= c <= "}" and c != "=" for c in key)
 
 
-def decode(data: bytes, out: Parsed | None = None) -> tuple[Parsed, int]:
-    """Items by lower-case key, sorted, and the bytes read. Comments without '=' go under 'unknown' and their number."""
+def _string(raw: bytes, errors: str) -> str:
+    try:
+        return raw.decode("utf-8", "replace" if errors == "replace" else "ignore" if errors == "ignore" else "strict")
+    except UnicodeDecodeError as e:
+        raise ParseError("vorbis", f"text: {e}") from e
+
+
+def decode(data: bytes, out: Parsed | None = None, errors: str = "replace") -> tuple[Parsed, int]:
+    """Items by lower-case key, sorted, and the bytes read.
+
+    errors is what becomes of text that isn't UTF-8, of bad keys and of comments without '=': with replace they get U+FFFD,
+    '?' for bad characters, and the keys unknown0, unknown1 and so on; with ignore they go; with strict they are an error.
+    """
+    if errors not in ("strict", "replace", "ignore"):
+        raise ValueError(f"errors={errors!r}")
     out = out or Parsed()
     size = unpack("<I", data)[0]
     if size > 1_000_000:
         raise ParseError("limit", "vendor string too long")
-    out.extra["vendor"] = take(data, 4, size).decode("utf-8", "replace")
+    out.extra["vendor"] = _string(take(data, 4, size), errors)
     at = 4 + size
     count = unpack("<I", data, at)[0]
     if count > MAX_ITEMS:
         raise ParseError("limit", f"{count} comments")
     at += 4
     found: dict[str, list[str]] = {}
-    total = 0
-    for i in range(count):
+    total = unknown = 0
+    for _ in range(count):
         size = unpack("<I", data, at)[0]
         total += size
-        if total > MAX_TAG:
+        if total > LIMITS.tag:
             raise ParseError("limit", "comments too long")
-        text = take(data, at + 4, size).decode("utf-8", "replace")
+        text = _string(take(data, at + 4, size), errors)
         at += 4 + size
         key, eq, value = text.partition("=")
-        if not eq:
-            key, value = f"unknown{i}", text
-        if valid_key(key):
+        if not eq and errors == "replace":
+            key, value, unknown = f"unknown{unknown}", text, unknown + 1
+        if (not eq or not valid_key(key)) and errors == "strict":
+            raise ParseError("vorbis", f"comment {text[:80]!r}")
+        if eq and not valid_key(key) and key and errors == "replace":
+            key = "".join(c if " " <= c <= "}" else "?" for c in key)
+        if valid_key(key) and (eq or errors == "replace"):
             found.setdefault(key.lower(), []).append(value)
     for raw in found.get("metadata_block_picture", []):
         try:
@@ -61,7 +78,7 @@ def picture(data: bytes) -> dict:
     desc = take(data, at + 4, size).decode("utf-8", "replace")
     at += 4 + size
     width, height, depth, colors, size = unpack(">IIIII", data, at)
-    if size > MAX_IMAGE:
+    if size > LIMITS.image:
         raise ParseError("limit", f"image of {size} bytes")
     return {"mime_type": mime, "picture_type": kind, "description": desc, "width": width, "height": height, "depth": depth, "colors": colors, "data": base64.b64encode(take(data, at + 20, size)).decode()}
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tagloom.sources import audio
 from tagloom.sources.parsers import ape, flac, id3, rewrite, vorbis
-from tests.audio_bytes import FILES
+from tagloom.plans.fixtures import FILES
 
 TEXT = st.text(st.characters(exclude_characters="\0", exclude_categories=("Cs",)), min_size=1, max_size=30)
 VALUES = st.lists(TEXT, min_size=1, max_size=3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import scalars as S
 from tagloom.operators import convert, midi, replaygain, views
-from tagloom.plans import queries
+from tagloom.plans import parsing, queries
 from tagloom.plans.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def db():
 def test_query_against_sql(spark, db, name):
     out = QUERIES[name](spark, SMALL)
     text = out._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in text for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+    assert "CartesianProduct" not in text and (name in parsing.PARSING) == any(x in text for x in ("Python", "Arrow", "Pandas"))
     got = sorted(repr(tuple(r)) for r in out.select(*sorted(out.columns)).collect())
     if name in SQL:
         cur = db.execute(SQL[name])
@@ -80,7 +80,7 @@ def test_easy_view_reads_dates_and_genres(spark):
 
 def test_stream_differences_have_every_order(spark, db):
     want = db.execute("select l_orderkey, max(l_quantity)::bigint from lineitem group by 1").fetchall()
-    got = {r.file_id: r.bitrate_left for r in QUERIES["stream_info_diff_all_lines"](spark, SMALL).collect()}
+    got = {r.file_id: r.bitrate_left for r in QUERIES["stream_info_diff"](spark, SMALL).collect()}
     assert got == {f"o{k}": q if k % 5 == 0 else None for k, q in want}
 
 
@@ -90,9 +90,8 @@ def test_friendly_view_query_has_the_genre_of_every_file(spark, db):
         return "\x1f".join(own + [brand] * (size % 7 == 0))
 
     want = {f"p{k}": genre(*x) for k, *x in db.execute("select p_partkey, p_size, p_type, p_brand from part").fetchall()}
-    rows = QUERIES["easy_id3_view_all_names"](spark, SMALL).collect()
+    rows = QUERIES["easy_id3_view"](spark, SMALL).collect()
     assert {r.file_id: r.vals for r in rows if r.name == "genre"} == want
-    assert sorted((r.file_id, r.name, r.vals) for r in rows if r.name != "genre") == sorted((r.file_id, r.name, r.vals) for r in QUERIES["easy_id3_view"](spark, SMALL).collect())
 
 
 def test_genre_list_sql(db):

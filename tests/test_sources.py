@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import artwork, chunks, convert, diff, render
 from tagloom.sources import audio, probe, snapshot
-from tagloom.sources.parsers import ape, base, flac, id3, mp4, ogg, vorbis
+from tagloom.sources.parsers import ape, asf, base, flac, frames, id3, mp4, ogg, rewrite, vorbis
 from tagloom.streaming import ingest
-from tests.audio_bytes import APE_ITEMS, COMMENTS, FILES, ITEMS, mp3
+from tagloom.plans import fixtures
+from tagloom.plans.fixtures import APE_ITEMS, COMMENTS, FILES, ITEMS, mp3
 
 
 @pytest.fixture(scope="module")
@@ -98,6 +99,84 @@ def test_new_files_with_other_tags(spark, folder):
     assert audio.retag(audio.scan(spark, folder, "a.mid"), spark.createDataFrame([], "file_id string, key string, values array<string>")).where("error is not null").count() == 1
 
 
+def test_writers_keep_what_they_do_not_change():
+    frames = json.loads(audio.parse_one("ID3", fixtures.id3_frames())["extra"])
+    for name in ("a.mp3", "a.wav", "a.dsf"):
+        make = {"a.mp3": lambda t: mp3(tag=t), "a.wav": fixtures.riff, "a.dsf": fixtures.dsf}[name]
+        fmt = FILES[name][1]
+        new = audio.write_tags(make(fixtures.id3_frames()), fmt, [("POPM:me", ["200", "7"]), ("PCNT", ["300"]), ("TIT2", ["new"])])
+        got = audio.parse_one(fmt, new)
+        extra = json.loads(got["extra"])
+        assert [(x["key"], x["values"]) for x in got["items"]] == [("PCNT", ["300"]), ("POPM:me", ["200", "7"]), ("TIT2", ["new"])], name
+        assert extra["frames"] == frames["frames"] and extra["pictures"] == frames["pictures"], name
+    assert id3.kept(audio.write_tags(mp3(tag=fixtures.id3_frames()), "MP3", [("TIT2", ["new"])])) == id3.kept(fixtures.id3_frames())  # byte for byte
+    cover = b"cover.jpg\0\xff\xd8\xff\xe0"
+    binary = len(cover).to_bytes(4, "little") + b"\x02\0\0\0Cover Art (Front)\0" + cover
+    old = b"MAC " + bytes(60) + ape.encode(APE_ITEMS, [binary])
+    assert ape.kept(audio.write_tags(old, "MonkeysAudio", [("Title", ["x"])])) == [binary]
+    assert ape.tag(old).extra["pictures"][0]["picture_type"] == 3
+    wma = audio.write_tags(FILES["a.wma"][0], "ASF", [("Title", ["x"]), ("WM/AlbumTitle", ["An album"]), ("WM/TrackNumber", ["4"])])
+    assert asf.attributes(wma) == {"WM/AlbumTitle": [(0, "An album\0".encode("utf-16-le"))], "WM/TrackNumber": [(3, b"\4\0\0\0")]}
+    pictured = rewrite.asf_tags(FILES["a.wma"][0], [("Title", ["x"])], [{"mime_type": "image/png", "picture_type": 3, "description": "d", "data": "AAEC"}])
+    assert asf.attributes(rewrite.asf_tags(pictured, [("Title", ["y"])]))["WM/Picture"] == asf.attributes(pictured)["WM/Picture"]
+
+
+def test_mp4_keeps_unknown_atoms():
+    atom = lambda name, body: (len(body) + 8).to_bytes(4, "big") + name + body
+    odd = atom(b"zzzz", atom(b"data", b"\0\0\0\0\0\0\0\0\1\2"))
+    data = FILES["a.m4a"][0]
+    ilst = next((a, b) for p, a, b in mp4.atoms(data) if p == "moov.udta.meta.ilst")
+    grown = bytearray(data[: ilst[1]] + odd + data[ilst[1] :])
+    for p, a, b in mp4.atoms(data):
+        if p in ("moov", "moov.udta", "moov.udta.meta", "moov.udta.meta.ilst"):
+            grown[a - 8 : a - 4] = (b - a + 8 + len(odd)).to_bytes(4, "big")
+    parsed = mp4.parse(bytes(grown))
+    assert parsed.extra["unknown_atoms"] == [{"name": "zzzz", "data": base64.b64encode(odd[8:]).decode()}] and "zzzz" not in dict(parsed.items)
+    new = rewrite.mp4_tags(bytes(grown), [("shwm", ["2"]), ("©nam", ["x"])])
+    assert odd in new and dict(mp4.parse(new).items) == {"shwm": ["2"], "©nam": ["x"]}
+
+
+def test_padding_policies():
+    data = FILES["a.mp3"][0]
+    first = audio.write_tags(data, "MP3", [("TIT2", ["x"])])
+    again = audio.write_tags(first, "MP3", [("TIT2", ["longer title"])])
+    assert len(again) == len(first)  # written in the same place
+    assert id3.tag_size(audio.write_tags(data, "MP3", [("TIT2", ["x"])], lambda left, content: 5)) == 10 + 10 + 2 + 5
+    song = flac.write(FILES["a.flac"][0], [("title", ["x"])], policy=lambda left, content: 7)
+    assert [s for k, _, s, _ in flac.blocks(song) if k == 1] == [7]
+    assert len(flac.write(flac.write(FILES["a.flac"][0], [("title", ["x"])]), [("title", ["xyz"])])) == len(flac.write(FILES["a.flac"][0], [("title", ["x"])]))
+
+
+def test_encrypted_frames_stay():
+    body = b"TIT2\0\0\0\2\0\0\3a" + b"PRIV\0\0\0\4\0\x04\x80abc"
+    tag = b"ID3\4\0\0" + bytes((0, 0, 0, len(body))) + body
+    assert id3.decode(tag).extra["frames"][0]["encrypted"] and dict(id3.decode(tag).items) == {"TIT2": ["a"]}
+    assert id3.kept(tag) == b"PRIV\0\0\0\4\0\x04\x80abc"
+    old = b"ID3\3\0\0" + bytes((0, 0, 0, 14)) + b"PRIV\0\0\0\4\0\x40\x80abc"
+    assert id3.kept(old) == b"PRIV\0\0\0\4\0\x04\x80abc"
+    people = b"ID3\3\0\0" + bytes((0, 0, 0, 17)) + b"IPLS\0\0\0\7\0\0\0mix\0AB"
+    assert dict(id3.decode(people).items) == {"TIPL": ["mix", "AB"]}
+
+
+def test_chapters_are_read_to_a_depth():
+    deep = {"element_id": "x", "sub_frames": []}
+    for _ in range(5):
+        deep = {"element_id": "x", "sub_frames": [{"id": "CHAP", "value": deep}]}
+    raw = frames.encode("CHAP", deep)
+    with pytest.raises(base.ParseError):
+        frames.decode("CHAP", raw, lambda b: [(f, d) for f, d, _ in id3._frames(b, 4, False)])
+
+
+def test_pictures_of_files(spark, folder):
+    names = ["a.flac", "a.mp3", "a.wma", "a.ape"]
+    files = audio.scan(spark, folder).where(F.regexp_extract("path", "[^/]+$", 0).isin(names)).select("path", "content")
+    new = files.select("path", F.lit("image/jpeg").alias("mime_type"), F.lit(4).alias("picture_type"), F.lit("back").alias("description"), F.unhex(F.lit("FFD8FFE0")).alias("data"))
+    once = audio.with_pictures(files, new)
+    twice = audio.parse_audio(audio.with_pictures(once, new.withColumn("picture_type", F.lit(3))).select("path", "content"))
+    got = {(r.path.rsplit("/", 1)[1], r.picture_type) for r in artwork.pictures(twice).collect()}
+    assert got == {(n, k) for n in names for k in (3, 4)} and once.where("error is not null").count() == 0
+
+
 def test_codecs():
     assert dict(id3.decode(id3.encode(ITEMS)).items) == dict(ITEMS)
     assert dict(ape.tag(b"x" * 50 + ape.encode(APE_ITEMS)).items) == dict(APE_ITEMS)
