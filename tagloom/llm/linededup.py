@@ -1,21 +1,23 @@
-"""Removal of later copies of repeated runs of lines, by hashes of whole windows of lines. DataFrame functions only."""
+"""Removal of later copies of repeated runs of lines, by winnowing over line hashes. DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import cut, hot_join
+
 
 def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(id, th, runs): the line ranges [a, b] to remove from each document, th being the text's hash.
 
     Lines are parted by U+000A, trimmed of spaces, and those without words don't count. At each line a window holds
-    the shortest run of lines, forwards and likewise backwards, with min_words words. Windows meet by a hash over
-    all of their lines; their least line hash (mark) is a function of the same lines and only widens that key. This
-    stands in for winnowing: no fingerprints are selected, no positions joined and no match extended, as every window
-    has to be compared for the result to be exact. A window that
-    also occurs in an earlier place (smaller id, text hash, line) goes; every run of min_words words around a line
-    contains such a window with that line, so exactly the lines of later copies go.
+    the shortest run of lines, forwards and likewise backwards, with min_words words. The place of a window's least
+    line hash is a fingerprint: two places with the same min_words words have windows of the same lines, and so
+    fingerprints of the same hash. Fingerprints are joined by hash, and only windows whose fingerprint stands in another
+    place too go on. Those reach from a line ahead and back as far as a match must at least go, and are compared by the
+    hash of all their lines: one that also occurs in an earlier place (smaller id, text hash, line) goes. Every run of
+    min_words words around a line contains such a window with that line, so exactly the lines of later copies go.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
     rows = rows.withColumn("th", F.xxhash64("text"))
@@ -27,8 +29,14 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = lines.withColumn("upto", F.sum("w").over(doc.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("w"))
     ahead = doc.orderBy("before").rangeBetween(0, min_words - 1)
     back = doc.orderBy("upto").rangeBetween(1 - min_words, 0)
-    cols = [F.struct(F.min("h").over(w).bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), F.xxhash64(F.collect_list("h").over(w)).alias("run"), F.min("p").over(w).alias("a"), F.max("p").over(w).alias("b"), F.sum("w").over(w).alias("words")) for w in (ahead, back)]
-    seen = lines.select("id", "th", cols[0].alias("fore"), cols[1].alias("aft")).select("id", "th", F.explode(F.array_distinct(F.array("fore", "aft"))).alias("x")).where(F.col("x.words") >= min_words).select("id", "th", "x.mark", "x.run", "x.a", "x.b")
+    least = lambda w: F.min(F.struct("h", "p")).over(w)
+    cols = [F.struct(least(w).alias("m"), F.xxhash64(F.collect_list("h").over(w)).alias("run"), F.min("p").over(w).alias("a"), F.max("p").over(w).alias("b"), F.sum("w").over(w).alias("words")) for w in (ahead, back)]
+    seen = lines.select("id", "th", cols[0].alias("fore"), cols[1].alias("aft")).select("id", "th", F.explode(F.array_distinct(F.array("fore", "aft"))).alias("x")).where(F.col("x.words") >= min_words)
+    seen = seen.select("id", "th", F.col("x.m.h").alias("mark"), F.col("x.m.p").alias("at"), "x.run", "x.a", "x.b")
+    prints = cut(seen.select("mark", "id", "th", "at").distinct())  # a window's neighbours mostly have its fingerprint
+    places = prints.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1")
+    twice = hot_join(prints, places, "mark", "k", prints.count()).select("id", "th", "at")
+    seen = seen.join(twice, ["id", "th", "at"], "left_semi").withColumn("mark", F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int"))
     first = seen.groupBy("mark", "run").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.max(F.struct("id", "th", "a")).alias("last")).where("first < last").select("mark", "run", "first")
     later = seen.join(first, ["mark", "run"]).where(F.struct("id", "th", "a") > F.col("first")).select("id", "th", "a", "b")
     far = F.max("b").over(doc.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
