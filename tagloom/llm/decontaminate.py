@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import cut, mix, prefix_sums, salted_join, span_hash, text_chunks, without, written
+from tagloom.llm.common import cut, mix, prefix_sums, salted_join, span_hash, text_chunks, without
 
 
 def normal(text: str | None) -> str:
@@ -68,7 +68,7 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 #: Bytes at a piece's start by which places are looked up first; shorter pieces are looked up whole.
 _HEAD = 11
 _PIECES = "hash bigint, head bigint, n_head int, size int, offset int, item bigint"
-_FOUND = "id bigint, th bigint, text string, hits array<struct<hash:bigint,at:int>>"
+_FOUND = "row string, hits array<struct<hash:bigint,at:int>>"
 
 
 def _heads(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -91,19 +91,19 @@ def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces_met(shared, heads: list[int], sizes: list[int]):
-    """Documents, in normal form, with the hashes and places of what the filter takes for pieces."""
+    """Documents with the hashes and places, in their normal form, of what the filter takes for pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         low = np.uint64(len(words) * 64 - 1)
-        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("text", pa.string()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))])
+        schema = pa.schema([("row", pa.string()), ("hits", pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())])))])
 
         def there(h: np.ndarray) -> np.ndarray:
             slot = h & low
             return (words[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
         for batch in batches:
-            column = pa.array([normal(t.as_py()) for t in batch.column(2)], pa.string())
+            column = pa.array([normal(t.as_py()) for t in batch.column(1)], pa.string())
             for lo, hi, codes, offsets in text_chunks(column):
                 sums, found = prefix_sums(codes), []
                 for n in heads:
@@ -129,8 +129,7 @@ def _pieces_met(shared, heads: list[int], sizes: list[int]):
                 some, first = np.unique(row, return_index=True)
                 ends = np.append(first, len(row)).astype(np.int32)
                 hits = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(h), pa.array(at.astype(np.int32))], names=["hash", "at"]))
-                which = pa.array(lo + some)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), column.take(which), hits], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + some)), hits], schema=schema)
 
     return run
 
@@ -160,7 +159,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for i, h, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            text = text.as_py()
+            text = normal(text.as_py())
             for x in wanted.as_py():
                 got = locate(text, x["pattern"], x["budget"], x["exact"], x["starts"])
                 if got:
@@ -198,15 +197,16 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     words = np.zeros(bits // 64, np.uint64)
     words[marks["word"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64).view(np.uint64)
     met = _pieces_met(spark.sparkContext.broadcast(words), sorted({r["n_head"] for r in kinds}), sorted({r["size"] for r in kinds}))
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
-    kept = written(text.mapInArrow(met, _FOUND).withColumn("row", F.monotonically_increasing_id()), "leaks")
-    hits = cut(kept.select("row", F.explode("hits").alias("x")).select("row", "x.hash", "x.at"))
+    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
+    text = text.withColumn("row", F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), "th"))  # rows of one id and text have the same hits
+    hits = text.select("row", "text").mapInArrow(met, _FOUND).select("row", F.explode("hits").alias("x")).select("row", "x.hash", "x.at")
+    hits = cut(hits)
     share = max(1000, hits.count() // 1000)
     may = salted_join(hits, parts.select("hash", "offset", "item"), "hash", "row", share)
     may = cut(may.groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("offset")).alias("starts")))
     may = salted_join(may, items, "item", "row", max(1000, may.count() // 1000))
     may = may.groupBy("row").agg(F.collect_list(F.struct("item_id", "pattern", "budget", "exact", "starts")).alias("wanted"))
-    return kept.join(may, "row").select("id", "th", "text", "wanted").mapInArrow(_verified, "id bigint, th bigint, item_id bigint, distance int, end bigint")
+    return text.join(may, "row").select("id", "th", "text", "wanted").mapInArrow(_verified, "id bigint, th bigint, item_id bigint, distance int, end bigint")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", error_rate: float = 0.06, min_chars: int = 32, filter_bits: int = 1 << 27) -> DataFrame:
@@ -215,9 +215,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Texts are compared in lower case with white space runs as one space; distance is the least edit distance to any
     part of the document and end is where that part ends in the normal text. Items shorter than min_chars are found
     where they stand exactly and as whole words (distance 0; scripts without spaces have no word ends to keep). Blank
-    items find nothing. One pass over the documents keeps those in which a filter of the pieces' hashes, of 128 bits a
+    items find nothing. One pass over the documents keeps the places at which a filter of the pieces' hashes, of 128 bits a
     piece and filter_bits (16 MB) at most whatever the benchmark's size, finds any; their hits are joined with the
-    pieces by hash, a hash of many hits being dealt out, and what is joined is verified in the whole text. A filter
+    pieces by hash, a hash of many hits being dealt out, and documents with candidates are read again and verified
+    in their whole texts. A filter
     that is too small lets more documents through and changes no result.
 
     Null or empty texts find nothing, and texts of any length are searched whole. A repeated document row is reported
