@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import artwork, chunks, convert, diff, render
-from tagloom.sources import audio, probe, snapshot
+from tagloom.sources import audio, probe, ranged, snapshot
 from tagloom.sources.parsers import ape, asf, base, flac, frames, id3, mp4, ogg, rewrite, vorbis
 from tagloom.streaming import ingest
 from tagloom.plans import fixtures
@@ -177,6 +177,25 @@ def test_pictures_of_files(spark, folder):
     assert got == {(n, k) for n in names for k in (3, 4)} and once.where("error is not null").count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 1 << 16])
+def test_ranged_bytes_parse_alike(block):
+    for name, (data, fmt, _) in FILES.items():
+        lazy = ranged.Ranged(lambda at, n, d=data: d[at : at + n], len(data), block)
+        assert audio.parse_one(fmt, lazy) == audio.parse_one(fmt, data), name
+    big = fixtures.riff(id3.encode(ITEMS))[:-1] + bytes(1 + (50 << 20))
+    lazy = ranged.Ranged(lambda at, n: big[at : at + n], len(big))
+    assert audio.parse_one("WAVE", lazy)["stream_info"] and lazy.fetched < 1 << 20
+    odd = ranged.Ranged(lambda at, n: b"abcabcabc"[at : at + n], 9, 2)
+    for mark in (b"abc", b"ca", b"x", b"c"):
+        for a in range(9):
+            assert (odd.find(mark, a), odd.rfind(mark, a)) == (b"abcabcabc".find(mark, a), b"abcabcabc".rfind(mark, a))
+
+
+def test_ranged_reading_of_a_folder(spark, folder):
+    whole = {r["path"]: r.asDict(recursive=True) for r in audio.read_audio(spark, folder, "a.*").collect()}
+    assert {r["path"]: r.asDict(recursive=True) for r in ranged.read_ranges(spark, folder, "a.*").collect()} == whole
+
+
 def test_codecs():
     assert dict(id3.decode(id3.encode(ITEMS)).items) == dict(ITEMS)
     assert dict(ape.tag(b"x" * 50 + ape.encode(APE_ITEMS)).items) == dict(APE_ITEMS)
