@@ -190,15 +190,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn: each node's larger neighbours, then its smaller ones, are linked with the least of
     all, until every tree is a star around its least node; the rounds grow with the logarithm of the nodes. One way at
     every size: all state is in checkpointed links, a frequent node's links are joined with its least neighbour by
-    hot_join(), and the driver sees a count and a checksum per round.
+    hot_join(), and the driver sees a count and a flag per round.
     """
     links = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     while True:
-        n, total = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if (n, total) == mark or not n:
+        ends = links.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        n, open_ = ends.agg(F.sum("down"), F.bool_or(F.expr("up > 1 or up > 0 and down > 0"))).first()
+        if not open_:  # every node has one smaller neighbour and no larger ones, or larger ones only
             return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        mark = (n, total)
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
         large = hot_join(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

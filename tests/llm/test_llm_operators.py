@@ -123,7 +123,27 @@ def test_component_rounds_grow_with_the_logarithm(spark, monkeypatch):
         path, before = rng.sample(range(n), n), len(cuts)
         links = spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a bigint, b bigint")
         assert {r.component for r in common.components(links).collect()} == {0}
-        assert (len(cuts) - before) / 2 <= most
+        assert (len(cuts) - before) / 2 < most
+
+
+def test_rows_are_dropped_alike_by_broadcast_and_by_shuffle(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (None, "a", "z"), (None, "c", None), (2, None, "w")], "doc_id bigint, text string, `o.th` string")
+    gone = spark.createDataFrame([(1, "a"), (None, "c")], "id bigint, text string").select("id", F.xxhash64("text").alias("th"))
+    for most in (500_000, 0):
+        left = common.without(docs, gone, "doc_id", "text", most)
+        assert left.columns == docs.columns and {(r[0], r[1]) for r in left.collect()} == {(1, "b"), (None, "a"), (2, None)}
+        left = common.without_ids(docs, spark.createDataFrame([(1,)], "doc_id bigint"), "doc_id", most)
+        assert left.columns == docs.columns and {(r[0], r[1]) for r in left.collect()} == {(None, "a"), (None, "c"), (2, None)}
+
+
+def test_own_scratch_is_removed(spark, tmp_path):
+    import os
+
+    with common.own_scratch(spark) as folder:
+        common.cut(spark.range(5).toDF("x")).write.parquet(str(tmp_path / "out"))
+        common.written(spark.range(5).toDF("x"), "t")
+        assert os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
 def boilerplate(n, seed=1):
