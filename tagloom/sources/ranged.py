@@ -6,7 +6,7 @@ Files are listed by Spark and opened on the executors through Arrow's file syste
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -77,10 +77,11 @@ class Ranged:
 
 
 def _opened(uri: str) -> pa.NativeFile:
-    # Spark's paths are not quoted, and Arrow's are
+    """A file by the path that Spark gives, whose characters aren't quoted as in Arrow's URIs."""
     scheme, _, rest = uri.partition(":")
-    system, path = fs.FileSystem.from_uri(f"{scheme}://" + quote(rest.lstrip("/") if scheme != "file" else "/" + rest.lstrip("/")))
-    return system.open_input_file(unquote(path) if "%" in path else path)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    system, path = fs.FileSystem.from_uri(f"{scheme}://" + ("/" if scheme == "file" else "") + quote(rest.lstrip("/"), safe="/:@"))
+    return system.open_input_file(path)
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
