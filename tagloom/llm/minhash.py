@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom import ship
@@ -214,17 +214,16 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     first = F.expr(f"slice(x.s, 1, greatest(0, least(size(x), size(x) - (({percent} * n + 99) div 100) + 1)))")  # the n - size(x) others come before
     size = F.floor(F.log("n") / np.log(100 / percent)).cast("int")
     each = cut(each.select("rep", "n", "c", size.alias("g"), F.col("x.s").alias("shared"), first.alias("first")).where("size(first) > 0"))
-    met = each.select("rep", "c", F.explode(F.array("g", F.col("g") + 1)).alias("g"), "first").select("rep", "c", "g", F.explode("first").alias("s"))
-    met = cut(met.select("rep", "c", F.xxhash64("s", "g").alias("group")))
+    met = each.select("rep", "c", F.size("shared").alias("load"), F.explode(F.array("g", F.col("g") + 1)).alias("g"), "first").select("rep", "c", "load", "g", F.explode("first").alias("s"))
+    met = cut(met.select("rep", "c", "load", F.xxhash64("s", "g").alias("group")))
     groups = met.groupBy("group").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < most")
     groups = groups.groupBy("k", "who").agg(F.min("group").alias("group")).select("group", "k")
     many = met.count()
-    met = cut(hot_join(met.select("rep", "group"), groups, "group", "k", many))
-    home = met.groupBy("rep").agg(F.min("group").alias("home"))
-    homes = met.select("rep", "group").join(home, "rep").select("group", "home").distinct()
-    visits = salted_join(met.select("rep", "group"), homes, "group", "rep", max(1000, many // 1000)).select("rep", "home").distinct()
-    visits = visits.join(home.withColumnRenamed("home", "own"), "rep").join(each.select("rep", F.size("shared").alias("load")), "rep")
-    visits = cut(visits.select("rep", "home", "load", (F.col("own") == F.col("home")).alias("here")))
+    met = hot_join(met.select("rep", "load", "group"), groups, "group", "k", many)
+    met = cut(met.select("rep", "load", "group", F.min("group").over(Window.partitionBy("rep")).alias("own")))  # a document's groups are fewer than its shingles
+    homes = met.select("group", F.col("own").alias("home")).distinct()
+    visits = salted_join(met, homes, "group", "rep", max(1000, many // 1000)).select("rep", "home", "load", (F.col("own") == F.col("home")).alias("here"))
+    visits = cut(visits.distinct())
     parts = lambda mine: F.greatest(F.lit(1), F.ceil(F.sum(F.when(mine, F.col("load"))) / tile_shingles), F.ceil(F.count_if(mine) / tile_rows)).cast("int")
     load = visits.groupBy("home").agg(parts(F.col("here")).alias("lefts"), parts(F.lit(True)).alias("rights"), F.count("*").alias("k"))
     rows = hot_join(visits.select("rep", "home", "here"), load, "home", "k", visits.count())
