@@ -203,8 +203,8 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     In any one order of all shingles, two sets that are similar enough share one of their first n - ceil(n * percent /
     100) + 1. The order begins with shingles that one component alone has, which can join nothing; the others follow by
     the number of documents that have them. Documents meet at (shingle, size class), a class with its neighbour; groups
-    with the same members count once. A document is at home in the least of its groups by number, and visits the homes
-    of all that it shares a group with.
+    with the same members count once. A document is at home in the largest of its groups, so that documents that resemble
+    each other have few homes, and visits the homes of all that it shares a group with.
     """
     total = apart.agg(F.sum("n")).first()[0] or 0
     own = apart.join(sets, apart["rep"] == sets["id"])
@@ -220,7 +220,8 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     groups = groups.groupBy("k", "who").agg(F.min("group").alias("group")).select("group", "k")
     many = met.count()
     met = hot_join(met.select("rep", "load", "group"), groups, "group", "k", many)
-    met = cut(met.select("rep", "load", "group", F.min("group").over(Window.partitionBy("rep")).alias("own")))  # a document's groups are fewer than its shingles
+    own = F.max(F.struct("k", "group")).over(Window.partitionBy("rep"))["group"]  # a document's groups are fewer than its shingles
+    met = cut(met.select("rep", "load", "group", own.alias("own")))
     homes = met.select("group", F.col("own").alias("home")).distinct()
     visits = salted_join(met, homes, "group", "rep", max(1000, many // 1000)).select("rep", "home", "load", (F.col("own") == F.col("home")).alias("here"))
     visits = cut(visits.distinct())
