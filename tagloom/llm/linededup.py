@@ -36,9 +36,10 @@ def removed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = cut(seen.select("mark", "id", "th", "at").distinct())  # a window's neighbours mostly have its fingerprint
     places = prints.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1")
     twice = hot_join(prints, places, "mark", "k", prints.count()).select("id", "th", "at")
-    seen = seen.join(twice, ["id", "th", "at"], "left_semi").withColumn("mark", F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int"))
-    first = seen.groupBy("mark", "run").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.max(F.struct("id", "th", "a")).alias("last")).where("first < last").select("mark", "run", "first")
-    later = seen.join(first, ["mark", "run"]).where(F.struct("id", "th", "a") > F.col("first")).select("id", "th", "a", "b")
+    seen = seen.join(twice, ["id", "th", "at"], "left_semi")
+    seen = cut(seen.select("id", "th", "a", "b", F.struct(F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), "run").alias("key")))
+    first = seen.groupBy("key").agg(F.min(F.struct("id", "th", "a")).alias("first"), F.max(F.struct("id", "th", "a")).alias("last"), F.count("*").alias("k")).where("first < last").select("key", "first", "k")
+    later = hot_join(seen, first, "key", "k", seen.count()).where(F.struct("id", "th", "a") > F.col("first")).select("id", "th", "a", "b")
     far = F.max("b").over(doc.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("new", F.when(F.col("a") > F.coalesce(far, F.lit(-2)) + 1, 1).otherwise(0)).withColumn("g", F.sum("new").over(doc.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "th", "g").agg(F.min("a").alias("a"), F.max("b").alias("b"))
