@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom import ship
+
 #: White space of the corpus contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -140,6 +142,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def packed(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """df, of at most so many short rows, in no more partitions than they need: the driver keeps a record of every task."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join of rows with a table of one short row per key, without gathering a frequent key's rows in one task.
 
@@ -184,22 +191,45 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str, most: int = 1_000
     return own.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as stars: of each component of them, those of all other nodes with its least."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = top(a), top(b)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+    a = [x for x in up if up[x] != x]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([top(x) for x in a], pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, per_task: int = 100_000) -> DataFrame:
     """(id, component) of every node of the links (a, b); component is the smallest id that can be reached.
 
-    Large and small stars in turn: each node's larger neighbours, then its smaller ones, are linked with the least of
-    all, until every tree is a star around its least node; the rounds grow with the logarithm of the nodes. One way at
-    every size: all state is in checkpointed links, a frequent node's links are joined with its least neighbour by
-    hot_join(), and the driver sees a count and a flag per round.
+    Rounds of three steps. Tasks of about per_task links turn theirs into stars around the least nodes. Large and small
+    stars follow where nodes stand in several tasks' stars: each node's larger neighbours, then its smaller ones, are
+    linked with the least of all, until every tree is a star around its least node; the rounds grow with the logarithm
+    of the nodes. One way at every size: all state is in checkpointed links, a frequent node's links are joined with its
+    least neighbour by hot_join(), and the driver sees a count and a flag per round.
     """
-    links = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ship(edges.sparkSession)
+    links = cut(edges.where("a != b").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b")).distinct())
+    n = links.count()
     while True:
-        ends = links.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
-        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-        n, open_ = ends.agg(F.sum("down"), F.bool_or(F.expr("up > 1 or up > 0 and down > 0"))).first()
+        links = cut(packed(links, n, per_task).mapInArrow(_stars, "a bigint, b bigint"))
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+        n, open_ = ends.agg(F.coalesce(F.sum("down"), F.lit(0)), F.bool_or(F.expr("up > 1 or up > 0 and down > 0"))).first()
         if not open_:  # every node has one smaller neighbour and no larger ones, or larger ones only
             return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
         large = hot_join(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a != b").distinct())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom import ship
-from tagloom.llm.common import FOLD, SPACE, components, cut, hot_join, mix, prefix_sums, remove, runs, salted_join, scratch, span_hash, text_chunks
+from tagloom.llm.common import FOLD, SPACE, components, cut, hot_join, mix, packed, prefix_sums, remove, runs, salted_join, scratch, span_hash, text_chunks
 
 BINS = 128
 _PROBES = np.random.default_rng(11).integers(0, BINS, (64, BINS))
@@ -117,10 +117,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", "bands")).alias("m"))
     classes = cut(classes.select("h1", "h2", F.col("m.id").alias("rep"), F.col("m.n").alias("n"), F.col("m.bands").alias("bands")))
     total = classes.count() * bands
+    classes = packed(classes, total)
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     centre = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("s"), F.count("*").alias("k")).where("k > 1")
     centre = centre.select("key", "k", F.col("s.rep").alias("a"), F.col("s.n").alias("m"))
     buckets = cut(hot_join(buckets, centre, "key", "k", total).drop("k"))
+    buckets = packed(buckets, buckets.count())
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"near_sets_{uuid.uuid4().hex}"
@@ -131,13 +133,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         star = buckets.where("rep != a").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         star = cut(star.select("a", F.col("rep").alias("b")).distinct())
-        found = cut(_confirmed(star, spark.table(table), percent, per_salt))
-        label = components(found).select(F.col("id").alias("rep"), "component")
+        label = components(_confirmed(star, spark.table(table), percent, per_salt)).select(F.col("id").alias("rep"), "component")
         own = buckets.join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
         mixed = own.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("key", "k")
         apart = cut(hot_join(own, mixed, "key", "k", total).select("rep", "n", "c").distinct())
-        pairs = cut(_across(apart, spark.table(table), percent, tile_shingles, tile_rows))
-        joined = components(pairs).select(F.col("id").alias("c"), F.col("component").alias("whole"))
+        joined = components(_across(apart, spark.table(table), percent, tile_shingles, tile_rows)).select(F.col("id").alias("c"), F.col("component").alias("whole"))
     finally:
         spark.sql(f"drop table if exists {table}")
         remove(spark, folder)
@@ -206,7 +206,8 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     with the same members count once. A document is at home in the largest of its groups, so that documents that resemble
     each other have few homes, and visits the homes of all that it shares a group with.
     """
-    total = apart.agg(F.sum("n")).first()[0] or 0
+    total, documents = apart.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    apart = packed(apart, documents)
     own = apart.join(sets, apart["rep"] == sets["id"])
     common = own.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k")).where("least < most").select("s", "k")
     each = hot_join(own.select("rep", F.explode("shingles").alias("s")), common, "s", "k", total)
@@ -216,25 +217,28 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int, tile_shingles: int,
     each = cut(each.select("rep", "n", "c", size.alias("g"), F.col("x.s").alias("shared"), first.alias("first")).where("size(first) > 0"))
     met = each.select("rep", "c", F.size("shared").alias("load"), F.explode(F.array("g", F.col("g") + 1)).alias("g"), "first").select("rep", "c", "load", "g", F.explode("first").alias("s"))
     met = cut(met.select("rep", "c", "load", F.xxhash64("s", "g").alias("group")))
+    many = met.count()
+    met = packed(met, many)
     groups = met.groupBy("group").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("least < most")
     groups = groups.groupBy("k", "who").agg(F.min("group").alias("group")).select("group", "k")
-    many = met.count()
     met = hot_join(met.select("rep", "load", "group"), groups, "group", "k", many)
     own = F.max(F.struct("k", "group")).over(Window.partitionBy("rep"))["group"]  # a document's groups are fewer than its shingles
-    met = cut(met.select("rep", "load", "group", own.alias("own")))
+    met = packed(cut(met.select("rep", "load", "group", own.alias("own"))), many)
     homes = met.select("group", F.col("own").alias("home")).distinct()
     visits = salted_join(met, homes, "group", "rep", max(1000, many // 1000)).select("rep", "home", "load", (F.col("own") == F.col("home")).alias("here"))
     visits = cut(visits.distinct())
+    visited = visits.count()
+    visits = packed(visits, visited)
     parts = lambda mine: F.greatest(F.lit(1), F.ceil(F.sum(F.when(mine, F.col("load"))) / tile_shingles), F.ceil(F.count_if(mine) / tile_rows)).cast("int")
     load = visits.groupBy("home").agg(parts(F.col("here")).alias("lefts"), parts(F.lit(True)).alias("rights"), F.count("*").alias("k"))
-    rows = hot_join(visits.select("rep", "home", "here"), load, "home", "k", visits.count())
+    rows = hot_join(visits.select("rep", "home", "here"), load, "home", "k", visited)
     mine, other = F.pmod(F.xxhash64("rep"), F.col("lefts")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rights")).cast("int")
     rows = rows.withColumn("i", mine).withColumn("j", other)
     as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j"), (F.col("here") & (i == F.col("i"))).alias("left"), F.lit(True).alias("right")))
     as_left = F.transform(F.filter(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: F.col("here") & (j != F.col("j"))), lambda j: F.struct(F.col("i").alias("i"), j.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
     rows = rows.select("home", "rep", F.explode(F.concat(as_right, as_left)).alias("t")).select("home", "rep", "t.i", "t.j", "t.left", "t.right")
     whole = rows.join(each, "rep").select("home", "n", "c", "i", "j", "left", "right", "shared")
-    return whole.groupBy("home", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint").distinct()
+    return whole.groupBy("home", "i", "j").applyInArrow(_spanning(percent), "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -> DataFrame:
@@ -244,7 +248,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -
     anything is joined, with a copy of its set per salt; there are fewer than a thousand such centres, so their numbers of
     salts are broadcast.
     """
-    share = max(per_salt, pairs.count() // 1000)
+    total = pairs.count()
+    pairs, share = packed(pairs, total), max(per_salt, total // 1000)
     hot = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > share).select("a", F.ceil(F.col("k") / share).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     left = pairs.select("a").distinct().join(F.broadcast(hot), "a", "left").select("a", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -252,4 +257,4 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, per_salt: int) -
     right = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     right = right.join(sets, right["b"] == sets["id"]).select("a", "b", "salt", F.col("shingles").alias("y"))
     both = left.join(right, ["a", "salt"]).withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.where(F.expr(f"100 * i >= {percent} * (size(x) + size(y) - i)")).select("a", "b").distinct()
+    return both.where(F.expr(f"100 * i >= {percent} * (size(x) + size(y) - i)")).select("a", "b")

@@ -126,6 +126,49 @@ def test_component_rounds_grow_with_the_logarithm(spark, monkeypatch):
         assert (len(cuts) - before) / 2 < most
 
 
+def test_components_of_links_in_many_tasks(spark, monkeypatch):
+    rng, cuts = random.Random(4), []
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or df.checkpoint())
+    path = rng.sample(range(3000), 3000)
+    edges = list(zip(path[:-1], path[1:], strict=True)) + [(5000 + rng.randrange(900), 5000 + rng.randrange(900)) for _ in range(700)]
+    edges += [(30_000, 20_000 + k) for k in range(1500)] + [(40_000, 50_000 + k) for k in range(1500)]
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.component for r in common.components(links, per_task=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_components(edges) and 4 < len(cuts) < 3 * 14
+
+
+def tasks_of(spark, run):
+    """Tasks of all that run() has Spark do."""
+    context, group = spark.sparkContext, f"tasks-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_few_links_take_few_tasks(spark):
+    rng = random.Random(6)
+    path = rng.sample(range(1000), 1000)
+    links = spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a bigint, b bigint")
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert tasks_of(spark, lambda: common.components(links)) < 6 * 30
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rows_are_dropped_alike_by_broadcast_and_by_shuffle(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (None, "a", "z"), (None, "c", None), (2, None, "w")], "doc_id bigint, text string, `o.th` string")
     gone = spark.createDataFrame([(1, "a"), (None, "c")], "id bigint, text string").select("id", F.xxhash64("text").alias("th"))
